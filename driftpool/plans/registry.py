@@ -59,5 +59,6 @@ def register(key: str, oracle: str | None = None, dates: tuple[str, ...] | str =
 def load_all() -> None:
     """Import every module that registers queries."""
     from driftpool.plans import (  # noqa: F401
+        q_clean,
         q_slice,
     )
