@@ -16,3 +16,79 @@ def daily_vector_price_join(pooled: DataFrame, labelled_bars: DataFrame,
                             keys=("series", "day")) -> DataFrame:
     """Pooled day vectors joined to bars (inner) with the direction label."""
     return pooled.join(labelled_bars, list(keys), "inner")
+
+
+def news_price_fanout_join(items: DataFrame, bars: DataFrame, keys=("series", "day"),
+                           check_overlap: bool = False) -> DataFrame:
+    """Every news row carries its day's bar, features and label (inner,
+    many-to-one). ``check_overlap`` fails loudly when no day matches (one cheap
+    ``isEmpty`` probe)."""
+    out = items.join(bars, list(keys), "inner")
+    if check_overlap and out.isEmpty():
+        raise ValueError("Merge failed - no overlapping dates")
+    return out
+
+
+def _with_dim(bars: DataFrame, vecs: DataFrame, v: str) -> DataFrame:
+    """Attach the vector width (a one-row aggregate, safe to broadcast)."""
+    dim = vecs.agg(F.max(F.size(v)).alias("_dim"))
+    return bars.crossJoin(F.broadcast(dim))
+
+
+def _attach_or_zero(bars: DataFrame, day_vecs: DataFrame, on_day: str, keys, v: str,
+                    vecs: DataFrame) -> DataFrame:
+    dv = day_vecs.withColumnRenamed("day", on_day)
+    joined = _with_dim(bars, vecs, v).join(dv, [keys[0], on_day], "left")
+    return (joined.withColumn("has_news", F.col(v).isNotNull())
+            .withColumn(v, F.coalesce(F.col(v).cast("array<double>"),
+                                      F.array_repeat(F.lit(0.0), F.col("_dim"))))
+            .drop("_dim"))
+
+
+def news_same_day_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),
+                          v: str = "v") -> DataFrame:
+    """Each bar gets the first vector of its own day, else a zero vector."""
+    from driftpool.operators.pooling import first_vector_of_day
+
+    first = first_vector_of_day(vecs, keys, v)
+    return _attach_or_zero(bars, first, "day", list(keys), v, vecs)
+
+
+def news_prev_bar_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),
+                          v: str = "v") -> DataFrame:
+    """As J04 with the day of the *previous bar* (previous trading day);
+    the first bar of a series gets the zero vector."""
+    from driftpool.operators.features import bar_window
+    from driftpool.operators.pooling import first_vector_of_day
+
+    b = bars.withColumn("prev_day", F.lag("day").over(bar_window(keys[0], keys[1])))
+    first = first_vector_of_day(vecs, keys, v)
+    return _attach_or_zero(b, first, "prev_day", list(keys), v, vecs)
+
+
+def news_same_day_mean_required(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),
+                                v: str = "v") -> DataFrame:
+    """Each bar gets its day's mean vector; bars without news drop out."""
+    from driftpool.operators.pooling import daily_mean_vector
+
+    return bars.join(daily_mean_vector(vecs, keys, v), list(keys), "inner")
+
+
+def untranslated_backlog(source: DataFrame, target: DataFrame,
+                         key=("channel_id", "message_id")) -> DataFrame:
+    """Source rows with no target row for the same key (NOT EXISTS)."""
+    return source.join(target.select(*key), list(key), "left_anti")
+
+
+def backlog_count(backlog: DataFrame) -> DataFrame:
+    """Number of backlog rows."""
+    return backlog.agg(F.count(F.lit(1)).alias("n_backlog"))
+
+
+def newest_backlog_batch(backlog: DataFrame, k: int = 256, date: str = "date",
+                         key=("channel_id", "message_id")) -> DataFrame:
+    """The k newest backlog rows (NULL dates first, as PostgreSQL sorts
+    DESC); ties broken by key. Planned as TakeOrderedAndProject: each task
+    keeps its own top k, only k rows per task reach the final merge."""
+    order = [F.desc_nulls_first(date)] + [F.desc(c) for c in key]
+    return backlog.orderBy(*order).limit(k)

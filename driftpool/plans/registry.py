@@ -60,5 +60,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from driftpool.plans import (  # noqa: F401
         q_clean,
+        q_keyed,
         q_slice,
     )
