@@ -43,12 +43,22 @@ def row_number_in_group(df: DataFrame, group: list[str], order: list[str],
     3. add the count of rows of the same group in earlier partitions, from a
        small (partition, group) count table (partitions x groups rows at most,
        broadcast by the planner when small, shuffled otherwise).
+
+    The numbered slices are written once with a reliable ``checkpoint()`` into
+    the shared checkpoint folder: the row side and the count side must see the
+    same range boundaries, and two range exchanges would each sample their own
+    (and a recomputation after executor loss could sample again). Pass only the
+    columns you need; join wide payloads back by key afterwards.
     """
+    from driftpool.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     cols = list(group) + list(order)
-    n = n_parts or df.sparkSession.sparkContext.defaultParallelism
+    n = n_parts or spark.sparkContext.defaultParallelism
     ranged = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", *group).orderBy(*order)
-    local = ranged.withColumn("_local", F.row_number().over(w))
+    local = ranged.withColumn("_local", F.row_number().over(w)).checkpoint(eager=True)
     counts = local.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).drop("_cnt")

@@ -94,7 +94,8 @@ def regression_metrics(df: DataFrame, order: list[str], y_true="y_true", y_pred=
     no single-task sort); the two-level mean is two grouped aggregates.
     """
     e = F.col(y_pred) - F.col(y_true)
-    rows = df.select(*order, e.alias("_e"))
+    rows = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], e.alias("_e"))
+    order = [f"_o{i}" for i in range(len(order))]
     huber = F.when(F.abs("_e") <= delta, 0.5 * F.col("_e") * F.col("_e")).otherwise(
         delta * (F.abs("_e") - 0.5 * delta))
     point = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("_e")).alias("mae"),

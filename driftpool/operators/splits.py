@@ -15,3 +15,102 @@ def seeded_sample(df: DataFrame, n: int, seed: int | str, id_col: str) -> DataFr
     """min(n, rows) rows, repeatable for a seed. A top-n by hash: each
     task keeps n rows, so only n * tasks rows reach the final merge."""
     return df.orderBy(seed_order(seed, id_col), F.col(id_col)).limit(n)
+
+
+def chronological_order(df: DataFrame, order: list[str], group: list[str] | None = None,
+                        rank_col: str = "rank") -> DataFrame:
+    """1-based rank of every row by ``order`` (a total order), skew-safe
+    (no single-task global sort window)."""
+    from driftpool.functions.ranking import row_number_in_group
+
+    return row_number_in_group(df, list(group or []), order, rank_col=rank_col)
+
+
+def _group_sizes(df: DataFrame, group: list[str]) -> DataFrame:
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _attach_sizes(ranked: DataFrame, group: list[str]) -> DataFrame:
+    sizes = _group_sizes(ranked, group)
+    if not group:
+        return ranked.crossJoin(F.broadcast(sizes))  # one row
+    return ranked.join(sizes, group)
+
+
+def chrono_split(ranked: DataFrame, test_size: float = 0.2, group: list[str] | None = None,
+                 rank_col: str = "rank") -> DataFrame:
+    """Time-ordered split of ranked rows. ``train_a``: all but the last
+    ceil(test_size * n) rows; ``train_b``: the first floor((1 - test_size) * n)
+    rows (both computed in double arithmetic, as the reference's libraries)."""
+    g = list(group or [])
+    r = _attach_sizes(ranked, g)
+    n = F.col("_n").cast("double")
+    n_test = F.ceil(F.lit(test_size) * n)
+    n_train_b = F.floor(F.lit(1.0 - test_size) * n)
+    return (r.withColumn("train_a", F.col(rank_col) <= F.col("_n") - n_test)
+            .withColumn("train_b", F.col(rank_col) <= n_train_b).drop("_n"))
+
+
+def stratified_split(df: DataFrame, label: str, seed: int | str, id_col: str,
+                     test_size: float = 0.2) -> DataFrame:
+    """Per class, the first ceil(test_size * n_class) rows by a seeded hash
+    order are test (``is_test``). Ranking is skew-safe for a dominant class."""
+    from driftpool.functions.ranking import row_number_in_group
+
+    keyed = df.withColumn("_h", seed_order(seed, id_col))
+    ranked = row_number_in_group(keyed, [label], ["_h", id_col], rank_col="_r")
+    sized = ranked.join(_group_sizes(df, [label]), label)
+    return (sized.withColumn("is_test", F.col("_r") <= F.ceil(
+        F.lit(test_size) * F.col("_n").cast("double")))
+            .drop("_h", "_r", "_n"))
+
+
+def expanding_folds(ranked: DataFrame, n_splits: int = 5, rank_col: str = "rank",
+                    group: list[str] | None = None) -> DataFrame:
+    """Time-series folds. s = n // (n_splits + 1); fold k = 1..n_splits
+    tests ranks (n - (n_splits + 1 - k) s, n - (n_splits - k) s] and trains on
+    all earlier ranks. Output: one row per (row, fold) it takes part in, with
+    role 'train' / 'test' (a non-equi join against the n_splits-row fold table)."""
+    g = list(group or [])
+    spark = ranked.sparkSession
+    folds = spark.createDataFrame([(k,) for k in range(1, n_splits + 1)], "fold int")
+    r = _attach_sizes(ranked, g).withColumn("_s", F.floor(F.col("_n") / (n_splits + 1)))
+    j = r.crossJoin(F.broadcast(folds))  # n_splits rows: fixed size
+    start = F.col("_n") - (n_splits + 1 - F.col("fold")) * F.col("_s")  # 0-based test start
+    end = start + F.col("_s")
+    pos = F.col(rank_col) - 1
+    role = F.when(pos < start, F.lit("train")).when(pos < end, F.lit("test"))
+    return j.withColumn("role", role).where(F.col("role").isNotNull()).drop("_n", "_s")
+
+
+def stratified_folds(ranked: DataFrame, label: str, n_splits: int = 5,
+                     rank_col: str = "rank") -> DataFrame:
+    """Class-balanced folds in row order, allocated like a non-shuffled
+    stratified K-fold: labels sorted, position p of the sorted list counts for
+    fold p mod n_splits; within a class the rows, in order, fill fold 0 first,
+    then fold 1, ... by those counts. Adds ``fold`` (0-based).
+
+    The allocation is a (classes x folds) table computed from class sizes; rows
+    find their fold by a range test against it (broadcast: classes x folds).
+    """
+    from driftpool.functions.ranking import row_number_in_group
+    from pyspark.sql.window import Window
+
+    sizes = _group_sizes(ranked, [label])
+    cum = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(cum), F.lit(0)))
+    folds = ranked.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold"))
+    a, b = F.col("_start"), F.col("_start") + F.col("_n")
+
+    def upto(x):  # count of p in [0, x) with p mod n_splits == fold
+        return F.floor((x - 1 - F.col("fold")) / n_splits) + 1
+
+    alloc = (sizes.crossJoin(folds).withColumn("_cnt", upto(b) - upto(a)))
+    wf = Window.partitionBy(label).orderBy("fold")
+    alloc = (alloc.withColumn("_hi", F.sum("_cnt").over(wf))
+             .withColumn("_lo", F.col("_hi") - F.col("_cnt"))
+             .select(label, "fold", "_lo", "_hi"))
+    within = row_number_in_group(ranked, [label], [rank_col], rank_col="_j")
+    j = within.join(F.broadcast(alloc), label)
+    return (j.where((F.col("_j") - 1 >= F.col("_lo")) & (F.col("_j") - 1 < F.col("_hi")))
+            .drop("_lo", "_hi", "_j"))

@@ -61,5 +61,6 @@ def load_all() -> None:
     from driftpool.plans import (  # noqa: F401
         q_clean,
         q_keyed,
+        q_series,
         q_slice,
     )
