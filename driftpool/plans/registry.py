@@ -60,7 +60,9 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from driftpool.plans import (  # noqa: F401
         q_clean,
+        q_enrich,
         q_keyed,
+        q_pool,
         q_series,
         q_slice,
     )
