@@ -62,6 +62,7 @@ def load_all() -> None:
         q_clean,
         q_enrich,
         q_keyed,
+        q_models,
         q_pool,
         q_series,
         q_slice,
