@@ -66,4 +66,5 @@ def load_all() -> None:
         q_pool,
         q_series,
         q_slice,
+        q_streams,
     )
