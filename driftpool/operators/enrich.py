@@ -35,22 +35,22 @@ def hashed_token_vectors(docs: DataFrame, key: str, text: str, dim: int = 64) ->
     """Default encoder: L2-normalised counts of hashed tokens, as
     (key, embedding array<float>, embedding_size).
 
-    Tokens are exploded map-side; one grouped aggregate with ``dim`` count_if
-    columns folds them back per document (partial aggregation keeps one row of
-    ``dim`` counts per document per task). A text without tokens gets a zero
-    vector.
+    Tokens are exploded map-side and counted per (document, bucket) with
+    partial aggregation (at most ``dim`` rows per document leave a task); a
+    second aggregate folds those into a bucket -> count map per document. A
+    text without tokens keeps its row (explode_outer) and gets a zero vector.
     """
-    toks = docs.select(key, F.explode(tokens(F.col(text))).alias("_t"))
-    b = toks.select(key, token_bucket(F.col("_t"), dim).alias("_b"))
-    counts = b.groupBy(key).agg(*[F.count_if(F.col("_b") == i).alias(f"_c{i}") for i in range(dim)])
-    arr = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x))
-    vec = counts.select(key, arr.alias("_a"), norm.alias("_n"))
-    vec = vec.select(key, F.transform("_a", lambda x: (x / F.col("_n")).cast("float")).alias("embedding"))
-    out = docs.select(key).join(vec, key, "left")
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return out.select(key, F.coalesce("embedding", zero).alias("embedding"),
-                      F.lit(dim).alias("embedding_size"))
+    toks = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("_t"))
+    counts = (toks.groupBy(key, token_bucket(F.col("_t"), dim).alias("_b"))
+              .agg(F.count("_t").alias("_c")))
+    per_doc = counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_c"))))
+        .alias("_m"),
+        F.sqrt(F.sum(F.col("_c") * F.col("_c")).cast("double")).alias("_n"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+        F.try_divide(F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("double"), F.col("_n")),
+        F.lit(0.0)).cast("float"))
+    return per_doc.select(key, vec.alias("embedding"), F.lit(dim).alias("embedding_size"))
 
 
 def prepare_messages(news: DataFrame) -> DataFrame:

@@ -48,9 +48,16 @@ def first_vector_of_day(vecs: DataFrame, keys=("series", "day"), v: str = "v",
 
 
 def window_mean_or_zero(selected: DataFrame, dim: int, v: str = "v") -> DataFrame:
-    """One mean vector over the selected rows; empty input -> zero vector."""
-    agg = selected.agg(F.count(F.lit(1)).alias("n_items"), mean_vector(F.col(v)).alias(v))
-    return agg.select("n_items", F.coalesce(F.col(v), zero_vector(dim)).alias(v))
+    """One mean vector over the selected rows; empty input -> zero vector.
+
+    Grouped on a constant so an empty input yields no group (the vector mean
+    has no value for zero rows), then left-joined from a one-row frame."""
+    agg = (selected.groupBy(F.lit(1).alias("_k"))
+           .agg(F.count(F.lit(1)).alias("n_items"), mean_vector(F.col(v)).alias(v)))
+    one = selected.sparkSession.range(1).select(F.lit(1).alias("_k"))
+    return one.join(agg, "_k", "left").select(
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.col(v), zero_vector(dim)).alias(v))
 
 
 def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v",

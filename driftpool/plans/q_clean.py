@@ -145,14 +145,13 @@ def q_volume_km_lenient(spark, sf_dir):
 
 
 _S = "regexp_replace(coalesce(vol_str, ''), '[^0-9.KM]', '', 'g')"
+_F = f"list_transform(string_split(replace(replace({_S}, 'K', '*1e3'), 'M', '*1e6'), '*'), lambda f: TRY_CAST(f AS DOUBLE))"
 
 
 @register("volume_km_regex", sql(f"""
 SELECT series, date_str, vol_str,
-  coalesce(TRY_CAST(regexp_extract({_S}, '^([0-9.]+)([KM]?)$', 1) AS DOUBLE)
-           * CASE regexp_extract({_S}, '^([0-9.]+)([KM]?)$', 2)
-               WHEN 'K' THEN CAST(1e3 AS DOUBLE) WHEN 'M' THEN CAST(1e6 AS DOUBLE)
-               ELSE CAST(1 AS DOUBLE) END, 0.0) AS vol
+  CASE WHEN list_bool_and(list_transform({_F}, lambda v: v IS NOT NULL))
+       THEN list_reduce(list_prepend(CAST(1 AS DOUBLE), {_F}), lambda a, b: a * b) ELSE 0.0 END AS vol
 FROM bars_raw_multi""", "bars_raw_multi"))
 def q_volume_km_regex(spark, sf_dir):
     r = fx.bars_raw(spark, sf_dir, multi=True)

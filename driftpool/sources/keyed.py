@@ -18,14 +18,21 @@ def _null_key(key: list[str]):
 
 
 def first_per_key(batch: DataFrame, key: list[str], ordinal: list[str]) -> DataFrame:
-    """Keep the first row (by ``ordinal``) of every key; NULL-keyed rows pass.
+    """Keep the first row (by ``ordinal``, then every other column as the final
+    tie-break) of every key; rows with a NULL key part all pass.
 
-    The row_number window shuffles on the key only; a hot key is one sort run in
-    one task, which is the same cost as the aggregate Spark would need anyway.
+    A grouped ``min_by`` over the row as a struct: partial aggregation keeps one
+    candidate per key per task before the shuffle, so a hot key (or a batch full
+    of repeats) ships one row per task instead of sorting all its rows in one.
     """
-    w = Window.partitionBy(*key).orderBy(*ordinal)
-    ranked = batch.withColumn("_rn", F.row_number().over(w))
-    return ranked.where((F.col("_rn") == 1) | _null_key(key)).drop("_rn")
+    rest = [c for c in batch.columns if c not in key and c not in ordinal]
+    full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    keyed = batch.where(full)
+    first = (keyed.groupBy(*key)
+             .agg(F.min_by(F.struct(*batch.columns),
+                           F.struct(*ordinal, *rest)).alias("_first"))
+             .select("_first.*"))
+    return first.unionByName(batch.where(_null_key(key)))
 
 
 def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str],
