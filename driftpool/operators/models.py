@@ -59,22 +59,34 @@ def projection_2d(pooled: DataFrame, v: str = "v"):
     return out.withColumnRenamed("_pc0", "x").withColumnRenamed("_pc1", "y"), model
 
 
+def stable_layout(df: DataFrame, key, n_parts: int | None = None) -> DataFrame:
+    """Deterministic partitions and row order (hash on ``key``, sorted within
+    partitions): seeded learners that draw per partition (bagging) then give
+    the same model on every run, whatever order shuffles delivered rows in."""
+    if not key:
+        return df
+    key = [key] if isinstance(key, str) else list(key)
+    n = n_parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *key).sortWithinPartitions(*key)
+
+
 def random_forest(train: DataFrame, features: str = "features", label: str = "label",
                   num_trees: int = 100, max_depth: int = 10, min_instances: int = 1,
-                  subset: str = "sqrt", seed: int = 42):
-    """Random forest classifier (min_samples_split has no MLlib twin)."""
+                  subset: str = "sqrt", seed: int = 42, stable_key=None):
+    """Random forest classifier (min_samples_split has no MLlib twin).
+    Pass ``stable_key`` (a unique row key) for run-to-run identical models."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
                                 maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances,
                                 featureSubsetStrategy=subset, seed=seed)
-    return rf.fit(train.withColumn(label, F.col(label).cast("double")))
+    return rf.fit(stable_layout(train, stable_key).withColumn(label, F.col(label).cast("double")))
 
 
 def gbt(train: DataFrame, features: str = "features", label: str = "label", max_iter: int = 100,
-        step: float = 0.1, max_depth: int = 3, seed: int = 42):
+        step: float = 0.1, max_depth: int = 3, seed: int = 42, stable_key=None):
     """Gradient-boosted trees (binary)."""
     g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=step,
                       maxDepth=max_depth, seed=seed)
-    return g.fit(train.withColumn(label, F.col(label).cast("double")))
+    return g.fit(stable_layout(train, stable_key).withColumn(label, F.col(label).cast("double")))
 
 
 def ternary_boost(train: DataFrame, features: str = "features", label: str = "target",
@@ -166,7 +178,7 @@ def draw_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int = 10,
                  seed: int = 42, keep=("day",), label: str = "label",
-                 max_workers: int = 4) -> DataFrame:
+                 max_workers: int = 4, stable_key=None) -> DataFrame:
     """Best of n seeded trials by mean CV score. rf: weighted F1;
     gbt: accuracy. Trials run in a bounded thread pool (each fit is itself a
     distributed MLlib job). Returns the trial table with ``is_best``."""
@@ -176,10 +188,10 @@ def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int
 
     def run(t):
         if kind == "rf":
-            fit = lambda tr: random_forest(tr, label=label, seed=seed, **t)
+            fit = lambda tr: random_forest(tr, label=label, seed=seed, stable_key=stable_key, **t)
             sc = cv_scores(data, fold_col, fit, weighted_f1, list(keep), label)
         else:
-            fit = lambda tr: gbt(tr, label=label, seed=seed, **t)
+            fit = lambda tr: gbt(tr, label=label, seed=seed, stable_key=stable_key, **t)
             sc = cv_scores(data, fold_col, fit, accuracy_of, list(keep), label)
         return sum(sc) / len(sc)
 

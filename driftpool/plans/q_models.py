@@ -32,7 +32,7 @@ def day_split(spark, sf_dir):
 
 def forest_model(spark, sf_dir):
     sp = models.as_features(day_split(spark, sf_dir), "v")
-    model = models.random_forest(sp.where(~F.col("is_test")), seed=SEED)
+    model = models.random_forest(sp.where(~F.col("is_test")), seed=SEED, stable_key="day")
     return model, sp
 
 
@@ -97,7 +97,8 @@ def q_direction_gbt(spark, sf_dir):
     """Boosting on the 32 components of news rows, time-ordered 80/20."""
     rows = _news_rows(spark, sf_dir)
     feats = models.as_features(rows, [f"emb_pca_{i}" for i in range(32)])
-    model = models.gbt(feats.where(F.col("train_b")), max_iter=100, step=0.1, max_depth=3)
+    model = models.gbt(feats.where(F.col("train_b")), max_iter=100, step=0.1, max_depth=3,
+                       stable_key="vec_id")
     return models.predictions(model, feats.where(~F.col("train_b")), ["vec_id", "day"])
 
 
@@ -126,7 +127,7 @@ def q_param_search(spark, sf_dir):
     ranked = splits.chronological_order(d.select("day", "label"), ["day"])
     folds = splits.stratified_folds(ranked, "label").select("day", "fold")
     data = models.as_features(d.join(folds, "day"), "v")
-    return models.param_search(data, "fold", "rf", n_trials=10, seed=SEED)
+    return models.param_search(data, "fold", "rf", n_trials=10, seed=SEED, stable_key="day")
 
 
 @register("cv_score")
@@ -136,7 +137,7 @@ def q_cv_score(spark, sf_dir):
     ranked = splits.chronological_order(d.select("day", "label"), ["day"])
     folds = splits.stratified_folds(ranked, "label").select("day", "fold")
     data = models.as_features(d.join(folds, "day"), "v")
-    fit = lambda tr: models.random_forest(tr, seed=SEED)
+    fit = lambda tr: models.random_forest(tr, seed=SEED, stable_key="day")
     return models.cv_score(spark, models.cv_scores(data, "fold", fit, models.accuracy_of, ["day"]))
 
 
