@@ -91,14 +91,14 @@ def volume_km_regex(c) -> Column:
     """Keep digits, '.', 'K', 'M'; every K / M stands for a factor 1e3 /
     1e6 written after the digits before it ('12.5K' -> 12.5*1e3, '1KM' ->
     1*1e3*1e6); the product of the factors, or 0 when any factor is not a
-    number (empty text, '.', a leading K/M ...). Lower-case k/m and 'B' are
-    stripped, so '1.2B' -> 1.2."""
+    number (empty text, '.', a leading K/M ...) or the product is NaN
+    (0 x Inf). Lower-case k/m and 'B' are stripped, so '1.2B' -> 1.2."""
     s = F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"[^0-9.KM]", "")
     expr = F.replace(F.replace(s, F.lit("K"), F.lit("*1e3")), F.lit("M"), F.lit("*1e6"))
     vals = F.transform(F.split(expr, r"\*"), lambda f: f.try_cast("double"))
     ok = F.forall(vals, lambda v: v.isNotNull())
     prod = F.aggregate(vals, F.lit(1.0), lambda acc, v: acc * v)
-    return F.when(ok, prod).otherwise(F.lit(0.0))
+    return F.when(ok, F.nanvl(prod, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def date_parse(c, fmt: str = "MM/dd/yyyy") -> Column:

@@ -151,7 +151,9 @@ _F = f"list_transform(string_split(replace(replace({_S}, 'K', '*1e3'), 'M', '*1e
 @register("volume_km_regex", sql(f"""
 SELECT series, date_str, vol_str,
   CASE WHEN list_bool_and(list_transform({_F}, lambda v: v IS NOT NULL))
-       THEN list_reduce(list_prepend(CAST(1 AS DOUBLE), {_F}), lambda a, b: a * b) ELSE 0.0 END AS vol
+       THEN (CASE WHEN isnan(list_reduce(list_prepend(CAST(1 AS DOUBLE), {_F}), lambda a, b: a * b)) THEN 0.0
+                  ELSE list_reduce(list_prepend(CAST(1 AS DOUBLE), {_F}), lambda a, b: a * b) END)
+       ELSE 0.0 END AS vol
 FROM bars_raw_multi""", "bars_raw_multi"))
 def q_volume_km_regex(spark, sf_dir):
     r = fx.bars_raw(spark, sf_dir, multi=True)
