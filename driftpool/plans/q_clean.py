@@ -65,7 +65,7 @@ def q_non_empty_text(spark, sf_dir):
 
 @register("news_intake", sql("""
 SELECT channel_id, message_id, date, text FROM news WHERE text IS NOT NULL AND text <> ''""",
-                             "news"))
+                             "news"), timestamps="date")
 def q_news_intake(spark, sf_dir):
     return io.news_intake(fx.news(spark, sf_dir))
 
@@ -170,7 +170,7 @@ def q_date_parse(spark, sf_dir):
 
 @register("timestamp_to_day", sql("""
 SELECT message_id, CAST(date AS DATE) AS day, date_trunc('day', date) AS midnight
-FROM news""", "news"), dates="day")
+FROM news""", "news"), dates="day", timestamps="midnight")
 def q_timestamp_to_day(spark, sf_dir):
     n = fx.news(spark, sf_dir)
     return n.select("message_id", C.day_of("date").alias("day"),
@@ -242,7 +242,7 @@ PREV_DAY_NOW = dt.datetime(1995, 1, 2, 20, 59)  # D = 1995-01-01 (UTC+3 day minu
 @register("previous_day_news", sql("""
 SELECT channel_id, message_id, date, text FROM news
 WHERE date >= TIMESTAMP '1995-01-01 00:00:00' AND date < TIMESTAMP '1995-01-02 00:00:00'""",
-                                   "news"))
+                                   "news"), timestamps="date")
 def q_previous_day_news(spark, sf_dir):
     return filters.previous_day_news(fx.news(spark, sf_dir), PREV_DAY_NOW)
 
@@ -285,14 +285,15 @@ def q_price_csv_scan(spark, sf_dir):
     return io.read_price_csv(spark, path)
 
 
-@register("news_csv_scan", sql("SELECT channel_id, message_id, date, text FROM news", "news"))
+@register("news_csv_scan", sql("SELECT channel_id, message_id, date, text FROM news", "news"),
+          timestamps="date")
 def q_news_csv_scan(spark, sf_dir):
     path = shared_path(spark, "news-csv")
     io.write_csv(fx.news(spark, sf_dir), path)
     return io.read_csv(spark, path, io.NEWS_SCHEMA)
 
 
-@register("csv_export", "SELECT * FROM orders")
+@register("csv_export", "SELECT * FROM orders", timestamps="o_orderdate")
 def q_csv_export(spark, sf_dir):
     orders = fx.table(spark, sf_dir, "orders")
     path = shared_path(spark, "orders-csv")
@@ -315,9 +316,9 @@ def q_sql_file_query(spark, sf_dir):
 
 
 @register("vectors_for_model", sql(f"""
-SELECT vec_id, ts, CAST(i AS INTEGER) AS i, round(x, {R}) AS x
+SELECT vec_id, ts, CAST(i AS INTEGER) AS i, round(CAST(x AS DOUBLE), {R}) AS x
 FROM (SELECT vec_id, ts, unnest(range(len(v))) AS i, unnest(v) AS x FROM vecs
-      WHERE model_name = 'm1')""", "vecs"))
+      WHERE model_name = 'm1')""", "vecs"), timestamps="ts")
 def q_vectors_for_model(spark, sf_dir):
     v = io.vectors_for_model(fx.vecs(spark, sf_dir), "m1", columns=("vec_id", "ts", "v"),
                              ordered=True)

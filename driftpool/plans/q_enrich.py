@@ -50,7 +50,7 @@ SELECT channel_id, message_id, date,
        AS text
 FROM news n WHERE NOT EXISTS (SELECT 1 FROM news_done d
                               WHERE d.channel_id = n.channel_id AND d.message_id = n.message_id)""",
-                                     "news_done"))
+                                     "news_done"), timestamps="date")
 def q_translate_backlog(spark, sf_dir):
     """The whole backlog (J03) translated in one job, ready for the keyed
     insert into the translated table."""

@@ -29,7 +29,7 @@ def _to_insert(spark, sf_dir):
                                   fx.DUP_KEY, fx.DUP_ORDINAL)
 
 
-@register("insert_if_absent", sql(_S02, "dup_target"))
+@register("insert_if_absent", sql(_S02, "dup_target"), timestamps="l_shipdate")
 def q_insert_if_absent(spark, sf_dir):
     return _to_insert(spark, sf_dir)
 
@@ -51,7 +51,7 @@ def _backlog(spark, sf_dir):
     return joins.untranslated_backlog(fx.news(spark, sf_dir), fx.news_done(spark, sf_dir))
 
 
-@register("untranslated_backlog", sql(_BACKLOG, "news_done"))
+@register("untranslated_backlog", sql(_BACKLOG, "news_done"), timestamps="date")
 def q_untranslated_backlog(spark, sf_dir):
     return _backlog(spark, sf_dir)
 
@@ -63,7 +63,8 @@ def q_backlog_count(spark, sf_dir):
 
 @register("newest_backlog_batch", sql(f"""
 {_BACKLOG}
-ORDER BY date DESC NULLS FIRST, channel_id DESC, message_id DESC LIMIT 256""", "news_done"))
+ORDER BY date DESC NULLS FIRST, channel_id DESC, message_id DESC LIMIT 256""", "news_done"),
+          timestamps="date")
 def q_newest_backlog_batch(spark, sf_dir):
     return joins.newest_backlog_batch(_backlog(spark, sf_dir), k=256)
 

@@ -23,7 +23,8 @@ def _feed(spark, df, name, day_col):
 
 
 @register("stream_intake", sql("""
-SELECT channel_id, message_id, date, text FROM news WHERE text IS NOT NULL AND text <> ''""", "news"))
+SELECT channel_id, message_id, date, text FROM news WHERE text IS NOT NULL AND text <> ''""", "news"),
+          timestamps="date")
 def q_stream_intake(spark, sf_dir):
     """T01 over the news split in time-ordered files, then run again over a
     replay of the first file: every key lands once."""

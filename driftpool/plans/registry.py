@@ -18,22 +18,31 @@ ORACLES: dict[str, str] = {}
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Comparable output: DATE columns as ISO text (their hash then does not
-    depend on how a client library maps dates)."""
+    """Comparable output: DATE and TIMESTAMP_NTZ columns as ISO text (their
+    hash then does not depend on how a client library maps dates and time
+    units)."""
     from pyspark.sql import functions as F
-    from pyspark.sql.types import DateType
+    from pyspark.sql.types import DateType, TimestampNTZType
 
-    cols = [F.date_format(f.name, "yyyy-MM-dd").alias(f.name)
-            if isinstance(f.dataType, DateType) else F.col(f.name)
-            for f in df.schema.fields]
-    return df.select(*cols)
+    def show(f):
+        if isinstance(f.dataType, DateType):
+            return F.date_format(f.name, "yyyy-MM-dd").alias(f.name)
+        if isinstance(f.dataType, TimestampNTZType):
+            return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name)
+        return F.col(f.name)
 
+    return df.select(*[show(f) for f in df.schema.fields])
 
-def register(key: str, oracle: str | None = None, dates: tuple[str, ...] | str = ()):
-    """Register a query; ``dates`` names the DATE columns of the oracle output,
-    rendered as ISO text like ``present`` does on the Spark side."""
+
+def register(key: str, oracle: str | None = None, dates: tuple[str, ...] | str = (),
+             timestamps: tuple[str, ...] | str = ()):
+    """Register a query; ``dates`` / ``timestamps`` name the DATE / TIMESTAMP
+    columns of the oracle output, rendered as ISO text like ``present`` does on
+    the Spark side."""
     if isinstance(dates, str):
         dates = (dates,)
+    if isinstance(timestamps, str):
+        timestamps = (timestamps,)
 
     def deco(fn: Builder) -> Builder:
         if key in QUERIES:
@@ -47,8 +56,10 @@ def register(key: str, oracle: str | None = None, dates: tuple[str, ...] | str =
         built.raw = fn
         QUERIES[key] = built
         if oracle is not None:
-            if dates:
-                repl = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates)
+            if dates or timestamps:
+                repl = ", ".join([f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates]
+                                 + [f"strftime({t}, '%Y-%m-%d %H:%M:%S.%f') AS {t}"
+                                    for t in timestamps])
                 ORACLES[key] = f"SELECT * REPLACE ({repl}) FROM (\n{oracle}\n)"
             else:
                 ORACLES[key] = oracle
