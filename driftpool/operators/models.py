@@ -145,6 +145,20 @@ def cv_scores(data: DataFrame, fold_col: str, fit, score, keep, label="label") -
     return scores
 
 
+def cv_scores_expanding(rows: DataFrame, fit, score, keep, label="label",
+                        fold_col: str = "fold", role_col: str = "role") -> list[float]:
+    """Scores over time-series folds given as (row, fold, role) rows (L06):
+    fit on the fold's 'train' rows (everything before its test block), score
+    on its 'test' rows."""
+    folds = sorted(r[0] for r in rows.select(fold_col).distinct().collect())
+    scores = []
+    for f in folds:
+        part = rows.where(F.col(fold_col) == f)
+        model = fit(part.where(F.col(role_col) == "train"))
+        scores.append(score(predictions(model, part.where(F.col(role_col) == "test"), keep, label)))
+    return scores
+
+
 def cv_score(spark, scores: list[float]) -> DataFrame:
     """Mean and population std of fold scores."""
     df = spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "fold int, score double")
@@ -178,10 +192,12 @@ def draw_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int = 10,
                  seed: int = 42, keep=("day",), label: str = "label",
-                 max_workers: int = 4, stable_key=None) -> DataFrame:
+                 max_workers: int = 4, stable_key=None, scheme: str = "kfold") -> DataFrame:
     """Best of n seeded trials by mean CV score. rf: weighted F1;
-    gbt: accuracy. Trials run in a bounded thread pool (each fit is itself a
-    distributed MLlib job). Returns the trial table with ``is_best``."""
+    gbt: accuracy. ``scheme`` 'kfold': ``fold_col`` assigns each row one fold
+    (L07), train on the others; 'expanding': rows are (row, fold, role) from
+    L06. Trials run in a bounded thread pool (each fit is itself a distributed
+    MLlib job). Returns the trial table with ``is_best``."""
     space = RF_SPACE if kind == "rf" else GBT_SPACE
     trials = draw_trials(space, n_trials, seed)
     data = data.cache()
@@ -189,10 +205,14 @@ def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int
     def run(t):
         if kind == "rf":
             fit = lambda tr: random_forest(tr, label=label, seed=seed, stable_key=stable_key, **t)
-            sc = cv_scores(data, fold_col, fit, weighted_f1, list(keep), label)
+            metric = weighted_f1
         else:
             fit = lambda tr: gbt(tr, label=label, seed=seed, stable_key=stable_key, **t)
-            sc = cv_scores(data, fold_col, fit, accuracy_of, list(keep), label)
+            metric = accuracy_of
+        if scheme == "expanding":
+            sc = cv_scores_expanding(data, fit, metric, list(keep), label, fold_col)
+        else:
+            sc = cv_scores(data, fold_col, fit, metric, list(keep), label)
         return sum(sc) / len(sc)
 
     with ThreadPoolExecutor(max_workers=max_workers) as pool:

@@ -61,13 +61,15 @@ def window_mean_or_zero(selected: DataFrame, dim: int, v: str = "v") -> DataFram
 
 
 def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v",
-                           order=("ts", "vec_id"), max_len: int | None = None) -> DataFrame:
+                           order=("ts", "vec_id"), max_len: int | None = None,
+                           require_any: bool = False) -> DataFrame:
     """Days with >= 2 items: vectors in time order, zero-padded to the
     longest day, with length and mask.
 
     The day's list is built by one grouped collect; at scale a hot day makes one
     wide row, so ``max_len`` (if given) is checked, never silently cut: days
-    longer than it raise at run time via ``raise_error``.
+    longer than it raise at run time via ``raise_error``. ``require_any`` fails
+    when no day has two items (one cheap ``isEmpty`` probe).
     """
     seqs = (vecs.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct(*order, F.col(v).alias("_v")))).alias("_s"))
@@ -78,6 +80,8 @@ def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v"
         seqs = seqs.withColumn("length", F.when(
             F.col("length") <= max_len, F.col("length")).otherwise(
             F.raise_error(F.lit(f"day longer than max_len={max_len}")).cast("int")))
+    if require_any and seqs.isEmpty():
+        raise ValueError("no day with at least 2 items")
     longest = seqs.agg(F.max("length").alias("_L"), F.max(F.size(F.col("_seq")[0])).alias("_dim"))
     padded = seqs.crossJoin(F.broadcast(longest))  # one row
     pad = F.array_repeat(zero_vector(F.col("_dim")).cast("array<float>"), F.col("_L") - F.col("length"))

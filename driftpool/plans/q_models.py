@@ -132,13 +132,16 @@ def q_param_search(spark, sf_dir):
 
 @register("cv_score")
 def q_cv_score(spark, sf_dir):
-    """Forest accuracy over the 5 stratified folds: mean and std."""
-    d = day_table(spark, sf_dir)
-    ranked = splits.chronological_order(d.select("day", "label"), ["day"])
-    folds = splits.stratified_folds(ranked, "label").select("day", "fold")
-    data = models.as_features(d.join(folds, "day"), "v")
-    fit = lambda tr: models.random_forest(tr, seed=SEED, stable_key="day")
-    return models.cv_score(spark, models.cv_scores(data, "fold", fit, models.accuracy_of, ["day"]))
+    """Boosting on the 32 components of news rows, scored by accuracy
+    over 5 expanding time-series folds (L06): mean and population std."""
+    rows = _news_rows(spark, sf_dir)
+    ranked = splits.chronological_order(rows.select("vec_id", "day", "ts"), ["day", "ts", "vec_id"])
+    folds = splits.expanding_folds(ranked).select("vec_id", "fold", "role")
+    data = models.as_features(rows.join(folds, "vec_id"), [f"emb_pca_{i}" for i in range(32)])
+    fit = lambda tr: models.gbt(tr, max_iter=100, step=0.1, max_depth=3,
+                                stable_key="vec_id")
+    scores = models.cv_scores_expanding(data, fit, models.accuracy_of, ["vec_id"])
+    return models.cv_score(spark, scores)
 
 
 @register("predict_direction")
@@ -156,7 +159,7 @@ def q_predict_direction(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     p = vector_to_array("probability")
     pred = out.select(
-        "n_items",
+        "n_items", F.size("v").alias("embedding_dim"),
         F.when(F.col("prediction") == 1, "Increase").otherwise("Decrease").alias("direction"),
         F.element_at(p, F.col("prediction").cast("int") + 1).alias("confidence"))
     news = filters.previous_day_news(fx.news(spark, sf_dir), PREV_DAY_NOW)
