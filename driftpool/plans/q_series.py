@@ -72,7 +72,7 @@ WHERE price IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT
     ]
 
 
-def _fsql(body, src="bars_multi", fixture="bars_multi", dates="day", extra=()):
+def _fsql(body, src="bars_multi", fixture="bars_multi", extra=()):
     return sql(body, fixture, extra=feature_ctes(src) + list(extra))
 
 
@@ -243,7 +243,7 @@ _RANK = "row_number() OVER (ORDER BY day, ts, vec_id)"
 
 
 def _ranked_vecs(spark, sf_dir):
-    v = fx.vecs(spark, sf_dir).select("vec_id", "day", "ts", "label" if False else "model_name")
+    v = fx.vecs(spark, sf_dir).select("vec_id", "day", "ts")
     return splits.chronological_order(v, ["day", "ts", "vec_id"])
 
 
