@@ -61,7 +61,7 @@ def window_mean_or_zero(selected: DataFrame, dim: int, v: str = "v") -> DataFram
 
 
 def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v",
-                           order=("ts", "vec_id"), max_len: int | None = None,
+                           order=("ts", "vec_id"), max_len: int | None = 4096,
                            require_any: bool = False) -> DataFrame:
     """Days with >= 2 items: vectors in time order, zero-padded to the
     longest day, with length and mask.
@@ -91,6 +91,29 @@ def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v"
                          mask.alias("mask"))
 
 
+def daily_sequence_positions(vecs: DataFrame, keys=("series", "day"), v: str = "v",
+                             order=("ts", "vec_id"), n_parts: int | None = None) -> DataFrame:
+    """A14 in long form, for any day size: one row per item of a day with >= 2
+    items - (keys, pos 0-based in time order, vector, length, padded_len); the
+    padding rows and mask of the wide form are implied by pos < length.
+
+    Positions come from the skew-safe row number (a hot day is spread over
+    range partitions, never sorted or gathered in one task); length is a
+    grouped count and padded_len a one-row max, broadcast.
+    """
+    from driftpool.functions.ranking import row_number_in_group
+
+    ids = vecs.select(*keys, *order)
+    lengths = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("length")).where(F.col("length") >= 2)
+    ranked = row_number_in_group(ids.join(lengths.select(*keys), list(keys), "left_semi"),
+                                 list(keys), list(order), n_parts=n_parts, rank_col="_r")
+    longest = lengths.agg(F.max("length").alias("padded_len"))
+    out = (ranked.join(lengths, list(keys))
+           .join(vecs.select(*keys, *order, v), [*keys, *order])
+           .crossJoin(F.broadcast(longest)))  # one row
+    return out.select(*keys, (F.col("_r") - 1).alias("pos"), *order, v, "length", "padded_len")
+
+
 def pooling_gap(pooled: DataFrame, mean: DataFrame, keys=("series", "day"),
                 v: str = "v") -> DataFrame:
     """Mean squared difference between a pooled vector and the day mean,

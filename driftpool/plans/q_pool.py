@@ -77,3 +77,15 @@ def q_padded_daily_sequences(spark, sf_dir):
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_ones"),
                     F.round(F.col("seq")[0][0].cast("double"), R).alias("first_v0"),
                     F.round(F.col("seq")[F.col("length") - 1][0].cast("double"), R).alias("last_v0"))
+
+
+@register("daily_sequence_positions", sql("""
+SELECT series, day, CAST(row_number() OVER (PARTITION BY series, day ORDER BY ts, vec_id) - 1 AS BIGINT) AS pos,
+       vec_id, CAST(count(*) OVER (PARTITION BY series, day) AS BIGINT) AS length,
+       CAST(max(n) OVER () AS BIGINT) AS padded_len
+FROM (SELECT *, count(*) OVER (PARTITION BY series, day) AS n FROM vecs)
+WHERE n >= 2""", "vecs"), dates="day")
+def q_daily_sequence_positions(spark, sf_dir):
+    """A14 long form: item positions per multi-item day (skew-safe)."""
+    p = pooling.daily_sequence_positions(fx.vecs(spark, sf_dir))
+    return p.select("series", "day", "pos", "vec_id", "length", "padded_len")
