@@ -45,22 +45,33 @@ def _table_or_none(spark: SparkSession, path: str):
         return None
 
 
+PRUNE_LIMIT = 10_000  # most partition values listed in a pruning filter
+
+
 def stream_intake(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
                   key=("channel_id", "message_id"), ordinal=("date",),
-                  files_per_trigger: int = 1) -> StreamingQuery:
+                  files_per_trigger: int = 1, partition_col: str = "channel_id") -> StreamingQuery:
     """Messages with text land in ``target`` once per key, across batches
     and restarts: each micro-batch keeps its first row per key and appends only
     keys the target does not hold (insert-if-absent, never update). A replayed
-    batch finds its own rows and appends nothing."""
+    batch finds its own rows and appends nothing.
+
+    The target is partitioned by ``partition_col`` (a key column), and each
+    batch reads back only the partitions of the values it carries, so the
+    anti-join does not scan the whole history every micro-batch.
+    """
     msgs = _read(spark, source, schema, files_per_trigger).where(
         F.col("text").isNotNull() & (F.col("text") != ""))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        cur = _table_or_none(spark, target)
         rows = first_per_key(batch, list(key), list(ordinal))
+        cur = _table_or_none(spark, target)
         if cur is not None:
+            vals = [r[0] for r in rows.select(partition_col).distinct().limit(PRUNE_LIMIT + 1).collect()]
+            if len(vals) <= PRUNE_LIMIT and None not in vals:
+                cur = cur.where(F.col(partition_col).isin(vals))  # partition pruning
             rows = insert_if_absent(rows, cur, list(key), list(ordinal))
-        rows.write.mode("append").parquet(target)
+        rows.write.mode("append").partitionBy(partition_col).parquet(target)
 
     return (msgs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
