@@ -111,8 +111,8 @@ def encode_texts(news: DataFrame, model_name: str, dim: int = 64,
 
 def encode_report(total: DataFrame, encoded: DataFrame) -> DataFrame:
     """(processed, total) counts in one row."""
-    return (encoded.agg(F.count(F.lit(1)).alias("processed"))
-            .crossJoin(total.agg(F.count(F.lit(1)).alias("total"))))
+    return encoded.agg(F.count(F.lit(1)).alias("processed"),
+                       total.select(F.count(F.lit(1))).scalar().alias("total"))
 
 
 # The default word dictionary (English -> Russian) of the

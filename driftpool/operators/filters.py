@@ -19,13 +19,12 @@ def non_empty_text(df: DataFrame, text: str = "text") -> DataFrame:
 def news_in_price_range(vecs: DataFrame, bars: DataFrame, day: str = "day") -> DataFrame:
     """rows with day in [min bar day, max bar day], both inclusive.
 
-    The bounds are a global aggregate (exactly one row), so broadcasting it is
-    size-safe; the range test stays a plain filter after the cross join.
+    The bounds are scalar subqueries (Spark merges them into one aggregate of
+    the bars and runs it once); the range test is a plain filter.
     """
-    bounds = bars.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    return (vecs.crossJoin(F.broadcast(bounds))
-            .where(F.col(day).between(F.col("_lo"), F.col("_hi")))
-            .drop("_lo", "_hi"))
+    lo = bars.select(F.min(day)).scalar()
+    hi = bars.select(F.max(day)).scalar()
+    return vecs.where(F.col(day).between(lo, hi))
 
 
 def previous_day_news(news: DataFrame, now: dt.datetime, offset_hours: int = 3,

@@ -30,9 +30,8 @@ def news_price_fanout_join(items: DataFrame, bars: DataFrame, keys=("series", "d
 
 
 def _with_dim(bars: DataFrame, vecs: DataFrame, v: str) -> DataFrame:
-    """Attach the vector width (a one-row aggregate, safe to broadcast)."""
-    dim = vecs.agg(F.max(F.size(v)).alias("_dim"))
-    return bars.crossJoin(F.broadcast(dim))
+    """Attach the vector width (a scalar subquery over the vectors)."""
+    return bars.withColumn("_dim", vecs.select(F.max(F.size(v))).scalar())
 
 
 def _attach_or_zero(bars: DataFrame, day_vecs: DataFrame, on_day: str, keys, v: str,

@@ -32,7 +32,8 @@ def class_distribution(df: DataFrame, classes, label: str = "label") -> DataFram
 def confusion_matrix(df: DataFrame, classes, y_true="y_true", y_pred="y_pred") -> DataFrame:
     """True x predicted counts over the full class grid (zero cells kept)."""
     spark = df.sparkSession
-    grid = _classes(spark, classes, y_true).crossJoin(_classes(spark, classes, y_pred))
+    grid = spark.createDataFrame([(int(a), int(b)) for a in classes for b in classes],
+                                 f"{y_true} int, {y_pred} int")
     counts = (df.groupBy(F.col(y_true).cast("int").alias(y_true),
                          F.col(y_pred).cast("int").alias(y_pred))
               .agg(F.count(F.lit(1)).alias("n")))
@@ -104,18 +105,17 @@ def regression_metrics(df: DataFrame, order: list[str], y_true="y_true", y_pred=
     batches = (numbered.groupBy(F.floor((F.col("_rn") - 1) / batch_size).alias("_b"))
                .agg(F.avg(F.col("_e") * F.col("_e")).alias("_bl")))
     loss = batches.agg(F.avg("_bl").alias("loss"))
-    return point.crossJoin(loss).select("n", "loss", "mae", F.sqrt("mse").alias("rmse"), "mse",
-                                        "huber")
+    return point.select("n", loss.select("loss").scalar().alias("loss"), "mae",
+                        F.sqrt("mse").alias("rmse"), "mse", "huber")
 
 
 def improvement_pct(base: DataFrame, other: DataFrame,
                     metrics=("loss", "mae", "rmse")) -> DataFrame:
     """A10: (base - other) / base * 100 per metric (one-row inputs)."""
-    b = base.select(*[F.col(m).alias(f"_b_{m}") for m in metrics])
-    o = other.select(*[F.col(m).alias(f"_o_{m}") for m in metrics])
-    return b.crossJoin(o).select(*[
-        (F.try_divide(F.col(f"_b_{m}") - F.col(f"_o_{m}"), F.col(f"_b_{m}")) * 100).alias(
-            f"{m}_improvement_pct") for m in metrics])
+    o = {m: other.select(m).scalar() for m in metrics}
+    return base.select(*[
+        (F.try_divide(F.col(m) - o[m], F.col(m)) * 100).alias(f"{m}_improvement_pct")
+        for m in metrics])
 
 
 def data_profile(df: DataFrame, date_col: str) -> DataFrame:

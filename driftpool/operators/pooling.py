@@ -30,8 +30,11 @@ def attention_pool(vecs: DataFrame, weights: DataFrame, keys=("series", "day"),
     which is the softmax normalisation. A single-item day passes through
     unchanged (weight 1).
     """
-    scored = vecs.crossJoin(F.broadcast(weights.select("w"))).withColumn(
-        "_score", dot(F.col(v).cast("array<double>"), F.col("w"))).drop("w")
+    # the weights are one vector: bind them once (scalar subquery), then score
+    w = weights.select(F.col("w").cast("array<double>")).scalar()
+    scored = (vecs.withColumn("_w", w)
+              .withColumn("_score", dot(F.col(v).cast("array<double>"), F.col("_w")))
+              .drop("_w"))
     day_max = scored.groupBy(*keys).agg(F.max("_score").alias("_max"))
     weighted = scored.join(day_max, list(keys)).withColumn(
         "_wt", F.exp(F.col("_score") - F.col("_max")))
@@ -82,8 +85,8 @@ def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v"
             F.raise_error(F.lit(f"day longer than max_len={max_len}")).cast("int")))
     if require_any and seqs.isEmpty():
         raise ValueError("no day with at least 2 items")
-    longest = seqs.agg(F.max("length").alias("_L"), F.max(F.size(F.col("_seq")[0])).alias("_dim"))
-    padded = seqs.crossJoin(F.broadcast(longest))  # one row
+    padded = (seqs.withColumn("_L", seqs.select(F.max("length")).scalar())
+              .withColumn("_dim", seqs.select(F.max(F.size(F.col("_seq")[0]))).scalar()))
     pad = F.array_repeat(zero_vector(F.col("_dim")).cast("array<float>"), F.col("_L") - F.col("length"))
     mask = F.concat(F.array_repeat(F.lit(1), F.col("length")),
                     F.array_repeat(F.lit(0), F.col("_L") - F.col("length")))
@@ -99,7 +102,7 @@ def daily_sequence_positions(vecs: DataFrame, keys=("series", "day"), v: str = "
 
     Positions come from the skew-safe row number (a hot day is spread over
     range partitions, never sorted or gathered in one task); length is a
-    grouped count and padded_len a one-row max, broadcast.
+    grouped count and padded_len a scalar subquery.
     """
     from driftpool.functions.ranking import row_number_in_group
 
@@ -107,10 +110,9 @@ def daily_sequence_positions(vecs: DataFrame, keys=("series", "day"), v: str = "
     lengths = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("length")).where(F.col("length") >= 2)
     ranked = row_number_in_group(ids.join(lengths.select(*keys), list(keys), "left_semi"),
                                  list(keys), list(order), n_parts=n_parts, rank_col="_r")
-    longest = lengths.agg(F.max("length").alias("padded_len"))
     out = (ranked.join(lengths, list(keys))
            .join(vecs.select(*keys, *order, v), [*keys, *order])
-           .crossJoin(F.broadcast(longest)))  # one row
+           .withColumn("padded_len", lengths.select(F.max("length")).scalar()))
     return out.select(*keys, (F.col("_r") - 1).alias("pos"), *order, v, "length", "padded_len")
 
 

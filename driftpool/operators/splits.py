@@ -31,10 +31,9 @@ def _group_sizes(df: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _attach_sizes(ranked: DataFrame, group: list[str]) -> DataFrame:
-    sizes = _group_sizes(ranked, group)
     if not group:
-        return ranked.crossJoin(F.broadcast(sizes))  # one row
-    return ranked.join(sizes, group)
+        return ranked.withColumn("_n", ranked.select(F.count(F.lit(1))).scalar())
+    return ranked.join(_group_sizes(ranked, group), group)
 
 
 def chrono_split(ranked: DataFrame, test_size: float = 0.2, group: list[str] | None = None,
@@ -70,12 +69,11 @@ def expanding_folds(ranked: DataFrame, n_splits: int = 5, rank_col: str = "rank"
     """Time-series folds. s = n // (n_splits + 1); fold k = 1..n_splits
     tests ranks (n - (n_splits + 1 - k) s, n - (n_splits - k) s] and trains on
     all earlier ranks. Output: one row per (row, fold) it takes part in, with
-    role 'train' / 'test' (a non-equi join against the n_splits-row fold table)."""
+    role 'train' / 'test' (each row is repeated at most n_splits times by an
+    explode of the fold numbers; no join)."""
     g = list(group or [])
-    spark = ranked.sparkSession
-    folds = spark.createDataFrame([(k,) for k in range(1, n_splits + 1)], "fold int")
     r = _attach_sizes(ranked, g).withColumn("_s", F.floor(F.col("_n") / (n_splits + 1)))
-    j = r.crossJoin(F.broadcast(folds))  # n_splits rows: fixed size
+    j = r.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(1, n_splits + 1)])))
     start = F.col("_n") - (n_splits + 1 - F.col("fold")) * F.col("_s")  # 0-based test start
     end = start + F.col("_s")
     pos = F.col(rank_col) - 1
@@ -99,13 +97,13 @@ def stratified_folds(ranked: DataFrame, label: str, n_splits: int = 5,
     sizes = _group_sizes(ranked, [label])
     cum = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(cum), F.lit(0)))
-    folds = ranked.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold"))
     a, b = F.col("_start"), F.col("_start") + F.col("_n")
 
     def upto(x):  # count of p in [0, x) with p mod n_splits == fold
         return F.floor((x - 1 - F.col("fold")) / n_splits) + 1
 
-    alloc = (sizes.crossJoin(folds).withColumn("_cnt", upto(b) - upto(a)))
+    alloc = (sizes.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(n_splits)])))
+             .withColumn("_cnt", upto(b) - upto(a)))
     wf = Window.partitionBy(label).orderBy("fold")
     alloc = (alloc.withColumn("_hi", F.sum("_cnt").over(wf))
              .withColumn("_lo", F.col("_hi") - F.col("_cnt"))

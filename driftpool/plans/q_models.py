@@ -164,7 +164,9 @@ def q_predict_direction(spark, sf_dir):
         F.element_at(p, F.col("prediction").cast("int") + 1).alias("confidence"))
     news = filters.previous_day_news(fx.news(spark, sf_dir), PREV_DAY_NOW)
     digest = metrics.daily_digest(news, k=10)
-    return pred.crossJoin(digest.select("day", "n_news", F.size("top").alias("n_top")))
+    return pred.select("*", digest.select("day").scalar().alias("day"),
+                       digest.select("n_news").scalar().alias("n_news"),
+                       digest.select(F.size("top")).scalar().alias("n_top"))
 
 
 def _lookback_frame(spark, sf_dir, with_news: bool):
@@ -203,9 +205,9 @@ def q_combined_regressor(spark, sf_dir):
                 .select("day", F.col("target").alias("y_true"), F.col("prediction").alias("y_pred")))
         res[name] = metrics.regression_metrics(pred, ["day"])
     imp = metrics.improvement_pct(res["lags"], res["lags_news"])
-    return (res["lags"].withColumn("model", F.lit("lags"))
-            .unionByName(res["lags_news"].withColumn("model", F.lit("lags_news")))
-            .crossJoin(imp))
+    table = (res["lags"].withColumn("model", F.lit("lags"))
+             .unionByName(res["lags_news"].withColumn("model", F.lit("lags_news"))))
+    return table.select("*", *[imp.select(c).scalar().alias(c) for c in imp.columns])
 
 
 @register("best_by_validation")

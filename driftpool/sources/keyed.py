@@ -48,10 +48,10 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str],
 
 def insert_counts(batch: DataFrame, to_insert: DataFrame) -> DataFrame:
     """(batch_rows, inserted, skipped) in one row; inserted + skipped = batch."""
+    inserted = to_insert.select(F.count(F.lit(1))).scalar()
     b = batch.agg(F.count(F.lit(1)).alias("batch_rows"))
-    i = to_insert.agg(F.count(F.lit(1)).alias("inserted"))
-    return b.crossJoin(i).select(
-        "batch_rows", "inserted", (F.col("batch_rows") - F.col("inserted")).alias("skipped"))
+    return b.select("batch_rows", inserted.alias("inserted"),
+                    (F.col("batch_rows") - inserted).alias("skipped"))
 
 
 def append_if_absent(batch: DataFrame, target_path: str, key: list[str],
