@@ -17,7 +17,7 @@ DAY_ZERO = "1995-01-01"
 DAY_MOD_A = 23
 DAY_MOD_B = 29
 MINUTES_PER_DAY = 1440
-LOADED_BEFORE = "1994-01-01"  # dup_target: rows of an earlier load
+LOADED_BEFORE = "1997-01-01"  # dup_target: rows of an earlier load (ship dates start 1995)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

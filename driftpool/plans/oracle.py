@@ -58,7 +58,7 @@ SELECT * FROM news WHERE message_id IN (SELECT doc_id FROM labels)"""),
     "dup_target": ((), f"""
 SELECT * EXCLUDE (rn_) FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {DUP_ORDER}) AS rn_
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01')
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01')
 WHERE rn_ = 1 OR l_orderkey IS NULL OR l_linenumber IS NULL"""),
     "bars": ((), _BARS.format(series="'all'")),
     "bars_multi": ((), _BARS.format(series="o_orderpriority")),
