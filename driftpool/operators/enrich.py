@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftpool.functions.clean import clean_text, composite_key
+from driftpool.functions.layout import spread
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 WORD_SPLIT = r"[ \t\n\x0B\f\r]+"
@@ -31,26 +32,38 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(tok), 1, 6), 16, 10).cast("bigint") % dim).cast("int")
 
 
-def hashed_token_vectors(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """Default encoder: L2-normalised counts of hashed tokens, as
-    (key, embedding array<float>, embedding_size).
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often ``body``
+    uses it: the value is bound to a lambda variable. The expression then stays
+    one expression even where Catalyst inlines it (filters pushed through a
+    projection, e.g. the one inferred for an explode), so nothing is recomputed
+    per use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Tokens are exploded map-side and counted per (document, bucket) with
-    partial aggregation (at most ``dim`` rows per document leave a task); a
-    second aggregate folds those into a bucket -> count map per document. A
-    text without tokens keeps its row (explode_outer) and gets a zero vector.
+
+def hashed_token_vector(text: Column, dim: int = 64) -> Column:
+    """Default encoder for one text: L2-normalised counts of hashed tokens,
+    array<float> of ``dim`` (zero vector for a text without tokens).
+
+    Row-local: a text's tokens are in its own row, so the bucket counts are
+    array expressions (count of bucket i = size minus size with i removed) -
+    no explode, shuffle or join, whatever the corpus size. Cost per text is
+    tokens x ``dim`` comparisons in generated code; each token is hashed once.
     """
-    toks = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("_t"))
-    counts = (toks.groupBy(key, token_bucket(F.col("_t"), dim).alias("_b"))
-              .agg(F.count("_t").alias("_c")))
-    per_doc = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_c"))))
-        .alias("_m"),
-        F.sqrt(F.sum(F.col("_c") * F.col("_c")).cast("double")).alias("_n"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
-        F.try_divide(F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("double"), F.col("_n")),
-        F.lit(0.0)).cast("float"))
-    return per_doc.select(key, vec.alias("embedding"), F.lit(dim).alias("embedding_size"))
+    buckets = F.transform(tokens(text), lambda t: token_bucket(t, dim))
+
+    def counts(b: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                           lambda i: F.size(b) - F.size(F.array_remove(b, i)))
+
+    def normalise(c: Column) -> Column:
+        norm = _let(F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x * x)
+                           .cast("double")),
+                    lambda n: F.transform(c, lambda x: F.coalesce(
+                        F.try_divide(x.cast("double"), n), F.lit(0.0)).cast("float")))
+        return norm
+
+    return _let(_let(buckets, counts), normalise)
 
 
 def prepare_messages(news: DataFrame) -> DataFrame:
@@ -96,10 +109,10 @@ def encode_texts(news: DataFrame, model_name: str, dim: int = 64,
     (special_id, model_name, input_text, embedding_vector, embedding_size, timestamp).
     With a hook, rows of a failed batch are dropped (and counted by
     ``encode_report``)."""
-    msgs = prepare_messages(news)
+    msgs = spread(prepare_messages(news))
     if encoder_factory is None:
-        vec = hashed_token_vectors(msgs, "special_id", "input_text", dim)
-        enc = msgs.join(vec, "special_id")
+        enc = msgs.select("*", hashed_token_vector(F.col("input_text"), dim).alias("embedding"),
+                          F.lit(dim).alias("embedding_size"))
     else:
         enc = batch_map(msgs, encoder_factory, "input_text", "embedding", "array<float>", batch_size)
         enc = (enc.where(F.col("_error").isNull()).drop("_error")

@@ -37,7 +37,7 @@ FROM b JOIN n USING (special_id)""", "news", extra=_ENC))
 def q_encode_texts(spark, sf_dir):
     """Default encoder; the non-zero elements of each message vector."""
     e = enrich.encode_texts(fx.news(spark, sf_dir), "hash64", dim=64)
-    x = e.select("special_id", F.posexplode("embedding_vector").alias("i", "x"))
+    x = e.select("special_id", F.posexplode_outer("embedding_vector").alias("i", "x"))
     return (x.where(F.col("x") != 0)
             .select("special_id", "i", F.round(F.col("x").cast("double"), R).alias("x")))
 
