@@ -17,10 +17,23 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fit_cached(estimator, train: DataFrame):
+    """Fit with the training input persisted for the fit's passes (learners
+    scan it several times: split finding, label metadata, tree points or
+    iterations) and released afterwards. Lost cached blocks are recomputed from
+    lineage, which is deterministic here (``stable_layout``)."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(train)
+    finally:
+        train.unpersist()
+
+
 def as_features(df: DataFrame, cols, out: str = "features") -> DataFrame:
     """Array column(s) and/or numeric columns -> one MLlib vector column."""
     cols = [cols] if isinstance(cols, str) else list(cols)
@@ -46,7 +59,7 @@ def pca_features(df: DataFrame, v: str = "v", k: int = 32, prefix: str = "emb_pc
     x = as_features(df, v, "_x")
     pipe = Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_c", withMean=True, withStd=False),
                             PCA(k=k, inputCol="_c", outputCol="_p")])
-    model = pipe.fit(x)
+    model = fit_cached(pipe, x)
     arr = vector_to_array(F.col("_p"))
     keep = [c for c in df.columns if c != v]
     out = model.transform(x).select(*keep, *[arr[i].alias(f"{prefix}{i}") for i in range(k)])
@@ -78,7 +91,8 @@ def random_forest(train: DataFrame, features: str = "features", label: str = "la
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
                                 maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances,
                                 featureSubsetStrategy=subset, seed=seed)
-    return rf.fit(stable_layout(train, stable_key).withColumn(label, F.col(label).cast("double")))
+    return fit_cached(rf, stable_layout(train, stable_key)
+                      .withColumn(label, F.col(label).cast("double")))
 
 
 def gbt(train: DataFrame, features: str = "features", label: str = "label", max_iter: int = 100,
@@ -86,7 +100,8 @@ def gbt(train: DataFrame, features: str = "features", label: str = "label", max_
     """Gradient-boosted trees (binary)."""
     g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=step,
                       maxDepth=max_depth, seed=seed)
-    return g.fit(stable_layout(train, stable_key).withColumn(label, F.col(label).cast("double")))
+    return fit_cached(g, stable_layout(train, stable_key)
+                      .withColumn(label, F.col(label).cast("double")))
 
 
 def ternary_boost(train: DataFrame, features: str = "features", label: str = "target",
@@ -96,7 +111,7 @@ def ternary_boost(train: DataFrame, features: str = "features", label: str = "ta
     is binary only); the class models are fitted in parallel."""
     g = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=max_depth, seed=seed)
     ovr = OneVsRest(classifier=g, featuresCol=features, labelCol=label, parallelism=parallelism)
-    return ovr.fit(train.withColumn(label, F.col(label).cast("double")))
+    return fit_cached(ovr, train.withColumn(label, F.col(label).cast("double")))
 
 
 def predictions(model, df: DataFrame, keep, label: str = "label") -> DataFrame:

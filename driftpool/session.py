@@ -56,6 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to other executors and
+            # dies with its machine: on a cluster the shared folder is required
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="driftpool-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftpool.functions.layout import spread
+
 
 def _null_key(key: list[str]):
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
@@ -25,6 +27,7 @@ def first_per_key(batch: DataFrame, key: list[str], ordinal: list[str]) -> DataF
     candidate per key per task before the shuffle, so a hot key (or a batch full
     of repeats) ships one row per task instead of sorting all its rows in one.
     """
+    batch = spread(batch)  # the map-side aggregate sorts: give it every core
     rest = [c for c in batch.columns if c not in key and c not in ordinal]
     full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
     keyed = batch.where(full)
