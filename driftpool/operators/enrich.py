@@ -63,7 +63,9 @@ def hashed_token_vector(text: Column, dim: int = 64) -> Column:
                         F.try_divide(x.cast("double"), n), F.lit(0.0)).cast("float")))
         return norm
 
-    return _let(_let(buckets, counts), normalise)
+    # non-nullable: a NULL check Catalyst would infer (and push) folds away
+    return F.coalesce(_let(_let(buckets, counts), normalise),
+                      F.array_repeat(F.lit(0.0).cast("float"), dim))
 
 
 def prepare_messages(news: DataFrame) -> DataFrame:
