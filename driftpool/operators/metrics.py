@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftpool.functions.layout import spread
 from driftpool.functions.ranking import row_number_in_group, top_k_per_group
 
 
@@ -101,7 +102,9 @@ def regression_metrics(df: DataFrame, order: list[str], y_true="y_true", y_pred=
         delta * (F.abs("_e") - 0.5 * delta))
     point = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("_e")).alias("mae"),
                      F.avg(F.col("_e") * F.col("_e")).alias("mse"), F.avg(huber).alias("huber"))
-    numbered = row_number_in_group(rows, [], order, rank_col="_rn")
+    # the range exchange inside evaluates its input twice (bounds, shuffle):
+    # spread a coarse input first so neither pass is a single task
+    numbered = row_number_in_group(spread(rows), [], order, rank_col="_rn")
     batches = (numbered.groupBy(F.floor((F.col("_rn") - 1) / batch_size).alias("_b"))
                .agg(F.avg(F.col("_e") * F.col("_e")).alias("_bl")))
     loss = batches.agg(F.avg("_bl").alias("loss"))
