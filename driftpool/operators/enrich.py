@@ -185,26 +185,36 @@ SENTIMENT_WORDS = {
 }
 
 
-def lexicon_sentiment(text: Column, lexicon: dict[str, int] = SENTIMENT_WORDS):
+def lexicon_sentiment(text: Column, lexicon: dict[str, int] = SENTIMENT_WORDS) -> Column:
     """Default scorer: sum of word polarities -> label positive / negative /
-    neutral; score = |sum| / lexicon hits (0 without hits)."""
+    neutral; score = |sum| / lexicon hits (0 without hits). One struct
+    (label, score); the hits and their sum are bound once, so a text is
+    tokenised and looked up once."""
     m = F.create_map(*[F.lit(x) for kv in sorted(lexicon.items()) for x in kv])
     pol = F.transform(tokens(F.lower(text)), lambda t: F.try_element_at(m, t))
     hits = F.filter(pol, lambda p: p.isNotNull())
-    s = F.aggregate(hits, F.lit(0), lambda a, p: a + p)
-    label = (F.when(s > 0, F.lit("positive")).when(s < 0, F.lit("negative"))
-             .otherwise(F.lit("neutral")))
-    score = F.when(F.size(hits) > 0, F.abs(s).cast("double") / F.size(hits)).otherwise(F.lit(0.0))
-    return label, score
+
+    def summarise(h: Column) -> Column:
+        def result(s: Column) -> Column:
+            label = (F.when(s > 0, F.lit("positive")).when(s < 0, F.lit("negative"))
+                     .otherwise(F.lit("neutral")))
+            score = F.when(F.size(h) > 0, F.abs(s).cast("double") / F.size(h)).otherwise(
+                F.lit(0.0))
+            return F.struct(label.alias("label"), score.alias("score"))
+        return _let(F.aggregate(h, F.lit(0), lambda a, p: a + p), result)
+
+    return _let(hits, summarise)
 
 
 def score_sentiment(docs: DataFrame, text: str = "text", scorer_factory: Callable | None = None,
                     batch_size: int = 32) -> DataFrame:
     """(text, label, score) per row; with a hook, a failing batch gives
     label 'ERROR' and score 0.0 for its rows."""
+    docs = spread(docs)
     if scorer_factory is None:
-        label, score = lexicon_sentiment(F.col(text))
-        return docs.withColumn("label", label).withColumn("score", score)
+        return (docs.withColumn("_res", lexicon_sentiment(F.col(text)))
+                .withColumn("label", F.col("_res.label"))
+                .withColumn("score", F.col("_res.score")).drop("_res"))
     out = batch_map(docs, scorer_factory, text, "_res", "struct<label:string,score:double>",
                     batch_size)
     return (out.withColumn("label", F.when(F.col("_error").isNull(), F.col("_res.label"))
