@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def seed_order(seed: int | str, id_col: str) -> Column:
@@ -18,11 +19,20 @@ def seeded_sample(df: DataFrame, n: int, seed: int | str, id_col: str) -> DataFr
 
 
 def chronological_order(df: DataFrame, order: list[str], group: list[str] | None = None,
-                        rank_col: str = "rank") -> DataFrame:
+                        rank_col: str = "rank", bounded_groups: bool = False) -> DataFrame:
     """1-based rank of every row by ``order`` (a total order), skew-safe
-    (no single-task global sort window)."""
+    (no single-task global sort window).
+
+    ``bounded_groups`` declares that no group can grow with the data - a bar
+    series is one row per trading day, bounded by the calendar - so a plain
+    window per group ranks it, without the range exchange and checkpoint the
+    skew-safe form needs for unbounded groups.
+    """
     from driftpool.functions.ranking import row_number_in_group
 
+    if bounded_groups and group:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
     return row_number_in_group(df, list(group or []), order, rank_col=rank_col)
 
 
@@ -92,7 +102,6 @@ def stratified_folds(ranked: DataFrame, label: str, n_splits: int = 5,
     find their fold by a range test against it (broadcast: classes x folds).
     """
     from driftpool.functions.ranking import row_number_in_group
-    from pyspark.sql.window import Window
 
     sizes = _group_sizes(ranked, [label])
     cum = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)

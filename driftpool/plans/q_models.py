@@ -104,7 +104,8 @@ def q_direction_gbt(spark, sf_dir):
 
 def _feature_split(spark, sf_dir):
     f = W.bar_feature_table(fx.bars(spark, sf_dir))
-    ranked = splits.chronological_order(f, ["day"], group=["series"])
+    ranked = splits.chronological_order(f, ["day"], group=["series"],
+                                        bounded_groups=True)
     sp = splits.chrono_split(ranked, 0.2, group=["series"]).withColumnRenamed("train_b", "is_train")
     scaled = W.standard_scale(sp, W.FEATURES, train_col="is_train")
     return models.as_features(scaled, W.FEATURES)
@@ -177,7 +178,8 @@ def _lookback_frame(spark, sf_dir, with_news: bool):
                                 news_policy="same_day_mean_required" if with_news else "none")
     lags = F.flatten(F.transform("seq", lambda s: F.array(*[s[c] for c in W.SEQ_FEATURES])))
     seqs = seqs.withColumn("lags", F.transform(lags, lambda x: F.coalesce(x, F.lit(0.0))))
-    ranked = splits.chronological_order(seqs.select("series", "day"), ["day"], group=["series"])
+    ranked = splits.chronological_order(seqs.select("series", "day"), ["day"], group=["series"],
+                                        bounded_groups=True)
     sp = splits.chrono_split(ranked, 0.2, group=["series"]).select("series", "day", "train_a")
     return seqs.join(sp, ["series", "day"])
 
@@ -215,7 +217,8 @@ def q_best_by_validation(spark, sf_dir):
     """regParam candidates for M09, validated on the last 20 % of the
     training rows; the loss table with the winner marked."""
     data = models.as_features(_lookback_frame(spark, sf_dir, False), "lags").where(F.col("train_a"))
-    ranked = splits.chronological_order(data.select("series", "day"), ["day"], group=["series"])
+    ranked = splits.chronological_order(data.select("series", "day"), ["day"], group=["series"],
+                                        bounded_groups=True)
     sp = splits.chrono_split(ranked, 0.2, group=["series"]).select("series", "day",
                                                                    F.col("train_a").alias("fit_part"))
     d = data.join(sp, ["series", "day"])

@@ -231,7 +231,8 @@ SELECT *, row_number() OVER (PARTITION BY series ORDER BY day)
 FROM feat""")]), dates="day")
 def q_standard_scale(spark, sf_dir):
     feats = W.bar_feature_table(_bars(spark, sf_dir))
-    ranked = splits.chronological_order(feats, ["day"], group=["series"])
+    ranked = splits.chronological_order(feats, ["day"], group=["series"],
+                                        bounded_groups=True)
     split = splits.chrono_split(ranked, 0.2, group=["series"]).withColumnRenamed("train_b", "is_train")
     scaled = W.standard_scale(split, _STD_COLS, train_col="is_train")
     return scaled.select("series", "day", "is_train", *[_r(c) for c in _STD_COLS])
