@@ -48,3 +48,14 @@ def test_spread_keeps_rows_and_widens_only_coarse_inputs(spark):
     assert sorted(r.id for r in wide.collect()) == list(range(1000))
     already = spark.range(0, 1000, numPartitions=target)
     assert spread(already, target) is already
+
+
+def test_spread_leaves_shuffled_inputs_and_runs_no_job(spark):
+    sc = spark.sparkContext
+    shuffled = spark.range(0, 1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).count()
+    sc.setJobGroup("spread-probe", "spread on a shuffled input")
+    try:
+        assert spread(shuffled, 64) is shuffled
+        assert sc.statusTracker().getJobIdsForGroup("spread-probe") == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
