@@ -4,9 +4,16 @@ say it, the oracle SQL. ``QUERIES`` and ``ORACLES`` are filled on ``load``."""
 
 from __future__ import annotations
 
+import sys
 from importlib import import_module
 
-MODULES = ("simhash",)
+from pyspark import cloudpickle
+
+MODULES = ("langid", "linededup", "simhash", "substrings", "decontam", "mixing")
+
+
+# task functions travel with their code, so that executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def load() -> tuple[dict, dict]:
