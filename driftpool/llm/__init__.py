@@ -9,7 +9,8 @@ from importlib import import_module
 
 from pyspark import cloudpickle
 
-MODULES = ("langid", "linededup", "tokencount", "simhash", "substrings", "toxicity", "decontam", "mixing")
+MODULES = ("langid", "chat", "linededup", "tokencount", "simhash", "substrings", "toxicity",
+           "decontam", "mixing")
 
 
 # task functions travel with their code, so that executors need no installed copy
