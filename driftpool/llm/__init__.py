@@ -9,7 +9,7 @@ from importlib import import_module
 
 from pyspark import cloudpickle
 
-MODULES = ("langid", "chat", "linededup", "tokencount", "simhash", "substrings", "toxicity",
+MODULES = ("ann", "langid", "chat", "linededup", "tokencount", "simhash", "substrings", "toxicity",
            "decontam", "mixing")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object that travels with its class's code, as task functions do."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.raw, self.own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self) -> Any:
+        if self.own is None:
+            self.own = pickle.loads(self.raw.value)
+        return self.own
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id's text leaves 2 when divided by 4; a null id
     is not held out."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftpool.llm.common import add_columns, table
+from driftpool.llm.common import Shared, add_columns, table
 
 QUERY_NAME = "op9_benchmark_decontamination"
 ORACLE_SQL = None  # alignment is no SQL; tests hold it against brute force
@@ -168,7 +168,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
 
 def _with_seeds(docs: DataFrame, text_col: str, block: Items) -> Items:
     """First pass: texts that hold each n-gram of the block; picks the seeds."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = Shared(docs.sparkSession, block)
 
     def count(batches):
         block = shared.value
@@ -184,7 +184,6 @@ def _with_seeds(docs: DataFrame, text_col: str, block: Items) -> Items:
     texts_with = np.zeros(len(block.grams), np.int64)
     texts_with[totals["gram"].to_numpy()] = totals["n"].to_numpy()
     block.choose(texts_with)
-    shared.unpersist()
     return block
 
 
@@ -206,7 +205,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(_with_seeds(src, "text", block))
+        shared = Shared(docs.sparkSession, _with_seeds(src, "text", block))
 
         def scan(batches, shared=shared):
             block = shared.value
@@ -236,9 +235,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     """The rows of ``docs`` whose text leaks no test item; columns unchanged. Row
     by row, so ids may be null or repeated. See ``matches``."""
     names = docs.columns
+    whole = docs.select(F.col(f"`{text_col}`").alias("text"))
     for block in blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(
-            _with_seeds(docs.select(F.col(f"`{text_col}`").alias("text")), "text", block))
+        shared = Shared(docs.sparkSession, _with_seeds(whole, "text", block))
 
         def make(shared=shared):
             block = shared.value

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftpool.llm.common import add_columns, cut, held_out, table
+from driftpool.llm.common import Shared, add_columns, cut, held_out, table
 
 QUERY_NAME = "op2_language_id"
 ORACLE_SQL = None  # tests hold it against a set-based version and held-out accuracy
@@ -145,7 +145,7 @@ def identify(df: DataFrame, learned: Filter, text_col: str = "text",
     nothing was learned. No n-gram known to any language: the most frequent
     language, score 0. Row by row: repeated rows, null ids and other columns pass
     through; columns named lang_pred or score are replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(learned)
+    shared = Shared(df.sparkSession, learned)
 
     def make():
         model = shared.value

@@ -151,7 +151,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.withColumn("__own", tag)
     kept = rows.join(cut(stay, "kept"), rows[f"`{id_col}`"].eqNullSafe(F.col("__id"))
                      & (F.col("__own") == F.col("__tag")), "left_semi")
-    return kept.dropDuplicates([id_col, "__own"]).drop("__own")
+    # only rows repeated with id and text meet again to leave one of each
+    again = cut(docs.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                .select(F.col("id").alias("__id"), F.col("tag").alias("__tag")), "repeated-rows")
+    if again.count():
+        same = kept[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (kept["__own"] == F.col("__tag"))
+        kept = (kept.join(again, same, "left_anti")
+                .union(kept.join(again, same, "left_semi").dropDuplicates([id_col, "__own"])))
+    return kept.drop("__own")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

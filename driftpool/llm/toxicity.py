@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftpool.llm.common import add_columns, cut, held_out, table
+from driftpool.llm.common import Shared, add_columns, cut, held_out, table
 
 QUERY_NAME = "op8_toxicity"
 ORACLE_SQL = None  # tests hold the matcher against brute force and scores against held-out labels
@@ -270,18 +270,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model(Lexicon(), np.zeros(N_FEATURES),
                      float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     toxic = _counts(rows.where("toxic = 1"), lambda t: terms_of(words_of(t)))
-    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    wanted = Shared(rows.sparkSession, frozenset(toxic))
     clean_rows = rows.where("toxic = 0")
     clean = _counts(clean_rows, lambda t: terms_of(words_of(t)) & wanted.value)
     lexicon = _lexicon(toxic, clean, n_toxic, n_clean)
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+    shared = Shared(rows.sparkSession, lexicon)
 
     def usual(text):
         words = words_of(text)
         return {words[i].strip(EDGE) for i, kind, _ in shared.value.matches(words) if kind == 2}
 
     lexicon.usual = frozenset(_counts(clean_rows, usual))
-    final = rows.sparkSession.sparkContext.broadcast(lexicon)
+    final = Shared(rows.sparkSession, lexicon)
     kinds = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
     table_ = add_columns(rows, "text", kinds.fields, lambda: lambda texts: [
         pa.array([final.value.features(t.as_py()) for t in texts], pa.list_(pa.float64()))],
@@ -297,7 +297,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
     score >= threshold). Null and empty texts score as texts without matches. Row
     by row: repeated rows, null ids and other columns pass through; columns named
     score or predicted are replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df.sparkSession, model)
 
     def make():
         own = shared.value
