@@ -30,10 +30,10 @@ from driftpool.llm.common import Shared, add_columns, table
 
 QUERY_NAME = "op9_benchmark_decontamination"
 ORACLE_SQL = None  # alignment is no SQL; tests hold it against brute force
-NGRAM, WINDOW = 3, 6
+NGRAM, WINDOW = 3, 4
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: a passage counts if its alignment reaches this share of a perfect copy's score
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 BLOCK_WORDS = 500_000
 #: ASCII that is neither letter nor digit separates words
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
