@@ -132,6 +132,14 @@ def finite_or_zero(c) -> Column:
     return F.coalesce(finite_or_null(c), F.lit(0.0))
 
 
+def finite_or_fail(c) -> Column:
+    """P13's last check before training: the value, or a run-time error where it is
+    still NaN or infinite (NULL passes; it is dropped or filled elsewhere)."""
+    x = _c(c)
+    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("value is not finite")).cast("double")).otherwise(x)
+
+
 def clip(c, lo: float, hi: float) -> Column:
     """Clip keeping NULL (greatest/least skip NULLs, so guard first)."""
     x = _c(c)
@@ -149,6 +157,14 @@ def vector_dim(v) -> Column:
     return F.size(_c(v))
 
 
+def checked_vector(v, size) -> Column:
+    """P14 as a check: the vector, or a run-time error where its width is not the
+    stored ``size`` (a NULL vector passes)."""
+    x = _c(v)
+    wrong = x.isNotNull() & ~F.size(x).eqNullSafe(_c(size))
+    return F.when(~wrong, x).otherwise(F.raise_error(F.lit("vector width is not its stored size")))
+
+
 def headline_preview(c, n: int = 100) -> Column:
     """First n characters, '...' appended only when longer."""
     return F.concat(F.substring(_c(c), 1, n),

@@ -1,30 +1,14 @@
-"""Input layout helpers."""
+"""Input layout helper."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 
-# a shuffle in the physical plan (broadcasts do not count: "BroadcastExchange")
-_SHUFFLE = re.compile(r"\bExchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning"
-                      r"|SinglePartition)")
-
-
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """At least ``min_parts`` (default: the cluster's parallelism) partitions
-    for per-row heavy work (regexes, hashing, model hooks).
 
-    A large input already arrives in many file splits and is returned as is (no
-    shuffle); only a coarse input - a few big files or row groups, which Spark
-    cannot split further - is redistributed round-robin, so the work is not
-    left to a handful of tasks. An input that is already shuffled is returned
-    as is, without asking for its partition count: adaptive execution would
-    run its shuffle stages to answer, and they would run again in the query.
-    """
-    if _SHUFFLE.search(df._jdf.queryExecution().executedPlan().toString()):
-        return df
-    target = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` dealt round-robin over ``parts`` partitions, or as it is without
+    ``parts``. For per-row heavy work on an input of a few big row groups, which
+    Spark cannot split further; a large input already has many splits and needs no
+    extra shuffle. The caller decides: nothing is probed, and results never depend
+    on it."""
+    return df.repartition(parts) if parts else df

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftpool.functions.nullsafe import join_groups
+
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
                     salt_buckets: int = 32, salt_cols: list[str] | None = None,
@@ -35,7 +37,8 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 def row_number_in_group(df: DataFrame, group: list[str], order: list[str],
                         n_parts: int | None = None, rank_col: str = "rank") -> DataFrame:
     """Exact 1-based row number within ``group`` by ascending ``order`` (a total
-    order), without sorting any group in a single task.
+    order), without sorting any group in a single task. NULL group values form a
+    group; NULLs in ``order`` come first. Runs the numbering job at once.
 
     1. range-partition on (group, order): a hot group spans several bounded
        partitions;
@@ -44,6 +47,9 @@ def row_number_in_group(df: DataFrame, group: list[str], order: list[str],
        small (partition, group) count table (partitions x groups rows at most,
        broadcast by the planner when small, shuffled otherwise).
 
+    The number of partitions is ``n_parts``, or else follows the session's shuffle
+    partitions and adaptive sizes, so slices stay bounded as the data grows.
+
     The numbered slices are written once with a reliable ``checkpoint()`` into
     the shared checkpoint folder: the row side and the count side must see the
     same range boundaries, and two range exchanges would each sample their own
@@ -55,13 +61,13 @@ def row_number_in_group(df: DataFrame, group: list[str], order: list[str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     cols = list(group) + list(order)
-    n = n_parts or spark.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(n_parts, *cols) if n_parts else df.repartitionByRange(*cols)
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", *group).orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w)).checkpoint(eager=True)
     counts = local.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).drop("_cnt")
-    return (local.join(offsets, ["_pid", *group])
+    return (join_groups(local, offsets, ["_pid", *group])
             .withColumn(rank_col, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_pid", "_local", "_off"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from driftpool.functions.clean import clean_text, composite_key
 from driftpool.functions.layout import spread
+from driftpool.session import write_shared
+from driftpool.sources.keyed import append_if_absent, table_or_none
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 WORD_SPLIT = r"[ \t\n\x0B\f\r]+"
@@ -77,41 +79,60 @@ def prepare_messages(news: DataFrame) -> DataFrame:
 
 
 def batch_map(df: DataFrame, fn_factory: Callable[[], Callable[[list[str]], list]],
-              text: str, out_col: str, out_type: str, batch_size: int) -> DataFrame:
+              text: str, out_col: str, out_type: str, batch_size: int,
+              retries: int = 0) -> DataFrame:
     """Run a batch model over ``text`` with mapInPandas.
 
     ``fn_factory`` is called once per task (loads the model); its function maps
-    a list of texts to a list of results of the same length. Each batch either
-    succeeds whole or yields ``out_col`` NULL and the error in ``_error``.
+    a list of texts to a list of results of the same length. A batch that fails is
+    tried again up to ``retries`` times, then text by text, each as often: only
+    texts that fail on their own get ``out_col`` NULL and their error in
+    ``_error``. Every row comes out once, from one evaluation, and what becomes of
+    a text does not depend on the batch or partition it is in.
     """
     schema = f"{df.schema.simpleString()[7:-1]}, {out_col} {out_type}, _error string"
 
+    def attempt(fn, texts: list[str]) -> tuple[list | None, str | None]:
+        """(results, None), or (None, the last error) after all retries."""
+        error = None
+        for _ in range(retries + 1):
+            try:
+                res = list(fn(texts))
+                if len(res) != len(texts):
+                    raise ValueError(f"{len(res)} results for {len(texts)} texts")
+                return res, None
+            except Exception as e:  # whatever the model raises belongs to its texts
+                error = f"{type(e).__name__}: {e}"
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = fn_factory()
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[start:start + batch_size].copy()
-                try:
-                    res = list(fn(chunk[text].tolist()))
-                    if len(res) != len(chunk):
-                        raise ValueError(f"{len(res)} results for {len(chunk)} texts")
-                    chunk[out_col] = res
-                    chunk["_error"] = None
-                except Exception as e:  # isolate the batch
-                    chunk[out_col] = None
-                    chunk["_error"] = f"{type(e).__name__}: {e}"[:500]
+                texts = chunk[text].tolist()
+                res, error = attempt(fn, texts)
+                if res is None and len(texts) > 1:
+                    alone = [attempt(fn, [t]) for t in texts]
+                    res = [r[0] if r else None for r, _ in alone]
+                    errors = [e for _, e in alone]
+                else:
+                    res, errors = res or [None] * len(texts), [error] * len(texts)
+                chunk[out_col] = pd.Series(res, index=chunk.index, dtype=object)
+                chunk["_error"] = pd.Series(errors, index=chunk.index, dtype=object)
                 yield chunk
 
     return df.mapInPandas(run, schema)
 
 
 def encode_texts(news: DataFrame, model_name: str, dim: int = 64,
-                 encoder_factory: Callable | None = None, batch_size: int = 192) -> DataFrame:
+                 encoder_factory: Callable | None = None, batch_size: int = 192,
+                 parts: int | None = None) -> DataFrame:
     """Messages -> rows for the vector table
     (special_id, model_name, input_text, embedding_vector, embedding_size, timestamp).
-    With a hook, rows of a failed batch are dropped (and counted by
-    ``encode_report``)."""
-    msgs = spread(prepare_messages(news))
+    With a hook, messages it fails on (alone) are dropped, and counted by
+    ``encode_report``. ``parts``: see ``layout.spread``."""
+    msgs = spread(prepare_messages(news), parts)
     if encoder_factory is None:
         enc = msgs.select("*", hashed_token_vector(F.col("input_text"), dim).alias("embedding"),
                           F.lit(dim).alias("embedding_size"))
@@ -124,6 +145,14 @@ def encode_texts(news: DataFrame, model_name: str, dim: int = 64,
                       F.col("date").alias("timestamp"))
 
 
+def store_vectors_if_absent(encoded: DataFrame, target_path: str) -> DataFrame:
+    """U01 tail: the encoded rows appended to the vector table, one per
+    (model_name, special_id) - the first by time and text; keys already stored are
+    left alone. Returns the table."""
+    return append_if_absent(encoded, target_path, ["model_name", "special_id"],
+                            ["timestamp", "input_text"])
+
+
 def encode_report(total: DataFrame, encoded: DataFrame) -> DataFrame:
     """(processed, total) counts in one row."""
     return encoded.agg(F.count(F.lit(1)).alias("processed"),
@@ -152,28 +181,49 @@ def translate_backlog(backlog: DataFrame, translator_factory: Callable | None =
                       batch_size: int = 32, max_retries: int = 2) -> DataFrame:
     """Every backlog message translated, same key and date, in one job.
 
-    With a hook, a failed batch is retried up to ``max_retries`` times (rows of
-    failed batches only); rows still failing keep text '' and their error in
-    ``error`` instead of being stored silently as translated.
+    With a hook, a failed batch is retried up to ``max_retries`` times within its
+    task, then text by text; messages that still fail keep text '' and their error
+    in ``error`` instead of being stored silently as translated.
     """
     base = backlog.select("channel_id", "message_id", "date", clean_text("text").alias("src"))
     if translator_factory is None:
         return base.select("channel_id", "message_id", "date",
                            dictionary_translate(F.col("src")).alias("text"),
                            F.lit(None).cast("string").alias("error"))
-    done = None
-    pending = base
-    for attempt in range(max_retries + 1):
-        out = batch_map(pending, translator_factory, "src", "text", "string", batch_size)
-        ok = out.where(F.col("_error").isNull()).drop("_error")
-        done = ok if done is None else done.unionByName(ok)
-        pending = out.where(F.col("_error").isNotNull())
-        if attempt < max_retries:
-            pending = pending.drop("text", "_error")
-    failed = pending.select("channel_id", "message_id", "date", "src",
-                            F.lit("").alias("text"), F.col("_error").alias("error"))
-    return (done.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
-            .drop("src"))
+    out = batch_map(base, translator_factory, "src", "text", "string", batch_size, max_retries)
+    return out.select("channel_id", "message_id", "date",
+                      F.coalesce("text", F.lit("")).alias("text"), F.col("_error").alias("error"))
+
+
+def translate_into(source: DataFrame, target_path: str, translator_factory: Callable | None = None,
+                   batch_size: int = 32, max_retries: int = 2, max_rounds: int = 10) -> DataFrame:
+    """U02 end to end: the messages of ``source`` whose key the table at
+    ``target_path`` does not hold are translated and inserted by key, in rounds
+    until none is left. Messages that fail are not stored; when a round stores
+    nothing, or after ``max_rounds``, those left are for a later call. Returns the
+    table (channel_id, message_id, date, text)."""
+    spark, key = source.sparkSession, ["channel_id", "message_id"]
+    columns = [*key, "date", "text"]
+    schema = source.select(*columns).schema
+    for _ in range(max_rounds):
+        target = table_or_none(spark, target_path, schema)
+        if target is None:
+            target = spark.createDataFrame([], schema)
+        backlog = source.select(*columns).join(target.select(*key), key, "left_anti")
+        # written first, so that a model that answers differently is asked once
+        done = write_shared(translate_backlog(backlog, translator_factory, batch_size, max_retries),
+                            "translated")
+        good = done.where(F.col("error").isNull()).select(*columns)
+        # NULL keys are never found in the target: once is enough
+        again = done.where(F.col("error").isNotNull() & F.col(key[0]).isNotNull()
+                           & F.col(key[1]).isNotNull())
+        stored = not good.isEmpty()
+        if stored:
+            append_if_absent(good, target_path, key, ["date", "text"])
+        source = source.join(again.select(*key), key, "left_semi")
+        if not stored or again.isEmpty():
+            break
+    return spark.read.schema(schema).parquet(target_path)
 
 
 # The default sentiment lexicon (word -> polarity).
@@ -207,10 +257,10 @@ def lexicon_sentiment(text: Column, lexicon: dict[str, int] = SENTIMENT_WORDS) -
 
 
 def score_sentiment(docs: DataFrame, text: str = "text", scorer_factory: Callable | None = None,
-                    batch_size: int = 32) -> DataFrame:
-    """(text, label, score) per row; with a hook, a failing batch gives
-    label 'ERROR' and score 0.0 for its rows."""
-    docs = spread(docs)
+                    batch_size: int = 32, parts: int | None = None) -> DataFrame:
+    """(text, label, score) per row; with a hook, a text it fails on (alone)
+    gets label 'ERROR' and score 0.0. ``parts``: see ``layout.spread``."""
+    docs = spread(docs, parts)
     if scorer_factory is None:
         return (docs.withColumn("_res", lexicon_sentiment(F.col(text)))
                 .withColumn("label", F.col("_res.label"))

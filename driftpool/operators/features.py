@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftpool.functions.nullsafe import join_groups
+
 
 def bar_window(series: str = "series", order: str = "day"):
     return Window.partitionBy(series).orderBy(order)
@@ -152,7 +154,8 @@ def lookback_sequences(bars: DataFrame, lookback: int = 30, features=tuple(SEQ_F
 
     news_policy: 'none' (all windows), 'same_day_or_zero' (J04),
     'prev_bar_or_zero' (J05), 'same_day_mean_required' (J06 - windows are cut
-    over the full bar list first, then bars without news drop out).
+    over the full bar list first, then bars without news drop out; column
+    ``n_items`` counts their news).
     """
     w = bar_window()
     frame = w.rowsBetween(-lookback, -1)
@@ -166,11 +169,13 @@ def lookback_sequences(bars: DataFrame, lookback: int = 30, features=tuple(SEQ_F
     from driftpool.operators import joins
 
     if news_policy == "same_day_mean_required":
-        return joins.news_same_day_mean_required(cut, vecs).drop("n_items")
+        return joins.news_same_day_mean_required(cut, vecs)
     if news_policy == "same_day_or_zero":
         return joins.news_same_day_or_zero(cut, vecs)
     if news_policy == "prev_bar_or_zero":
-        return joins.news_prev_bar_or_zero(cut, vecs).drop("prev_day")
+        # the previous bar is one of all bars, not of the windows cut from them
+        prev = bars.withColumn("_prev", F.lag("day").over(bar_window())).select("series", "day", "_prev")
+        return joins.news_on_day_or_zero(join_groups(cut, prev, ["series", "day"]), vecs, "_prev").drop("_prev")
     raise ValueError(news_policy)
 
 
@@ -186,7 +191,7 @@ def minmax_scale(df: DataFrame, cols, group=("series",), train_col: str | None =
     on rows where ``train_col`` is true); a constant column maps to 0. The stats
     are one row per group, joined back."""
     st = _stats(df, cols, group, train_col)
-    out = df.join(st, list(group))
+    out = join_groups(df, st, list(group), "left")
     for c in cols:
         rng = F.col(f"_max_{c}") - F.col(f"_min_{c}")
         out = out.withColumn(c, F.when(rng == 0, F.lit(0.0)).otherwise(
@@ -212,7 +217,7 @@ def standard_scale(df: DataFrame, cols, group=("series",), train_col: str | None
     src = df.where(F.col(train_col)) if train_col else df
     st = src.groupBy(*group).agg(*[a for c in cols for a in (
         F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"))])
-    out = df.join(st, list(group))
+    out = join_groups(df, st, list(group), "left")
     for c in cols:
         sd = F.col(f"_sd_{c}")
         out = out.withColumn(c, F.when(sd == 0, F.lit(0.0)).otherwise(

@@ -25,7 +25,7 @@ def news_price_fanout_join(items: DataFrame, bars: DataFrame, keys=("series", "d
     ``isEmpty`` probe)."""
     out = items.join(bars, list(keys), "inner")
     if check_overlap and out.isEmpty():
-        raise ValueError("Merge failed - no overlapping dates")
+        raise ValueError("no item falls on a day of the bars")
     return out
 
 
@@ -65,6 +65,14 @@ def news_prev_bar_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day
     return _attach_or_zero(b, first, "prev_day", list(keys), v, vecs)
 
 
+def news_on_day_or_zero(rows: DataFrame, vecs: DataFrame, on_day: str, keys=("series", "day"),
+                        v: str = "v") -> DataFrame:
+    """J04/J05 for rows that name the day whose first vector they get."""
+    from driftpool.operators.pooling import first_vector_of_day
+
+    return _attach_or_zero(rows, first_vector_of_day(vecs, keys, v), on_day, list(keys), v, vecs)
+
+
 def news_same_day_mean_required(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),
                                 v: str = "v") -> DataFrame:
     """Each bar gets its day's mean vector; bars without news drop out."""

@@ -12,34 +12,41 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from driftpool.functions.layout import spread
-from driftpool.functions.ranking import row_number_in_group, top_k_per_group
+from driftpool.functions.nullsafe import join_groups
+from driftpool.functions.ranking import row_number_in_group
 
 
 def _classes(spark, classes, name="label") -> DataFrame:
     return spark.createDataFrame([(int(c),) for c in classes], f"{name} int")
 
 
+def _with_absent(counts: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of all listed cells (0 where absent) and of every other cell that
+    occurs, NULL ones included."""
+    absent = join_groups(listed, counts, keys, "left_anti").withColumn("n", F.lit(0).cast("long"))
+    return counts.unionByName(absent)
+
+
 def class_distribution(df: DataFrame, classes, label: str = "label") -> DataFrame:
-    """Rows per class; absent classes reported as 0."""
+    """Rows per class; absent classes reported as 0, labels outside the list
+    (NULL too) with their own counts."""
     counts = df.groupBy(F.col(label).cast("int").alias(label)).agg(F.count(F.lit(1)).alias("n"))
-    cl = F.broadcast(_classes(df.sparkSession, classes, label))
-    return (cl.join(counts, label, "left")
-            .select(label, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-            .orderBy(F.desc("n"), label))
+    listed = _classes(df.sparkSession, classes, label)
+    return _with_absent(counts, listed, [label]).orderBy(F.desc("n"), label)
 
 
 def confusion_matrix(df: DataFrame, classes, y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """True x predicted counts over the full class grid (zero cells kept)."""
+    """True x predicted counts over the full class grid (zero cells kept);
+    pairs outside the grid are added with their counts."""
     spark = df.sparkSession
     grid = spark.createDataFrame([(int(a), int(b)) for a in classes for b in classes],
                                  f"{y_true} int, {y_pred} int")
     counts = (df.groupBy(F.col(y_true).cast("int").alias(y_true),
                          F.col(y_pred).cast("int").alias(y_pred))
               .agg(F.count(F.lit(1)).alias("n")))
-    return (F.broadcast(grid).join(counts, [y_true, y_pred], "left")
-            .select(y_true, y_pred, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return _with_absent(counts, grid, [y_true, y_pred])
 
 
 def _safe_div(a, b):
@@ -48,13 +55,19 @@ def _safe_div(a, b):
 
 def classification_report(df: DataFrame, classes, y_true="y_true", y_pred="y_pred") -> DataFrame:
     """Per class precision, recall, F1, support; then accuracy, macro and
-    support-weighted averages. A zero denominator gives 0."""
+    support-weighted averages. A zero denominator gives 0. Labels outside the
+    list are classes of the report too (as true or as predicted ones), so
+    accuracy and totals are over all rows."""
     cm = confusion_matrix(df, classes, y_true, y_pred)
     per_true = cm.groupBy(F.col(y_true).alias("c")).agg(
         F.sum("n").alias("support"),
-        F.sum(F.when(F.col(y_true) == F.col(y_pred), F.col("n")).otherwise(0)).alias("tp"))
+        F.sum(F.when(F.col(y_true).eqNullSafe(F.col(y_pred)), F.col("n")).otherwise(0)).alias("tp"))
     per_pred = cm.groupBy(F.col(y_pred).alias("c")).agg(F.sum("n").alias("predicted"))
-    per = (per_true.join(per_pred, "c")
+    zero = F.lit(0).cast("long")
+    sides = per_true.select("c", "support", "tp", zero.alias("predicted")).unionByName(
+        per_pred.select("c", zero.alias("support"), zero.alias("tp"), "predicted"))
+    per = (sides.groupBy("c").agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"),
+                                  F.sum("predicted").alias("predicted"))
            .withColumn("precision", _safe_div(F.col("tp").cast("double"), F.col("predicted")))
            .withColumn("recall", _safe_div(F.col("tp").cast("double"), F.col("support")))
            .withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"),
@@ -93,18 +106,17 @@ def regression_metrics(df: DataFrame, order: list[str], y_true="y_true", y_pred=
     consecutive batches of ``batch_size`` rows (in ``order``) of the batch MSE.
 
     Batch numbers come from a skew-safe global row number (range-partitioned,
-    no single-task sort); the two-level mean is two grouped aggregates.
+    no single-task sort), whose written rows also give the point metrics, so the
+    input is not evaluated again; the two-level mean is two grouped aggregates.
+    Runs the numbering job at once.
     """
     e = F.col(y_pred) - F.col(y_true)
     rows = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], e.alias("_e"))
-    order = [f"_o{i}" for i in range(len(order))]
+    numbered = row_number_in_group(rows, [], [f"_o{i}" for i in range(len(order))], rank_col="_rn")
     huber = F.when(F.abs("_e") <= delta, 0.5 * F.col("_e") * F.col("_e")).otherwise(
         delta * (F.abs("_e") - 0.5 * delta))
-    point = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("_e")).alias("mae"),
+    point = numbered.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("_e")).alias("mae"),
                      F.avg(F.col("_e") * F.col("_e")).alias("mse"), F.avg(huber).alias("huber"))
-    # the range exchange inside evaluates its input twice (bounds, shuffle):
-    # spread a coarse input first so neither pass is a single task
-    numbered = row_number_in_group(spread(rows), [], order, rank_col="_rn")
     batches = (numbered.groupBy(F.floor((F.col("_rn") - 1) / batch_size).alias("_b"))
                .agg(F.avg(F.col("_e") * F.col("_e")).alias("_bl")))
     loss = batches.agg(F.avg("_bl").alias("loss"))
@@ -136,14 +148,17 @@ def data_profile(df: DataFrame, date_col: str) -> DataFrame:
 
 def daily_digest(news: DataFrame, k: int = 10, day_of=None, text="text",
                  order_cols=("date", "message_id")) -> DataFrame:
-    """Per day: message count and the k newest messages (ranked; at most
-    k per day are ever gathered - a hot day is split by the salted top-k)."""
+    """Per day: message count and the k newest messages (messages without a
+    date are a day). Spark keeps at most k
+    rows per day and task before the shuffle, so a hot day is neither sorted whole
+    nor gathered."""
     day = (day_of if day_of is not None else F.to_date(order_cols[0])).alias("day")
     n = news.withColumn("day", day)
     counts = n.groupBy("day").agg(F.count(F.lit(1)).alias("n_news"))
     order = [F.col(order_cols[0]).desc_nulls_first()] + [F.desc(c) for c in order_cols[1:]]
-    top = top_k_per_group(n.select("day", *order_cols, text), ["day"], order, k,
-                          salt_cols=list(order_cols))
+    w = Window.partitionBy("day").orderBy(*order, F.xxhash64(text), F.col(text))
+    top = (n.select("day", *order_cols, text).withColumn("rank", F.row_number().over(w))
+           .where(F.col("rank") <= k))
     gathered = top.groupBy("day").agg(F.sort_array(F.collect_list(
         F.struct("rank", *order_cols, text))).alias("top"))
-    return counts.join(gathered, "day")
+    return join_groups(counts, gathered, ["day"])

@@ -72,24 +72,28 @@ def projection_2d(pooled: DataFrame, v: str = "v"):
     return out.withColumnRenamed("_pc0", "x").withColumnRenamed("_pc1", "y"), model
 
 
-def stable_layout(df: DataFrame, key, n_parts: int | None = None) -> DataFrame:
+LAYOUT_PARTS = 64
+
+
+def stable_layout(df: DataFrame, key, n_parts: int = LAYOUT_PARTS) -> DataFrame:
     """Deterministic partitions and row order (hash on ``key``, sorted within
     partitions): seeded learners that draw per partition (bagging) then give
-    the same model on every run, whatever order shuffles delivered rows in."""
+    the same model on every run and every cluster, whatever order shuffles
+    delivered rows in. ``n_parts`` is part of the model: raise it with the data."""
     if not key:
         return df
     key = [key] if isinstance(key, str) else list(key)
-    n = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, *key).sortWithinPartitions(*key)
+    return df.repartition(n_parts, *key).sortWithinPartitions(*key)
 
 
 def random_forest(train: DataFrame, features: str = "features", label: str = "label",
                   num_trees: int = 100, max_depth: int = 10, min_instances: int = 1,
                   subset: str = "sqrt", seed: int = 42, stable_key=None):
-    """Random forest classifier (min_samples_split has no MLlib twin).
+    """Random forest classifier (min_samples_split has no MLlib twin). MLlib
+    refuses depths over 30.
     Pass ``stable_key`` (a unique row key) for run-to-run identical models."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances,
+                                maxDepth=max_depth, minInstancesPerNode=min_instances,
                                 featureSubsetStrategy=subset, seed=seed)
     return fit_cached(rf, stable_layout(train, stable_key)
                       .withColumn(label, F.col(label).cast("double")))
@@ -215,7 +219,7 @@ def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int
     MLlib job). Returns the trial table with ``is_best``."""
     space = RF_SPACE if kind == "rf" else GBT_SPACE
     trials = draw_trials(space, n_trials, seed)
-    data = data.cache()
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(t):
         if kind == "rf":
@@ -230,9 +234,11 @@ def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int
             sc = cv_scores(data, fold_col, fit, metric, list(keep), label)
         return sum(sc) / len(sc)
 
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        scores = list(pool.map(run, trials))
-    data.unpersist()
+    try:
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:
+            scores = list(pool.map(run, trials))
+    finally:
+        data.unpersist()
     best = max(range(len(trials)), key=lambda i: (scores[i], -i))
     rows = [(i, str(sorted(t.items())), float(scores[i]), i == best) for i, t in enumerate(trials)]
     return data.sparkSession.createDataFrame(

@@ -10,12 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftpool.functions.nullsafe import join_groups
 from driftpool.functions.vectors import dot, mean_vector, squared_gap, zero_vector
+from driftpool.session import write_shared
+
+#: groups whose maxima attention_pool broadcasts at most (about 64 bytes each)
+MAX_BROADCAST_GROUPS = 500_000
+SALTS = 64
 
 
 def daily_mean_vector(vecs: DataFrame, keys=("series", "day"), v: str = "v") -> DataFrame:
-    """Element-wise mean vector and item count per (series, day)."""
-    return (vecs.groupBy(*keys)
+    """Element-wise mean vector and item count per (series, day). Items
+    without a vector take no part; a day of such items alone has no row."""
+    return (vecs.where(F.col(v).isNotNull()).groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_items"), mean_vector(F.col(v)).alias(v)))
 
 
@@ -24,20 +31,33 @@ def attention_pool(vecs: DataFrame, weights: DataFrame, keys=("series", "day"),
     """Softmax-weighted sum of a day's vectors.
 
     score = w . v (``weights``: one row, column ``w`` array<double>, broadcast -
-    its size is one vector). weight = exp(score - max score of the day); the
-    day max is an ordinary aggregate joined back, so a hot day is not a window
-    sorted in one task. Summarizer's weighted mean divides by the weight sum,
-    which is the softmax normalisation. A single-item day passes through
-    unchanged (weight 1).
+    its size is one vector). weight = exp(score - max score of the day); Summarizer's
+    weighted mean divides by the weight sum, which is the softmax normalisation. A
+    single-item day passes through unchanged (weight 1). Items without a vector
+    take no part; a NULL key is a day of its own.
+
+    The days' maxima are aggregated first, written and counted (jobs): up to
+    ``MAX_BROADCAST_GROUPS`` of them are broadcast, so raw vectors are never
+    shuffled - each task ships one partial vector per day. Beyond that the join is
+    a shuffle, and days are summed in salted parts first.
     """
+    vecs = vecs.where(F.col(v).isNotNull())
     # the weights are one vector: bind them once (scalar subquery), then score
     w = weights.select(F.col("w").cast("array<double>")).scalar()
     scored = (vecs.withColumn("_w", w)
               .withColumn("_score", dot(F.col(v).cast("array<double>"), F.col("_w")))
               .drop("_w"))
-    day_max = scored.groupBy(*keys).agg(F.max("_score").alias("_max"))
-    weighted = scored.join(day_max, list(keys)).withColumn(
+    day_max = write_shared(scored.groupBy(*keys).agg(F.max("_score").alias("_max")), "day-max")
+    few = day_max.count() <= MAX_BROADCAST_GROUPS
+    weighted = join_groups(scored, F.broadcast(day_max) if few else day_max, list(keys)).withColumn(
         "_wt", F.exp(F.col("_score") - F.col("_max")))
+    if not few:
+        weighted = weighted.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)))
+        parts = weighted.groupBy(*keys, "_salt").agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("_wt").alias("_sum"),
+            mean_vector(F.col(v), F.col("_wt")).alias(v))
+        return parts.groupBy(*keys).agg(F.sum("_n").alias("n_items"),
+                                        mean_vector(F.col(v), F.col("_sum")).alias(v))
     return (weighted.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_items"),
                  mean_vector(F.col(v), F.col("_wt")).alias(v)))
@@ -64,14 +84,13 @@ def window_mean_or_zero(selected: DataFrame, dim: int, v: str = "v") -> DataFram
 
 
 def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v",
-                           order=("ts", "vec_id"), max_len: int | None = 4096,
-                           require_any: bool = False) -> DataFrame:
+                           order=("ts", "vec_id"), require_any: bool = False) -> DataFrame:
     """Days with >= 2 items: vectors in time order, zero-padded to the
     longest day, with length and mask.
 
-    The day's list is built by one grouped collect; at scale a hot day makes one
-    wide row, so ``max_len`` (if given) is checked, never silently cut: days
-    longer than it raise at run time via ``raise_error``. ``require_any`` fails
+    The wide form is one row per day by definition, so a day's list is gathered
+    and padded to the longest day's; ``daily_sequence_positions`` has the same
+    content as one row per item, for days no row can hold. ``require_any`` fails
     when no day has two items (one cheap ``isEmpty`` probe).
     """
     seqs = (vecs.groupBy(*keys)
@@ -79,10 +98,6 @@ def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v"
             .where(F.size("_s") >= 2)
             .select(*keys, F.transform("_s", lambda s: s["_v"]).alias("_seq"))
             .withColumn("length", F.size("_seq")))
-    if max_len is not None:
-        seqs = seqs.withColumn("length", F.when(
-            F.col("length") <= max_len, F.col("length")).otherwise(
-            F.raise_error(F.lit(f"day longer than max_len={max_len}")).cast("int")))
     if require_any and seqs.isEmpty():
         raise ValueError("no day with at least 2 items")
     padded = (seqs.withColumn("_L", seqs.select(F.max("length")).scalar())
@@ -108,11 +123,11 @@ def daily_sequence_positions(vecs: DataFrame, keys=("series", "day"), v: str = "
 
     ids = vecs.select(*keys, *order)
     lengths = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("length")).where(F.col("length") >= 2)
-    ranked = row_number_in_group(ids.join(lengths.select(*keys), list(keys), "left_semi"),
-                                 list(keys), list(order), n_parts=n_parts, rank_col="_r")
-    out = (ranked.join(lengths, list(keys))
-           .join(vecs.select(*keys, *order, v), [*keys, *order])
-           .withColumn("padded_len", lengths.select(F.max("length")).scalar()))
+    several = join_groups(ids, lengths.select(*keys), list(keys), "left_semi")
+    ranked = row_number_in_group(several, list(keys), list(order), n_parts=n_parts, rank_col="_r")
+    out = join_groups(join_groups(ranked, lengths, list(keys)),
+                      vecs.select(*keys, *order, v), [*keys, *order])
+    out = out.withColumn("padded_len", lengths.select(F.max("length")).scalar())
     return out.select(*keys, (F.col("_r") - 1).alias("pos"), *order, v, "length", "padded_len")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftpool.functions.nullsafe import join_groups
+
 
 def seed_order(seed: int | str, id_col: str) -> Column:
     """A repeatable pseudo-random order: md5('<seed>:<id>') (same in DuckDB)."""
@@ -43,7 +45,7 @@ def _group_sizes(df: DataFrame, group: list[str]) -> DataFrame:
 def _attach_sizes(ranked: DataFrame, group: list[str]) -> DataFrame:
     if not group:
         return ranked.withColumn("_n", ranked.select(F.count(F.lit(1))).scalar())
-    return ranked.join(_group_sizes(ranked, group), group)
+    return join_groups(ranked, _group_sizes(ranked, group), group)
 
 
 def chrono_split(ranked: DataFrame, test_size: float = 0.2, group: list[str] | None = None,
@@ -63,12 +65,13 @@ def chrono_split(ranked: DataFrame, test_size: float = 0.2, group: list[str] | N
 def stratified_split(df: DataFrame, label: str, seed: int | str, id_col: str,
                      test_size: float = 0.2) -> DataFrame:
     """Per class, the first ceil(test_size * n_class) rows by a seeded hash
-    order are test (``is_test``). Ranking is skew-safe for a dominant class."""
+    order are test (``is_test``); rows with a NULL label are a class. Ranking is
+    skew-safe for a dominant class."""
     from driftpool.functions.ranking import row_number_in_group
 
     keyed = df.withColumn("_h", seed_order(seed, id_col))
     ranked = row_number_in_group(keyed, [label], ["_h", id_col], rank_col="_r")
-    sized = ranked.join(_group_sizes(df, [label]), label)
+    sized = join_groups(ranked, _group_sizes(df, [label]), [label])
     return (sized.withColumn("is_test", F.col("_r") <= F.ceil(
         F.lit(test_size) * F.col("_n").cast("double")))
             .drop("_h", "_r", "_n"))
@@ -91,19 +94,22 @@ def expanding_folds(ranked: DataFrame, n_splits: int = 5, rank_col: str = "rank"
     return j.withColumn("role", role).where(F.col("role").isNotNull()).drop("_n", "_s")
 
 
-def stratified_folds(ranked: DataFrame, label: str, n_splits: int = 5,
-                     rank_col: str = "rank") -> DataFrame:
-    """Class-balanced folds in row order, allocated like a non-shuffled
+def stratified_folds(df: DataFrame, label: str, n_splits: int = 5,
+                     order=("rank",)) -> DataFrame:
+    """Class-balanced folds in the row order of ``order`` (a total order; a
+    rank, or the columns a rank would be made from), allocated like a non-shuffled
     stratified K-fold: labels sorted, position p of the sorted list counts for
     fold p mod n_splits; within a class the rows, in order, fill fold 0 first,
-    then fold 1, ... by those counts. Adds ``fold`` (0-based).
+    then fold 1, ... by those counts. Adds ``fold`` (0-based). NULL labels are a
+    class, sorted first. Rows are ranked once, within their class.
 
     The allocation is a (classes x folds) table computed from class sizes; rows
-    find their fold by a range test against it (broadcast: classes x folds).
+    find their fold by a range test against it (the planner broadcasts it while
+    it is small, so a label that is no class only costs a shuffle).
     """
     from driftpool.functions.ranking import row_number_in_group
 
-    sizes = _group_sizes(ranked, [label])
+    sizes = _group_sizes(df, [label])
     cum = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(cum), F.lit(0)))
     a, b = F.col("_start"), F.col("_start") + F.col("_n")
@@ -117,7 +123,7 @@ def stratified_folds(ranked: DataFrame, label: str, n_splits: int = 5,
     alloc = (alloc.withColumn("_hi", F.sum("_cnt").over(wf))
              .withColumn("_lo", F.col("_hi") - F.col("_cnt"))
              .select(label, "fold", "_lo", "_hi"))
-    within = row_number_in_group(ranked, [label], [rank_col], rank_col="_j")
-    j = within.join(F.broadcast(alloc), label)
+    within = row_number_in_group(df, [label], list(order), rank_col="_j")
+    j = join_groups(within, alloc, [label])
     return (j.where((F.col("_j") - 1 >= F.col("_lo")) & (F.col("_j") - 1 < F.col("_hi")))
             .drop("_lo", "_hi", "_j"))

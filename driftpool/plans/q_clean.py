@@ -251,17 +251,43 @@ def q_previous_day_news(spark, sf_dir):
 REQUIRED_PRICE_COLUMNS = ["Date", "Price", "Open", "High", "Low", "Change %"]
 
 
-@register("required_columns", """
-SELECT * FROM (VALUES ('Date', true), ('Price', true), ('Open', true), ('High', true),
-                      ('Low', true), ('Change %', true)) t(column_name, present)""")
+@register("required_columns", sql("""
+SELECT 'Date' AS column_name, true AS present, count(date_str) AS n_values FROM bars_raw
+UNION ALL SELECT 'Price', true, count(price_str) FROM bars_raw
+UNION ALL SELECT 'Open', true, count(open_str) FROM bars_raw
+UNION ALL SELECT 'High', true, count(high_str) FROM bars_raw
+UNION ALL SELECT 'Low', true, count(low_str) FROM bars_raw
+UNION ALL SELECT 'Change %', true, count(change_str) FROM bars_raw
+UNION ALL SELECT 'Bid', false, 0""", "bars_raw"))
 def q_required_columns(spark, sf_dir):
+    """Over the exported price CSV; 'Bid' is a column it does not have."""
     path = shared_path(spark, "price-csv")
     io.write_price_csv(fx.bars_raw(spark, sf_dir), path)
-    raw = spark.read.options(header="true").csv(path)  # header only: names as exported
-    return filters.required_columns(raw, REQUIRED_PRICE_COLUMNS).withColumnRenamed(
+    raw = spark.read.options(header="true").csv(path)  # names as exported, no inference
+    return filters.required_columns(raw, [*REQUIRED_PRICE_COLUMNS, "Bid"]).withColumnRenamed(
         "column", "column_name")
 
 
+@register("reject_infinite", sql(f"""
+SELECT series, day, round(price, {R}) AS price, round(vol, {R}) AS vol FROM bars""", "bars"), dates="day")
+def q_reject_infinite(spark, sf_dir):
+    """Bars that passed the check for remaining NaN and Inf."""
+    b = fx.bars(spark, sf_dir)
+    return b.select("series", "day", *[F.round(C.finite_or_fail(c), R).alias(c)
+                                       for c in ("price", "vol")])
+
+
+@register("checked_vectors", sql("""
+SELECT model_name, count(*) AS n_vectors, CAST(sum(len(v)) AS BIGINT) AS n_elements
+FROM vecs GROUP BY model_name""", "vecs"))
+def q_checked_vectors(spark, sf_dir):
+    """Vectors stored with their size, read back and checked against it."""
+    stored = fx.vecs(spark, sf_dir).select("model_name", "v", C.vector_dim("v").alias("size"))
+    v = stored.select("model_name", C.checked_vector("v", "size").alias("v"))
+    return v.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_vectors"),
+                                       F.sum(F.size("v")).alias("n_elements"))
+
+
 @register("drop_incomplete", sql(f"""
 SELECT series, day, round(change_pct, {R}) AS change_pct, round(nc, {R}) AS next_change
 FROM (SELECT series, day, change_pct,

@@ -9,6 +9,7 @@ from driftpool.operators import enrich, joins
 from driftpool.plans.oracle import sql
 from driftpool.plans.q_clean import WS
 from driftpool.plans.registry import register
+from driftpool.session import shared_path
 
 R = 6
 TOKEN = r"'[\p{L}\p{N}]+'"
@@ -31,12 +32,18 @@ _ENC = [
 ]
 
 
+def _parts(spark) -> int:
+    """The given tables are single row groups: per-text work is dealt over the
+    session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @register("encode_texts", sql(f"""
 SELECT special_id, CAST(i AS INTEGER) AS i, round(CAST(CAST(c / norm AS FLOAT) AS DOUBLE), {R}) AS x
 FROM b JOIN n USING (special_id)""", "news", extra=_ENC))
 def q_encode_texts(spark, sf_dir):
     """Default encoder; the non-zero elements of each message vector."""
-    e = enrich.encode_texts(fx.news(spark, sf_dir), "hash64", dim=64)
+    e = enrich.encode_texts(fx.news(spark, sf_dir), "hash64", dim=64, parts=_parts(spark))
     x = e.select("special_id", F.posexplode_outer("embedding_vector").alias("i", "x"))
     return (x.where(F.col("x") != 0)
             .select("special_id", "i", F.round(F.col("x").cast("double"), R).alias("x")))
@@ -58,6 +65,49 @@ def q_translate_backlog(spark, sf_dir):
     return enrich.translate_backlog(backlog).select("channel_id", "message_id", "date", "text")
 
 
+@register("encode_store", sql(f"""
+SELECT special_id, 'hash64' AS model_name, input_text, 64 AS embedding_size, date AS timestamp
+FROM (SELECT CAST(channel_id AS VARCHAR) || '_' || CAST(message_id AS VARCHAR) AS special_id,
+             trim(coalesce(text, ''), {WS}) AS input_text, date FROM news)
+WHERE length(input_text) > 0""", "news"), timestamps="timestamp")
+def q_encode_store(spark, sf_dir):
+    """U01 end to end: the encoded messages in the vector table, stored twice (the
+    second run finds every key and adds nothing)."""
+    path = shared_path(spark, "vector-table")
+    encoded = enrich.encode_texts(fx.news(spark, sf_dir), "hash64", dim=64, parts=_parts(spark))
+    enrich.store_vectors_if_absent(encoded, path)
+    stored = enrich.store_vectors_if_absent(encoded, path)
+    return stored.select("special_id", "model_name", "input_text", "embedding_size", "timestamp")
+
+
+@register("encode_report", sql(f"""
+SELECT count(*) FILTER (length(trim(coalesce(text, ''), {WS})) > 0) AS processed, count(*) AS total
+FROM news""", "news"))
+def q_encode_report(spark, sf_dir):
+    """Messages encoded, of all."""
+    news = fx.news(spark, sf_dir)
+    return enrich.encode_report(news, enrich.encode_texts(news, "hash64", dim=64, parts=_parts(spark)))
+
+
+@register("translate_into", sql(f"""
+SELECT channel_id, message_id, date, text FROM news_done
+UNION ALL
+SELECT channel_id, message_id, date,
+       array_to_string(list_transform(string_split_regex(trim(coalesce(text, ''), {WS}),
+                                                         '[ \\t\\n\\x0B\\f\\r]+'),
+                                      lambda t: coalesce({_duck_map(enrich.EN_RU_WORDS)}[lower(t)], t)), ' ')
+FROM news n WHERE NOT EXISTS (SELECT 1 FROM news_done d
+                              WHERE d.channel_id = n.channel_id AND d.message_id = n.message_id)""",
+                              "news_done"), timestamps="date")
+def q_translate_into(spark, sf_dir):
+    """U02 end to end: the table of translated messages after the whole backlog
+    was translated and inserted by key."""
+    path = shared_path(spark, "translated-table")
+    columns = ["channel_id", "message_id", "date", "text"]
+    fx.news_done(spark, sf_dir).select(*columns).write.parquet(path)
+    return enrich.translate_into(fx.news(spark, sf_dir).select(*columns), path)
+
+
 _SENT = f"""
 SELECT message_id, list_filter(list_transform(regexp_extract_all(lower(text), {TOKEN}),
                                               lambda w: {_duck_map(enrich.SENTIMENT_WORDS)}[w]),
@@ -72,7 +122,7 @@ SELECT message_id,
        CASE WHEN len(hits) > 0 THEN round(abs(list_sum(hits)) / len(hits), {R}) ELSE 0.0 END AS score
 FROM hits_t""", "news", extra=[("hits_t", _SENT)]))
 def q_score_sentiment(spark, sf_dir):
-    s = enrich.score_sentiment(fx.news(spark, sf_dir))
+    s = enrich.score_sentiment(fx.news(spark, sf_dir), parts=_parts(spark))
     return s.select("message_id", "label", F.round("score", R).alias("score"))
 
 
@@ -82,4 +132,4 @@ SELECT label, count(*) AS n FROM (
               ELSE 'neutral' END AS label FROM hits_t)
 GROUP BY label""", "news", extra=[("hits_t", _SENT)]))
 def q_sentiment_distribution(spark, sf_dir):
-    return enrich.label_counts(enrich.score_sentiment(fx.news(spark, sf_dir)))
+    return enrich.label_counts(enrich.score_sentiment(fx.news(spark, sf_dir), parts=_parts(spark)))

@@ -185,7 +185,7 @@ GROUP BY i""", "vecs"))
 def q_window_mean_or_zero(spark, sf_dir):
     """Mean vector of the vectors stamped on the previous day of PREV_DAY_NOW."""
     v = fx.vecs(spark, sf_dir).withColumnRenamed("vec_id", "message_id")
-    sel = filters.previous_day_news(v, PREV_DAY_NOW, date="ts")
+    sel = filters.previous_day_news(v, PREV_DAY_NOW, date="ts", ordered=False)
     m = pooling.window_mean_or_zero(sel, dim=64)
     return explode_elements(m, ["n_items"])
 

@@ -12,7 +12,7 @@ from driftpool.operators import metrics, models, pooling, splits
 from driftpool.plans import q_slice
 from driftpool.plans.q_clean import PREV_DAY_NOW
 from driftpool.plans.registry import register
-from driftpool.session import shared_path
+from driftpool.session import shared_path, write_shared
 from driftpool.operators import filters
 
 SEED = 42
@@ -125,8 +125,7 @@ def q_ternary_boost(spark, sf_dir):
 def q_param_search(spark, sf_dir):
     """Forest search - 10 seeded trials x 5 stratified folds, weighted F1."""
     d = day_table(spark, sf_dir)
-    ranked = splits.chronological_order(d.select("day", "label"), ["day"])
-    folds = splits.stratified_folds(ranked, "label").select("day", "fold")
+    folds = splits.stratified_folds(d.select("day", "label"), "label", order=["day"]).select("day", "fold")
     data = models.as_features(d.join(folds, "day"), "v")
     return models.param_search(data, "fold", "rf", n_trials=10, seed=SEED, stable_key="day")
 
@@ -135,10 +134,11 @@ def q_param_search(spark, sf_dir):
 def q_cv_score(spark, sf_dir):
     """Boosting on the 32 components of news rows, scored by accuracy
     over 5 expanding time-series folds (L06): mean and population std."""
-    rows = _news_rows(spark, sf_dir)
+    rows = write_shared(_news_rows(spark, sf_dir), "news-rows")
     ranked = splits.chronological_order(rows.select("vec_id", "day", "ts"), ["day", "ts", "vec_id"])
     folds = splits.expanding_folds(ranked).select("vec_id", "fold", "role")
-    data = models.as_features(rows.join(folds, "vec_id"), [f"emb_pca_{i}" for i in range(32)])
+    data = write_shared(rows.join(folds, "vec_id"), "fold-rows")  # read by every fold's fit
+    data = models.as_features(data, [f"emb_pca_{i}" for i in range(32)])
     fit = lambda tr: models.gbt(tr, max_iter=100, step=0.1, max_depth=3,
                                 stable_key="vec_id")
     scores = models.cv_scores_expanding(data, fit, models.accuracy_of, ["vec_id"])
@@ -154,7 +154,7 @@ def q_predict_direction(spark, sf_dir):
     models.save_model(model, path)
     served = RandomForestClassificationModel.load(path)
     v = fx.vecs(spark, sf_dir).withColumnRenamed("vec_id", "message_id")
-    window = filters.previous_day_news(v, PREV_DAY_NOW, date="ts")
+    window = filters.previous_day_news(v, PREV_DAY_NOW, date="ts", ordered=False)
     mean = pooling.window_mean_or_zero(window, dim=64)
     out = served.transform(models.as_features(mean, "v"))
     from pyspark.ml.functions import vector_to_array
@@ -163,7 +163,7 @@ def q_predict_direction(spark, sf_dir):
         "n_items", F.size("v").alias("embedding_dim"),
         F.when(F.col("prediction") == 1, "Increase").otherwise("Decrease").alias("direction"),
         F.element_at(p, F.col("prediction").cast("int") + 1).alias("confidence"))
-    news = filters.previous_day_news(fx.news(spark, sf_dir), PREV_DAY_NOW)
+    news = filters.previous_day_news(fx.news(spark, sf_dir), PREV_DAY_NOW, ordered=False)
     digest = metrics.daily_digest(news, k=10)
     return pred.select("*", digest.select("day").scalar().alias("day"),
                        digest.select("n_news").scalar().alias("n_news"),
@@ -198,14 +198,14 @@ def q_lookback_regressor(spark, sf_dir):
 def q_combined_regressor(spark, sf_dir):
     """Lags-only vs lags + that day's mean news vector, on the same rows
     (days with news), reported with A09 metrics and A10 improvement."""
-    base = _lookback_frame(spark, sf_dir, True)
+    base = write_shared(_lookback_frame(spark, sf_dir, True), "lookback")  # for both models
     res = {}
     for name, cols in (("lags", ["lags"]), ("lags_news", ["lags", "v"])):
         data = models.as_features(base, cols)
         m = models.linear_regressor(data.where(F.col("train_a")), reg=0.01)
         pred = (m.transform(data.where(~F.col("train_a")))
                 .select("day", F.col("target").alias("y_true"), F.col("prediction").alias("y_pred")))
-        res[name] = metrics.regression_metrics(pred, ["day"])
+        res[name] = write_shared(metrics.regression_metrics(pred, ["day"]), "metrics")
     imp = metrics.improvement_pct(res["lags"], res["lags_news"])
     table = (res["lags"].withColumn("model", F.lit("lags"))
              .unionByName(res["lags_news"].withColumn("model", F.lit("lags_news"))))
@@ -221,6 +221,7 @@ def q_best_by_validation(spark, sf_dir):
                                         bounded_groups=True)
     sp = splits.chrono_split(ranked, 0.2, group=["series"]).select("series", "day",
                                                                    F.col("train_a").alias("fit_part"))
-    d = data.join(sp, ["series", "day"])
+    d = data.join(sp, ["series", "day"]).select("fit_part", "features", "target")
+    d = write_shared(d, "fit-rows")  # read by every candidate's fit and validation
     return models.best_by_validation(d.where(F.col("fit_part")), d.where(~F.col("fit_part")),
                                      [0.0, 0.001, 0.01, 0.1, 1.0])

@@ -139,7 +139,7 @@ def q_bar_feature_table(spark, sf_dir):
 
 # ---- W10 -------------------------------------------------------------------
 
-def _seq_digest(df):
+def _seq_digest(df, *more):
     s = F.col("seq")
     out = [F.size(s).alias("seq_len"), s[0]["price"].alias("first_price"),
            F.element_at(s, -1)["price"].alias("last_price")]
@@ -149,7 +149,7 @@ def _seq_digest(df):
     for c in W.SEQ_FEATURES:
         total = F.aggregate(s, F.lit(0.0), add(c))
         out.append(F.round(total, BIG if c != "change_pct" else R).alias(f"sum_{c}"))
-    return df.select("series", "day", "target", *out)
+    return df.select("series", "day", "target", *out, *more)
 
 
 def _duck_seq(src):
@@ -179,13 +179,41 @@ JOIN (SELECT series, day, count(*) AS n_items, avg(CAST(v[1] AS DOUBLE)) AS v0 F
   ON s.series = m.series AND s.day = m.day""", "bars", "vecs"), dates="day")
 def q_lookback_sequences_news(spark, sf_dir):
     """J06 policy: windows cut over all bars, then bars without news drop."""
-    vecs = fx.vecs(spark, sf_dir)
-    seqs = W.lookback_sequences(fx.bars(spark, sf_dir), 30, vecs=vecs,
+    seqs = W.lookback_sequences(fx.bars(spark, sf_dir), 30, vecs=fx.vecs(spark, sf_dir),
                                 news_policy="same_day_mean_required")
-    counts = vecs.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n_items"))
-    out = _seq_digest(seqs.withColumn("v_first", F.round(F.col("v")[0], R)))
-    first = seqs.select("series", "day", F.round(F.col("v")[0], R).alias("v_first"))
-    return out.join(counts, ["series", "day"]).join(first, ["series", "day"])
+    return _seq_digest(seqs, "n_items", F.round(F.col("v")[0], R).alias("v_first"))
+
+
+def _duck_policy(day: str) -> str:
+    """The windows with the first vector of ``day`` (a bar's own day, or the one
+    before), 0 where there is none."""
+    return f"""
+SELECT s.*, f.v IS NOT NULL AS has_news, round(coalesce(CAST(f.v[1] AS DOUBLE), 0), {R}) AS v_first,
+       round(coalesce(CAST(f.v[64] AS DOUBLE), 0), {R}) AS v_last
+FROM ({_duck_seq('bars')}) s
+JOIN (SELECT series, day, {day} AS news_day FROM bars) b ON s.series = b.series AND s.day = b.day
+LEFT JOIN (SELECT series, day, arg_min(v, (ts, vec_id)) AS v FROM vecs GROUP BY 1, 2) f
+  ON b.series = f.series AND b.news_day = f.day"""
+
+
+def _policy(spark, sf_dir, policy):
+    seqs = W.lookback_sequences(fx.bars(spark, sf_dir), 30, vecs=fx.vecs(spark, sf_dir),
+                                news_policy=policy)
+    return _seq_digest(seqs, "has_news", F.round(F.col("v")[0], R).alias("v_first"),
+                       F.round(F.element_at("v", -1), R).alias("v_last"))
+
+
+@register("lookback_sequences_same_day", sql(_duck_policy("day"), "bars", "vecs"), dates="day")
+def q_lookback_sequences_same_day(spark, sf_dir):
+    """J04 policy: every window, with its own day's first vector or zeros."""
+    return _policy(spark, sf_dir, "same_day_or_zero")
+
+
+@register("lookback_sequences_prev_bar", sql(_duck_policy(
+    "lag(day) OVER (PARTITION BY series ORDER BY day)"), "bars", "vecs"), dates="day")
+def q_lookback_sequences_prev_bar(spark, sf_dir):
+    """J05 policy: every window, with the previous bar's first vector or zeros."""
+    return _policy(spark, sf_dir, "prev_bar_or_zero")
 
 
 # ---- W11-W13 ----------------------------------------------------------------
@@ -297,8 +325,7 @@ JOIN (SELECT y_true, p % 5 AS fold, row_number() OVER (PARTITION BY y_true ORDER
   ON s.y_true = pj.y_true AND s.j = pj.j""", "labels_pred"))
 def q_stratified_folds(spark, sf_dir):
     lp = fx.labels_pred(spark, sf_dir).select("doc_id", "y_true")
-    ranked = splits.chronological_order(lp, ["doc_id"])
-    return splits.stratified_folds(ranked, "y_true").select("doc_id", "y_true", "fold")
+    return splits.stratified_folds(lp, "y_true", order=["doc_id"]).select("doc_id", "y_true", "fold")
 
 
 # ---- A05-A10 -----------------------------------------------------------------

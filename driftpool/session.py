@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # sort-merge joins planned by AQE.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -56,7 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             # a machine-local folder is not visible to other executors and
             # dies with its machine: on a cluster the shared folder is required
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -70,3 +72,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     cut lineage (survive executor loss, unlike local checkpoints)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def write_shared(df, name: str):
+    """``df`` written to the shared folder (a job) and read back with its schema:
+    lineage ends in files that outlive any executor."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ every writer is a partitioned Spark write - nothing goes through the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ NEWS_SCHEMA = T.StructType([
 # occurs in data keeps the two apart (the default nullValue "" merges them).
 _CSV_WRITE = {"header": "true", "escape": '"',
               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-_CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+_CSV_READ = {"header": "true", "escape": '"', "quote": '"',
              "nullValue": "\u0001", "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false"}
 
@@ -50,9 +52,13 @@ def write_csv(df: DataFrame, path: str, header_names: list[str] | None = None) -
     df.write.mode("overwrite").options(**_CSV_WRITE).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header and quoted multi-line fields, explicit schema."""
-    return spark.read.options(**_CSV_READ).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with header, explicit schema. ``multi_line`` is needed for
+    quoted line breaks, and makes every file one task; write large tables as many
+    files."""
+    return (spark.read.options(**_CSV_READ).option("multiLine", str(multi_line).lower())
+            .schema(schema).csv(path))
 
 
 def write_price_csv(df: DataFrame, path: str) -> None:
@@ -65,7 +71,7 @@ def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
     """Price CSV with header; every column read as text, then renamed to
     safe names ('Vol.' and 'Change %' cannot be referenced as plain columns)."""
     schema = T.StructType([T.StructField(orig, T.StringType()) for orig, _ in PRICE_CSV_COLUMNS])
-    raw = read_csv(spark, path, schema)
+    raw = read_csv(spark, path, schema, multi_line=False)  # no field holds a line break
     return raw.select(*[F.col(f"`{orig}`").alias(safe) for orig, safe in PRICE_CSV_COLUMNS])
 
 
@@ -85,18 +91,19 @@ def vectors_for_model(vecs: DataFrame, model_name: str,
 def sql_file_query(spark: SparkSession, path: str) -> DataFrame:
     """Run the one SQL statement in a text file over registered views.
 
-    An empty file is an error. A query (SELECT / WITH / VALUES ...) returns its
-    rows; any other statement runs and returns a one-row (statement, status).
+    An empty file is an error. A statement with a result returns its rows,
+    however it begins; one without (a command) returns a one-row (statement,
+    status), the first word of it that is no comment.
     """
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     stmt = text.strip().rstrip(";").strip()
     if not stmt:
         raise ValueError(f"empty SQL file: {path}")
-    head = stmt.split(None, 1)[0].lower()
     result = spark.sql(stmt)
-    if head in ("select", "with", "values", "table", "from", "show", "describe", "explain"):
+    if result.columns:
         return result
-    return spark.createDataFrame([(head, "ok")], "statement string, status string")
+    words = re.sub(r"--[^\n]*|/\*.*?\*/", " ", stmt, flags=re.S).split()
+    return spark.createDataFrame([(words[0].lower(), "ok")], "statement string, status string")
 
 
 def vector_text_parse(c) -> "F.Column":

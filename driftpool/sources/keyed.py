@@ -8,17 +8,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from driftpool.functions.layout import spread
+from pyspark.sql import types as T
 
 
 def _null_key(key: list[str]):
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
 
 
+def table_or_none(spark: SparkSession, path: str, schema: T.StructType,
+                  fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path`` under an explicit schema, or None where the path does
+    not exist. Any other error - an unreadable file, no permission - is raised, now
+    or when the rows are read: it must not pass for an empty table."""
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def first_per_key(batch: DataFrame, key: list[str], ordinal: list[str]) -> DataFrame:
     """Keep the first row (by ``ordinal``, then every other column as the final
     tie-break) of every key; rows with a NULL key part all pass.
@@ -27,7 +39,6 @@ def first_per_key(batch: DataFrame, key: list[str], ordinal: list[str]) -> DataF
     candidate per key per task before the shuffle, so a hot key (or a batch full
     of repeats) ships one row per task instead of sorting all its rows in one.
     """
-    batch = spread(batch)  # the map-side aggregate sorts: give it every core
     rest = [c for c in batch.columns if c not in key and c not in ordinal]
     full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
     keyed = batch.where(full)
@@ -62,13 +73,13 @@ def append_if_absent(batch: DataFrame, target_path: str, key: list[str],
     """Write the new rows of ``batch`` into the table at ``target_path``.
 
     The rows to write are materialised to the target in one append; a retried
-    run finds its own rows in the target and appends nothing (idempotent).
+    run finds its own keyed rows in the target and appends none of them. Rows with
+    a NULL key part are distinct by definition and are appended on every call.
     """
     spark = batch.sparkSession
-    try:
-        target = spark.read.format(fmt).load(target_path)
-    except Exception:  # no table yet: everything is new
-        target = spark.createDataFrame([], batch.select(*key).schema)
+    target = table_or_none(spark, target_path, batch.schema, fmt)
+    if target is None:  # no table yet: everything is new
+        target = spark.createDataFrame([], batch.schema)
     new_rows = insert_if_absent(batch, target, key, ordinal)
     new_rows.write.mode("append").format(fmt).save(target_path)
-    return spark.read.format(fmt).load(target_path)
+    return spark.read.schema(batch.schema).format(fmt).load(target_path)

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from driftpool.functions.vectors import mean_vector
-from driftpool.sources.keyed import first_per_key, insert_if_absent
+from driftpool.sources.keyed import first_per_key, insert_if_absent, table_or_none
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
 MICROS_PER_DAY = 86_400_000_000
@@ -33,52 +34,63 @@ def utc_day(ts: str | Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_micros(col) / MICROS_PER_DAY).cast("int"))
 
 
-def _read(spark: SparkSession, path: str, schema, files_per_trigger: int):
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+def _read(spark: SparkSession, path: str, schema, files_per_trigger: int | None):
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
-def _table_or_none(spark: SparkSession, path: str):
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # not written yet
-        return None
-
-
-PRUNE_LIMIT = 10_000  # most partition values listed in a pruning filter
+BUCKETS = 64  # partitions of the intake table, by a hash of the key
 
 
 def stream_intake(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
                   key=("channel_id", "message_id"), ordinal=("date",),
-                  files_per_trigger: int = 1, partition_col: str = "channel_id") -> StreamingQuery:
+                  files_per_trigger: int | None = None) -> StreamingQuery:
     """Messages with text land in ``target`` once per key, across batches
     and restarts: each micro-batch keeps its first row per key and appends only
-    keys the target does not hold (insert-if-absent, never update). A replayed
-    batch finds its own rows and appends nothing.
-
-    The target is partitioned by ``partition_col`` (a key column), and each
-    batch reads back only the partitions of the values it carries, so the
-    anti-join does not scan the whole history every micro-batch.
+    keys the target does not hold (insert-if-absent, never update).
+
+    A batch is one folder, named by the query and batch id: a replayed batch
+    replaces its own rows, NULL-keyed ones included, and compares with all others.
+    Within it rows lie in ``BUCKETS`` folders by a hash of the key; a batch reads
+    back only the buckets it carries (at most ``BUCKETS`` numbers reach the
+    driver), so a small batch does not scan the whole history. Read the table with
+    ``read_intake``, which keeps the source's types.
     """
     msgs = _read(spark, source, schema, files_per_trigger).where(
         F.col("text").isNotNull() & (F.col("text") != ""))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = first_per_key(batch, list(key), list(ordinal))
-        cur = _table_or_none(spark, target)
-        if cur is not None:
-            vals = [r[0] for r in rows.select(partition_col).distinct().limit(PRUNE_LIMIT + 1).collect()]
-            if len(vals) <= PRUNE_LIMIT and None not in vals:
-                cur = cur.where(F.col(partition_col).isin(vals))  # partition pruning
-            rows = insert_if_absent(rows, cur, list(key), list(ordinal))
-        rows.write.mode("append").partitionBy(partition_col).parquet(target)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        name = f"{run}-{batch_id}"
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+        cur = table_or_none(spark, target, _intake_schema(schema))
+        if cur is None:
+            rows = first_per_key(batch, list(key), list(ordinal))
+        else:
+            held = [r.bucket for r in batch.select("bucket").distinct().collect()]
+            cur = cur.where(F.col("bucket").isin(held) & (F.col("batch") != name))
+            rows = insert_if_absent(batch, cur, list(key), list(ordinal))
+        (rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{target}/batch={name}"))
 
     return (msgs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def _intake_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.StringType()),
+                         T.StructField("bucket", T.IntegerType())])
+
+
+def read_intake(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The intake table with the source's columns and types."""
+    return spark.read.schema(_intake_schema(schema)).parquet(target).drop("batch", "bucket")
+
+
 def daily_pool_stream(spark: SparkSession, source: str, schema, delay: str = "1 day",
-                      files_per_trigger: int = 1, keys=("series",)) -> DataFrame:
+                      files_per_trigger: int | None = None, keys=("series",)) -> DataFrame:
     """T02 plan: per (series, UTC day): item count and mean vector, on event
     time with a watermark; rows later than the watermark are dropped, a day is
     emitted once (append mode) when the watermark passes its end."""
@@ -99,7 +111,7 @@ def _batch_sink(out: str, transform=None):
 
 
 def stream_daily_pool(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
-                      delay: str = "1 day", files_per_trigger: int = 1) -> StreamingQuery:
+                      delay: str = "1 day", files_per_trigger: int | None = None) -> StreamingQuery:
     """Closed days of the daily pool appended to ``out``."""
     plan = daily_pool_stream(spark, source, schema, delay, files_per_trigger)
     return (plan.writeStream.outputMode("append").foreachBatch(_batch_sink(out))
@@ -107,7 +119,7 @@ def stream_daily_pool(spark: SparkSession, source: str, schema, out: str, checkp
 
 
 def stream_score(spark: SparkSession, source: str, schema, model, out: str, checkpoint: str,
-                 delay: str = "1 day", files_per_trigger: int = 1) -> StreamingQuery:
+                 delay: str = "1 day", files_per_trigger: int | None = None) -> StreamingQuery:
     """Each closed day's pooled vector scored by ``model`` (M08 columns)."""
     from pyspark.ml.functions import vector_to_array
 
@@ -133,11 +145,15 @@ def read_batches(spark: SparkSession, out: str) -> DataFrame:
 
 def write_time_chunks(df: DataFrame, path: str, day_col: str, n_files: int) -> None:
     """Feed a file stream: ``df`` split into ``n_files`` day ranges, written in
-    time order (one write per chunk, so file times follow event time)."""
+    time order (one write per range, so file times follow event time); rows
+    without a day go with the first range."""
     span = df.agg(F.min(F.unix_date(day_col)).alias("lo"), F.max(F.unix_date(day_col)).alias("hi"))
     lo, hi = span.first()
+    lo, hi = lo or 0, hi or 0  # no row has a day
     width = max(1, (hi - lo + n_files) // n_files)
     for i in range(n_files):
         a, b = lo + i * width, lo + (i + 1) * width
-        (df.where((F.unix_date(day_col) >= a) & (F.unix_date(day_col) < b))
-         .coalesce(1).write.mode("append").parquet(path))
+        part = (F.unix_date(day_col) >= a) & (F.unix_date(day_col) < b)
+        if i == 0:
+            part = part | F.col(day_col).isNull()
+        df.where(part).write.mode("append").parquet(path)

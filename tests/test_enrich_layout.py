@@ -40,22 +40,15 @@ def test_encoder_hashes_once_under_pushdown(spark):
     assert q.count() > 0
 
 
-def test_spread_keeps_rows_and_widens_only_coarse_inputs(spark):
-    target = spark.sparkContext.defaultParallelism
-    coarse = spark.range(0, 1000, numPartitions=1)
-    wide = spread(coarse, target)
-    assert wide.rdd.getNumPartitions() == target
-    assert sorted(r.id for r in wide.collect()) == list(range(1000))
-    already = spark.range(0, 1000, numPartitions=target)
-    assert spread(already, target) is already
-
-
-def test_spread_leaves_shuffled_inputs_and_runs_no_job(spark):
+def test_spread_is_the_callers_choice_and_runs_no_job(spark):
     sc = spark.sparkContext
-    shuffled = spark.range(0, 1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).count()
-    sc.setJobGroup("spread-probe", "spread on a shuffled input")
+    df = spark.range(0, 1000, numPartitions=1)
+    sc.setJobGroup("spread-probe", "spread")
     try:
-        assert spread(shuffled, 64) is shuffled
+        wide = spread(df, 5)
+        assert spread(df) is df
         assert sc.statusTracker().getJobIdsForGroup("spread-probe") == []
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.id for r in wide.collect()) == list(range(1000))
+    assert wide.select(F.spark_partition_id()).distinct().count() == 5

@@ -49,13 +49,76 @@ def test_encoder_hook_drops_only_failed_batches(spark):
         assert r.model_name == "hook"
 
 
-def test_encoder_hook_larger_batches_lose_whole_batches_only(spark):
+def test_hooks_do_not_depend_on_batches_or_partitions(spark):
     news = fx.news(spark, SF001)
-    n_msgs = enrich.prepare_messages(news).count()
-    enc = enrich.encode_texts(news, "hook", encoder_factory=_encoder, batch_size=4)
-    rows = enc.select("input_text").collect()
-    assert all(not _bad(r.input_text) for r in rows)
-    assert 0 < len(rows) < n_msgs
+    want = {r.special_id for r in enrich.prepare_messages(news).collect() if not _bad(r.input_text)}
+    for parts, batch in ((1, 64), (7, 4), (3, 1)):
+        enc = enrich.encode_texts(news, "hook", encoder_factory=_encoder, batch_size=batch, parts=parts)
+        assert {r.special_id for r in enc.collect()} == want
+    report = enrich.encode_report(news, enc).first()
+    assert (report.processed, report.total) == (len(want), news.count())
+
+
+def test_one_bad_text_gives_one_error(spark):
+    texts = [f"good {i}x" for i in range(63)] + ["bad!!"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+
+    def factory():
+        def score(batch):
+            if "bad!!" in batch:
+                raise RuntimeError("x" * 2000)
+            return [{"label": "neutral", "score": 0.0} for _ in batch]
+        return score
+
+    out = enrich.score_sentiment(df, scorer_factory=factory, batch_size=64).collect()
+    assert [r.text for r in out if r.label == "ERROR"] == ["bad!!"] and len(out) == 64
+    backlog = df.selectExpr("1L as channel_id", "cast(hash(text) as long) as message_id",
+                            "cast(null as timestamp_ntz) as date", "text")
+    words = lambda: lambda batch: [r["label"] for r in factory()(batch)]
+    failed = [r for r in enrich.translate_backlog(backlog, words, 64).collect() if r.error]
+    assert len(failed) == 1 and failed[0].error.endswith("x" * 2000)  # not cut
+
+
+def _flaky():
+    import random
+
+    def translate(texts):
+        if random.random() < 0.5:
+            raise RuntimeError("not now")
+        return [t.upper() for t in texts]
+    return translate
+
+
+def test_randomly_failing_translator_returns_each_key_once(spark):
+    backlog = fx.news(spark, SF001)
+    out = enrich.translate_backlog(backlog, _flaky, batch_size=8, max_retries=2).collect()
+    keys = [(r.channel_id, r.message_id) for r in out]
+    assert len(keys) == len(set(keys)) == backlog.count()
+    src = {(r.channel_id, r.message_id): (r.text or "").strip() for r in backlog.collect()}
+    for r in out:
+        if r.error is None:
+            assert r.text == src[r.channel_id, r.message_id].upper()
+        else:
+            assert r.text == "" and r.error == "RuntimeError: not now"
+
+
+def test_translate_into_empties_the_backlog(spark, tmp_path):
+    news = fx.news(spark, SF001).where("text is not null").select("channel_id", "message_id", "date", "text")
+    path = str(tmp_path / "translated")
+    news.limit(20).write.parquet(path)
+    table = enrich.translate_into(news, path, _flaky, batch_size=4, max_retries=1, max_rounds=30)
+    keys = [(r.channel_id, r.message_id) for r in table.collect()]
+    assert len(keys) == len(set(keys)) == news.count()
+    # a translator that never works stores nothing and ends
+    other = str(tmp_path / "broken")
+    news.limit(5).write.parquet(other)
+    assert enrich.translate_into(news, other, _broken, max_retries=0).count() == 5
+
+
+def _broken():
+    def translate(texts):
+        raise RuntimeError("never")
+    return translate
 
 
 def test_scorer_hook_marks_failed_rows(spark):
