@@ -72,18 +72,17 @@ def projection_2d(pooled: DataFrame, v: str = "v"):
     return out.withColumnRenamed("_pc0", "x").withColumnRenamed("_pc1", "y"), model
 
 
-LAYOUT_PARTS = 64
-
-
-def stable_layout(df: DataFrame, key, n_parts: int = LAYOUT_PARTS) -> DataFrame:
+def stable_layout(df: DataFrame, key, n_parts: int | None = None) -> DataFrame:
     """Deterministic partitions and row order (hash on ``key``, sorted within
     partitions): seeded learners that draw per partition (bagging) then give
-    the same model on every run and every cluster, whatever order shuffles
-    delivered rows in. ``n_parts`` is part of the model: raise it with the data."""
+    the same model on every run, whatever order shuffles delivered rows in and
+    however many cores there are. The partition count is part of the model:
+    ``n_parts``, or the session's shuffle partitions."""
     if not key:
         return df
     key = [key] if isinstance(key, str) else list(key)
-    return df.repartition(n_parts, *key).sortWithinPartitions(*key)
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *key).sortWithinPartitions(*key)
 
 
 def random_forest(train: DataFrame, features: str = "features", label: str = "label",

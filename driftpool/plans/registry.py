@@ -73,6 +73,7 @@ def load_all() -> None:
         q_clean,
         q_enrich,
         q_keyed,
+        q_model_checks,
         q_models,
         q_pool,
         q_series,
