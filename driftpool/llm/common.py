@@ -51,6 +51,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(crc, F.lit(4)) == 2, F.lit(False))
 
 
+def drawn(key: str):
+    """A number in [0, 1) that a row's key fixes: the order samples are taken in."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 of each text, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

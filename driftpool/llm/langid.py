@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftpool.llm.common import Shared, add_columns, cut, held_out, table
+from driftpool.llm.common import Shared, add_columns, cut, drawn, held_out, table
 
 QUERY_NAME = "op2_language_id"
 ORACLE_SQL = None  # tests hold it against a set-based version and held-out accuracy
@@ -37,6 +37,7 @@ MIN_TEXTS = 2
 #: the pipeline rejects texts of which fewer n-grams are known to their language
 MIN_SCORE = 0.2
 CHUNK = 1 << 20
+MAX_BROADCAST_LANGS = 100_000
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is no letter reads as a space
@@ -113,8 +114,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                       F.col(f"`{lang_col}`").alias("lang")).where(
         "lang is not null and text is not null and id is not null")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = cut(src.select("id", "lang").withColumn("n", F.row_number().over(pick))
+    # twice the share that is needed, so that ranking a language never sees more;
+    # sizes, one row a language, are broadcast so that rows need not meet by language
+    sizes = cut(src.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "language-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_LANGS else sizes
+    few = (src.select("id", "lang", drawn("id").alias("u")).join(sizes, "lang")
+           .where(F.col("u") * F.col("size") < 2 * rows_per_lang))
+    pick = Window.partitionBy("lang").orderBy("u", "id")
+    ids = cut(few.withColumn("n", F.row_number().over(pick))
               .where(F.col("n") <= rows_per_lang).select("id", "lang").distinct(), "fit-rows")
     langs = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     place = {x: i for i, x in enumerate(langs)}
