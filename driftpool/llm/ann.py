@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftpool.llm.common import Shared, cut, table
+from driftpool.llm.common import Shared, cut, drawn, table
 
 QUERY_NAME = "op1_nearest_neighbours"
 ORACLE_SQL = None  # approximate; tests hold recall and distances against brute force
@@ -182,7 +182,9 @@ def index(vectors: DataFrame, list_rows: int = LIST) -> tuple[Heads | None, Data
                            vectors.schema["v"], T.StructField("first", T.BooleanType())])
     if not n:
         return None, spark.createDataFrame([], schema)
-    sample = (vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow())
+    # twice the share that is needed, so that sorting never sees more
+    few = vectors.withColumn("u", drawn("id")).where(F.col("u") * n < 2 * FIT_ROWS)
+    sample = few.orderBy("u", "id").limit(FIT_ROWS).select("v").toArrow()
     centres = place_centres(_matrix(sample["v"].combine_chunks()),
                             min(MAX_CENTRES, max(1, n // list_rows)))
     heads = Heads.build(centres)
