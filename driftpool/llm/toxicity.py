@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftpool.llm.common import Shared, add_columns, cut, held_out, table
+from driftpool.llm.common import Shared, add_columns, cut, drawn, held_out, table
 
 QUERY_NAME = "op8_toxicity"
 ORACLE_SQL = None  # tests hold the matcher against brute force and scores against held-out labels
@@ -171,21 +171,27 @@ class Lexicon:
         if not found:
             return [0.0] * N_FEATURES
         places = np.array([i for i, _, _ in found])
-        total = strongest = quoted = 0.0
-        for i, _, weight in found:
+        # a word repeated over and over is one piece of evidence: its heaviest place
+        heaviest: dict[str, tuple[float, int, bool]] = {}
+        for i, kind, weight in found:
             lo, hi = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
             before, after = words[lo:i + 1], words[i:hi]
             near = {w.strip(EDGE) for w in words[lo:hi]}
-            in_quotes = (any(w[0] in OPENING for w in before) and any(
+            quoted = (any(w[0] in OPENING for w in before) and any(
                 w.rstrip(".,;:!?")[-1:] in CLOSING for w in after))
-            weight *= QUOTED if in_quotes else 1.0
+            weight *= QUOTED if quoted else 1.0
             weight *= REPORTED if near & REPORTING else 1.0
             weight *= ADDRESSED if near & ADDRESS else 1.0
-            others = int(np.searchsorted(places, hi) - np.searchsorted(places, lo)) - 1
+            others = len({words[j] for j in places[np.searchsorted(places, lo):
+                                                   np.searchsorted(places, hi)]} - {words[i]})
             weight *= 1.0 + COMPANY * min(3, others)
-            total, strongest, quoted = total + weight, max(strongest, weight), quoted + in_quotes
-        kinds = Counter(k for _, k, _ in found)
-        return [np.log1p(total), strongest, np.log1p(100.0 * total / len(words)), quoted / len(found),
+            word = words[i].strip(EDGE)
+            heaviest[word] = max(heaviest.get(word, (0.0, 0, False)), (weight, kind, quoted))
+        total = sum(w for w, _, _ in heaviest.values())
+        kinds = Counter(k for _, k, _ in heaviest.values())
+        return [np.log1p(total), max(w for w, _, _ in heaviest.values()),
+                np.log1p(100.0 * total / len(words)),
+                sum(q for _, _, q in heaviest.values()) / len(heaviest),
                 *(np.log1p(kinds[k]) for k in (1, 2, 3)), 1.0]
 
 
@@ -258,7 +264,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     marks = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
              .agg(F.max("toxic").alias("toxic")))
     ids = docs.select("doc_id").join(marks, "doc_id").distinct()
-    sample = cut(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit-rows")
+    ids = cut(ids.withColumn("u", drawn("doc_id")), "labelled-rows")
+    # twice the share that is needed, so that sorting never sees more
+    few = ids.where(F.col("u") * ids.count() < 2 * fit_rows)
+    sample = cut(few.orderBy("u", "doc_id").limit(fit_rows).drop("u"), "fit-rows")
     rows = cut(docs.select("doc_id", "text").where("text is not null")
                .join(F.broadcast(sample), "doc_id").groupBy(F.md5("text").alias("tag"))
                .agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
