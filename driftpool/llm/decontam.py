@@ -1,22 +1,19 @@
 """Benchmark decontamination (operator 9).
 
-Method: word n-grams of the test items that are rare in the corpus are seeds. A
-first pass over all texts counts in how many each item n-gram occurs; of every
-``WINDOW`` consecutive n-grams of an item the rarest becomes a seed, so that each
-stretch of an item has one however often the item was copied, and common phrases
-are used only where nothing rarer is near. A second pass finds the seeds in every
-text, groups the hits of an item by place, and scores each such passage by
-Smith-Waterman alignment of words, which tolerates replaced, lost and added words.
+Method: every word n-gram of a test item is a seed, whatever its frequency, so a
+copy is looked at wherever it keeps ``NGRAM`` words in a row. One pass finds the
+seeds in every text, groups the hits of an item by place, and scores each such
+passage by Smith-Waterman alignment of words, which tolerates replaced, lost and
+added words. A passage that holds too few of the item's words to reach the
+threshold in any order, as those hit by common phrases alone, is not aligned.
 
 Items are a stated query set: they are taken in blocks of at most
-``BLOCK_WORDS`` words, each block is broadcast and both passes run for it, so the
-broadcast is bounded whatever the number of items. Texts are never shuffled; only
-n-gram counts are.
+``BLOCK_WORDS`` words, each block is broadcast and the pass runs for it, so the
+broadcast is bounded whatever the number of items. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +27,7 @@ from driftpool.llm.common import Shared, add_columns, table
 
 QUERY_NAME = "op9_benchmark_decontamination"
 ORACLE_SQL = None  # alignment is no SQL; tests hold it against brute force
-NGRAM, WINDOW = 3, 4
+NGRAM = 3
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: a passage counts if its alignment reaches this share of a perfect copy's score
 MIN_SCORE = 0.4
@@ -52,8 +49,11 @@ class Items:
     words: list[np.ndarray] = field(default_factory=list)
     number: dict[bytes, int] = field(default_factory=dict)
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    #: per n-gram: (item, place) pairs where it is a seed; absent: no seed
-    seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    #: items and places of n-gram i: rows first[i] to first[i + 1] of ``seeds``
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    seeds: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    #: per item its distinct words and how often it has each
+    bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def add(self, item_id, text: str | None) -> None:
         ws = words_of(text)
@@ -73,8 +73,15 @@ class Items:
         return np.where(known, out, 0)
 
     def close(self) -> Items:
-        self.grams = np.unique(np.concatenate([self.codes(w) for w in self.words] or
-                                              [np.zeros(0, np.int64)]))
+        codes = [self.codes(w) for w in self.words]
+        flat = np.concatenate(codes or [np.zeros(0, np.int64)])
+        owners = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        places = np.concatenate([np.arange(len(c)) for c in codes] or [np.zeros(0, np.int64)])
+        order = np.argsort(flat, kind="stable")
+        self.grams, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.seeds = np.column_stack([owners, places])[order]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         return self
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,18 +95,12 @@ class Items:
         hit = self.grams[at] == codes
         return places[hit], at[hit]
 
-    def choose(self, texts_with: np.ndarray) -> None:
-        """Seeds: of every WINDOW consecutive n-grams of an item the one found in
-        the fewest texts (ties: the first)."""
-        chosen = defaultdict(list)
-        for item, ws in enumerate(self.words):
-            at = np.searchsorted(self.grams, self.codes(ws))
-            rare = texts_with[at]
-            places = {i + int(np.argmin(rare[i:i + WINDOW]))
-                      for i in range(max(1, len(rare) - WINDOW + 1)) if len(rare)}
-            for p in sorted(places):
-                chosen[int(at[p])].append((item, p))
-        self.seeds = dict(chosen)
+    def most(self, item: int, passage: np.ndarray) -> float:
+        """No alignment of the item with the passage scores more: the words they share."""
+        own, times = self.bags[item]
+        at = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+        held = np.bincount(at[own[at] == passage], minlength=len(own))
+        return MATCH * float(np.minimum(held, times).sum())
 
 
 def numbers(ws: list[bytes], number: dict[bytes, int]) -> np.ndarray:
@@ -123,31 +124,39 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def passages(ids: np.ndarray, block: Items) -> Iterator[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of each item's best passage in a text."""
+def passages(ids: np.ndarray, block: Items,
+             min_score: float) -> Iterator[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of each item's best passage in a text,
+    where its score is at least ``min_score``."""
     places, found = block.find(ids)
-    near = defaultdict(set)
-    for p, g in zip(places.tolist(), found.tolist()):
-        for item, q in block.seeds.get(g, ()):
-            near[item].add(p - q)
-    for item, starts in near.items():
-        own = block.words[item]
-        slack, best = max(8, len(own) // 3), None
-        spans: list[list[int]] = []
-        for s in sorted(starts):  # passages that overlap are aligned as one
-            lo, hi = max(0, s - slack), min(len(ids), s + len(own) + slack)
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], hi)
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
+    times = block.first[found + 1] - block.first[found]
+    rows = (np.repeat(block.first[found] - np.cumsum(times) + times, times)
+            + np.arange(int(times.sum())))
+    near = np.unique(np.column_stack([block.seeds[rows, 0],
+                                      np.repeat(places, times) - block.seeds[rows, 1]]), axis=0)
+    spans: dict[int, list[list[int]]] = {}
+    for item, s in near.tolist():  # passages that overlap are aligned as one
+        size = len(block.words[item])
+        slack = max(8, size // 3)
+        lo, hi = max(0, s - slack), min(len(ids), s + size + slack)
+        own = spans.setdefault(item, [])
+        if own and lo <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], hi)
+        else:
+            own.append([lo, hi])
+    for item, parts in spans.items():
+        own, best = block.words[item], None
+        for lo, hi in parts:
+            if block.most(item, ids[lo:hi]) / (MATCH * len(own)) < min_score:
+                continue
             score, end = align(own, ids[lo:hi])
             score /= MATCH * len(own)
-            if best is None or score > best[0]:
+            if score >= min_score and (best is None or score > best[0]):
                 stop = lo + end
                 back, size = align(own[::-1], ids[lo:stop][::-1])
                 best = (score, stop - size, stop)
-        yield item, *best
+        if best is not None:
+            yield item, *best
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -166,27 +175,6 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         yield block.close()
 
 
-def _with_seeds(docs: DataFrame, text_col: str, block: Items) -> Items:
-    """First pass: texts that hold each n-gram of the block; picks the seeds."""
-    shared = Shared(docs.sparkSession, block)
-
-    def count(batches):
-        block = shared.value
-        seen = np.zeros(len(block.grams), np.int64)
-        for b in batches:
-            for t in b.column(0):
-                seen[np.unique(block.find(numbers(words_of(t.as_py()), block.number))[1])] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["gram", "n"])
-
-    totals = (docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "gram long, n long")
-              .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())
-    texts_with = np.zeros(len(block.grams), np.int64)
-    texts_with[totals["gram"].to_numpy()] = totals["n"].to_numpy()
-    block.choose(texts_with)
-    return block
-
-
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_id: str = "item_id", item_text: str = "text",
             min_score: float = MIN_SCORE) -> DataFrame:
@@ -197,7 +185,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     Null, empty and one- or two-word texts or items match nothing (a seed has three
     words). Items of the same text all match; repeated rows of ``docs`` give
     repeated rows; null ids stay null. Empty tables give none. Other columns are
-    ignored. Runs the counting pass of every block of items."""
+    ignored."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([
         T.StructField(id_col, src.schema["id"].dataType),
@@ -205,7 +193,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(items, item_id, item_text):
-        shared = Shared(docs.sparkSession, _with_seeds(src, "text", block))
+        shared = Shared(docs.sparkSession, block)
 
         def scan(batches, shared=shared):
             block = shared.value
@@ -213,8 +201,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 rows = [(i, block.ids[item], score, first, end)
                         for i, t in zip(b.column(0).to_pylist(), b.column(1))
                         for item, score, first, end in
-                        passages(numbers(words_of(t.as_py()), block.number), block)
-                        if score >= min_score]
+                        passages(numbers(words_of(t.as_py()), block.number), block, min_score)]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
@@ -235,15 +222,13 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     """The rows of ``docs`` whose text leaks no test item; columns unchanged. Row
     by row, so ids may be null or repeated. See ``matches``."""
     names = docs.columns
-    whole = docs.select(F.col(f"`{text_col}`").alias("text"))
     for block in blocks(items, item_id, item_text):
-        shared = Shared(docs.sparkSession, _with_seeds(whole, "text", block))
+        shared = Shared(docs.sparkSession, block)
 
         def make(shared=shared):
             block = shared.value
-            return lambda texts: [pa.array([any(
-                score >= min_score for _, score, _, _ in
-                passages(numbers(words_of(t.as_py()), block.number), block)) for t in texts],
+            return lambda texts: [pa.array([any(True for _ in passages(
+                numbers(words_of(t.as_py()), block.number), block, min_score)) for t in texts],
                 pa.bool_())]
 
         docs = (add_columns(docs, text_col, [T.StructField("__leaks", T.BooleanType())], make)

@@ -63,6 +63,23 @@ def test_finds_exact_and_edited_copies_and_no_other(spark):
         assert 48 <= m.first_word <= 55
 
 
+def test_periodic_edits_are_found_beside_an_exact_copy(spark):
+    """Every 4th, 5th or 6th word replaced, in one text; an exact copy of the item in another."""
+    kinds = [(step, at, size) for step in (4, 5, 6) for at in range(step) for size in (15, 40)]
+    bench = [(i, words(20_000 + i, size, 4000)) for i, (_, _, size) in enumerate(kinds)]
+    rows, best = [], {}
+    for (i, text), (step, at, size) in zip(bench, kinds):
+        copy = " ".join("changed" if n % step == at else w for n, w in enumerate(text.split()))
+        rows.append((i, f"{words(i, 30, 4000)} {copy} {words(500 + i, 30, 4000)}", "en", "a"))
+        rows.append((100 + i, f"{words(900 + i, 9, 4000)} {text}", "en", "a"))
+        own, other = decontam.words_of(text), decontam.words_of(rows[-2][1])
+        best[i, i] = smith_waterman(own, other) / (decontam.MATCH * size)
+        best[100 + i, i] = 1.0
+    got = {(r.doc_id, r.item_id): r.score for r in
+           decontam.matches(docs(spark, rows), items(spark, bench)).collect()}
+    assert min(best.values()) >= decontam.MIN_SCORE and got == best
+
+
 def test_an_item_in_every_text_is_still_found(spark):
     bench = [(1, words(5, 30, 4000))]
     rows = [(i, f"{words(i, 20)} {bench[0][1]} {words(77 + i, 20)}", "en", "a") for i in range(60)]
