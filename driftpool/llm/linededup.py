@@ -3,7 +3,8 @@ functions only).
 
 Method: pages are grouped by host; a line's page count within the host, divided
 by the host's page total, is its site-relative frequency, and lines above the
-ratio are dropped from that host's pages. Counting shuffles a 16-byte digest of
+ratio are dropped from that host's pages; a line on fewer than ``MIN_PAGES`` pages
+is not a repeated one, however small the host. Counting shuffles a 16-byte digest of
 each distinct line per page, combined on the map side; page texts are not
 shuffled as long as the boilerplate table (at most mean lines per page / ratio
 digests for a host) is small enough to broadcast, which is measured, and
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from driftpool.llm.common import cut, table
 
 QUERY_NAME = "op4_line_dedup"
-RATIO, MIN_PAGES = 0.1, 10
+#: share of a host's pages that makes a line boilerplate, and the pages that make it
+#: a repeated line at all; from 20 pages on the share alone decides
+RATIO, MIN_PAGES = 0.1, 3
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 #: of a raw page: what holds no text, and what separates lines

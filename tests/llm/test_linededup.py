@@ -51,6 +51,16 @@ def test_empty_table(spark):
     assert linededup.drop_boilerplate(docs(spark, []), "source").count() == 0
 
 
+def test_the_ratio_decides_on_small_hosts(spark):
+    rows = [(i, f"own {i}\nCopyright" if i < 3 else f"own {i}", "en", "four") for i in range(4)]
+    rows += [(10 + i, f"own {i}\nCopyright" if i < 4 else f"own {i}", "en", "fifteen") for i in range(15)]
+    rows += [(50 + i, f"own {i}\nCopyright", "en", "two") for i in range(2)]
+    rows += [(60 + i, f"own {i}\nCopyright" if i < 3 else f"own {i}", "en", "thirty") for i in range(30)]
+    out = linededup.drop_boilerplate(docs(spark, rows), "source").collect()
+    assert {r.doc_id for r in out if r.n_dropped} == {0, 1, 2, 10, 11, 12, 13}
+    assert all("Copyright" not in r.text for r in out if r.n_dropped)
+
+
 def test_host_and_lines(spark):
     df = spark.createDataFrame([("http://A.example/x?y", "<p>a<br> b</p><script>x<1</script>c"),
                                 ("no host", "<!-- gone -->"), (None, None)], "url string, html string")
@@ -58,6 +68,11 @@ def test_host_and_lines(spark):
     assert [tuple(r) for r in got] == [("a.example", "\na\nb\nc"), ("", "\n"), (None, None)]
 
 
+def test_query_drops_lines_at_the_oracle_size(spark):
+    got = linededup.query(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_dropped for r in got) > 0
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert compare(linededup.query(spark, sf).toPandas(), duck(sf).sql(linededup.ORACLE_SQL).df()) is None
