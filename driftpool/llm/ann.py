@@ -143,12 +143,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(k: int):
-    """Of one shard, each query's k nearest by exact distance, ties to smaller ids."""
+    """Of one shard, each query's k nearest ids by exact distance, ties to smaller
+    ids. An id with several vectors counts once, at the nearest of them."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if rows.num_rows and queries.num_rows:
             x, ids = _matrix(rows["v"].combine_chunks()), rows["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            x, ids = x[order], ids[order]
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             q, names = _matrix(queries["v"].combine_chunks()), queries["query_id"].to_numpy()
             step = max(1, BLOCK // len(x))
             for at in range(0, len(q), step):
@@ -157,13 +161,18 @@ def _nearest(k: int):
                 for i, row in enumerate(d):
                     other = ids != names[at + i]
                     row = np.where(other, row, np.inf)
-                    n = min(k, int(other.sum()))
+                    least = np.minimum.reduceat(row, starts) if len(starts) < len(ids) else row
+                    n = min(k, int(other[starts].sum()))
                     if not n:
                         continue
-                    edge = np.partition(row, n - 1)[n - 1]
+                    edge = np.partition(least, n - 1)[n - 1]
                     near = np.flatnonzero(row <= edge * (1 + 1e-9) + 1e-6)
                     exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
-                    first = np.lexsort((ids[near], exact))[:n]
+                    first = np.lexsort((ids[near], exact))
+                    if len(starts) < len(ids):
+                        own = np.unique(ids[near][first], return_index=True)[1]
+                        first = first[np.sort(own)]
+                    first = first[:n]
                     out[0].append(np.full(n, names[at + i])), out[1].append(ids[near][first])
                     out[2].append(exact[first])
         cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in
@@ -175,9 +184,13 @@ def _nearest(k: int):
 def index(vectors: DataFrame, list_rows: int = LIST) -> tuple[Heads | None, DataFrame]:
     """vectors: (id, v), usable ones of one width. The heads, and the written index
     (list, id, v, first): every vector in each of its lists, ``first`` marking the
-    nearest. Runs jobs."""
+    nearest. Where ids are repeated, equal rows are made one first. Runs jobs."""
     spark = vectors.sparkSession
-    n = vectors.count()
+    n, ids = (vectors.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+              .agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
+    if ids < n:
+        vectors = cut(vectors.distinct(), "distinct-vectors")
+        n = vectors.count()
     schema = T.StructType([T.StructField("list", T.IntegerType()), vectors.schema["id"],
                            vectors.schema["v"], T.StructField("first", T.BooleanType())])
     if not n:
@@ -211,8 +224,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     candidate.
 
     Null vectors, zero vectors and those with null or non-finite parts take no part,
-    nor do rows with a null id; rows repeated with their id count once. Vectors must
-    have one width. Other columns are ignored, empty tables give none. Runs jobs."""
+    nor do rows with a null id; rows repeated with their id count once, and an id with
+    several vectors counts at the one nearest the query. Vectors must have one width. Other columns are ignored, empty tables give none. Runs jobs."""
     spark = vectors.sparkSession
     pick = lambda df: (df.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                                  F.col(f"`{vector_col}`").alias("v"))
@@ -221,12 +234,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     out = "query_id long, vec_id long, score double"
     if heads is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # at most MAX_CENTRES rows
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n"),
-                                      F.count_if("first").alias("own")).toArrow()
-    at = sizes["list"].to_numpy()
+    # at most MAX_CENTRES rows each; an id is counted in one list, however many vectors it has
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    firsts = (lists.where("first").groupBy("id").agg(F.min("list").alias("list"))
+              .groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow())
     rows, own = (np.zeros(len(heads.centres), np.int64) for _ in range(2))
-    rows[at], own[at] = sizes["n"].to_numpy(), sizes["own"].to_numpy()
+    rows[sizes["list"].to_numpy()] = sizes["n"].to_numpy()
+    own[firsts["list"].to_numpy()] = firsts["n"].to_numpy()
     shards = np.maximum(1, -(-rows // SHARD_ROWS))
     shared = Shared(spark, (heads, own, shards))
 

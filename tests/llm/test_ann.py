@@ -50,6 +50,49 @@ def test_a_third_of_all_rows_alike(spark, monkeypatch):
     assert recall(spark, x) >= 0.9
 
 
+def by_id(x, ids, q, k=10):
+    """The k nearest other ids of a query, each at its nearest vector."""
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    least = {}
+    for i, y in zip(ids.tolist(), d.tolist()):
+        if i != ids[q]:
+            least[i] = min(y, least.get(i, np.inf))
+    return sorted((y, i) for i, y in least.items())[:k]
+
+
+@pytest.mark.parametrize("kind", ["one id", "every row", "one id, other vectors"])
+def test_repeated_ids_leave_room_for_others(spark, kind):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 8)).astype(np.float32).astype(float)
+    x[8], ids = x[7] + 0.125, np.arange(300)
+    if kind == "every row":
+        x, ids = np.repeat(x, 2, axis=0), np.repeat(ids, 2)
+    else:
+        ids[::3] = 7
+        x[ids == 7] = x[7]
+        if kind == "one id, other vectors":
+            x[ids == 7] += (r.normal(size=(int((ids == 7).sum()), 8)) * 0.01).astype(np.float32)
+            x = x.astype(np.float32).astype(float)
+    df, got = frame(spark, x, ids), {}
+    queries = df.where("vec_id % 50 in (1, 8, 31)")
+    for m in ann.search(df, queries, list_rows=1000).orderBy("query_id", "rank").collect():
+        got.setdefault(m.query_id, []).append((m.score, m.vec_id))
+    for q in {i for i in ids.tolist() if i % 50 in (1, 8, 31)}:
+        want = by_id(x, ids, int(np.flatnonzero(ids == q)[0]))
+        assert [i for _, i in got[q]] == [i for _, i in want] and len(want) == 10
+        assert np.allclose([s for s, _ in got[q]], [s for s, _ in want], atol=1e-12)
+
+
+def test_lists_are_read_until_they_hold_enough_ids(spark):
+    r = np.random.default_rng(6)
+    x, ids = r.normal(size=(1200, 4)) * 0.01, np.zeros(1200, int)
+    x[600:], ids[600:] = r.normal(size=(600, 4)) + 40, np.arange(600) + 1
+    x[600], ids[600] = x[0] + 0.001, 1
+    df = frame(spark, x, ids)
+    got = ann.search(df, df.where("vec_id = 1")).collect()
+    assert len(got) == 10 and len({m.vec_id for m in got}) == 10
+
+
 def test_small_and_odd_tables(spark):
     rows = [(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (3, [0.0, 0.0], "x"), (4, None, "x"),
             (5, [None, 1.0], "x"), (6, [float("nan"), 1.0], "x"), (7, [float("inf"), 1.0], "x"),
