@@ -31,6 +31,8 @@ NGRAM = 3
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: a passage counts if its alignment reaches this share of a perfect copy's score
 MIN_SCORE = 0.4
+#: or that of this many words copied without a change, in items of which that is less
+MIN_WORDS = 20
 BLOCK_WORDS = 500_000
 #: ASCII that is neither letter nor digit separates words
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -125,9 +127,10 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
 
 
 def passages(ids: np.ndarray, block: Items,
-             min_score: float) -> Iterator[tuple[int, float, int, int]]:
+             min_score: float, min_words: int) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, end word) of each item's best passage in a text,
-    where its score is at least ``min_score``."""
+    where its score is at least ``min_score`` or that of ``min_words``
+    words in a row."""
     places, found = block.find(ids)
     times = block.first[found + 1] - block.first[found]
     rows = (np.repeat(block.first[found] - np.cumsum(times) + times, times)
@@ -146,12 +149,13 @@ def passages(ids: np.ndarray, block: Items,
             own.append([lo, hi])
     for item, parts in spans.items():
         own, best = block.words[item], None
+        least = min(min_score, min_words / len(own))
         for lo, hi in parts:
-            if block.most(item, ids[lo:hi]) / (MATCH * len(own)) < min_score:
+            if block.most(item, ids[lo:hi]) / (MATCH * len(own)) < least:
                 continue
             score, end = align(own, ids[lo:hi])
             score /= MATCH * len(own)
-            if score >= min_score and (best is None or score > best[0]):
+            if score >= least and (best is None or score > best[0]):
                 stop = lo + end
                 back, size = align(own[::-1], ids[lo:stop][::-1])
                 best = (score, stop - size, stop)
@@ -177,10 +181,11 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_id: str = "item_id", item_text: str = "text",
-            min_score: float = MIN_SCORE) -> DataFrame:
+            min_score: float = MIN_SCORE, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (id, item_id, score, first_word, end_word): the best passage of each
     text for each test item it leaks, where the alignment score is at least
-    ``min_score`` of a perfect copy's.
+    ``min_score`` of a perfect copy's, or at least that of ``min_words`` words copied
+    without a change (an excerpt of a long item; its score is the share all the same).
 
     Null, empty and one- or two-word texts or items match nothing (a seed has three
     words). Items of the same text all match; repeated rows of ``docs`` give
@@ -201,7 +206,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 rows = [(i, block.ids[item], score, first, end)
                         for i, t in zip(b.column(0).to_pylist(), b.column(1))
                         for item, score, first, end in
-                        passages(numbers(words_of(t.as_py()), block.number), block, min_score)]
+                        passages(numbers(words_of(t.as_py()), block.number), block,
+                                 min_score, min_words)]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
@@ -218,7 +224,8 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+               item_text: str = "text", min_score: float = MIN_SCORE,
+               min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` whose text leaks no test item; columns unchanged. Row
     by row, so ids may be null or repeated. See ``matches``."""
     names = docs.columns
@@ -228,7 +235,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         def make(shared=shared):
             block = shared.value
             return lambda texts: [pa.array([any(True for _ in passages(
-                numbers(words_of(t.as_py()), block.number), block, min_score)) for t in texts],
+                numbers(words_of(t.as_py()), block.number), block, min_score, min_words)) for t in texts],
                 pa.bool_())]
 
         docs = (add_columns(docs, text_col, [T.StructField("__leaks", T.BooleanType())], make)

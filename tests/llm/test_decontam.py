@@ -80,6 +80,17 @@ def test_periodic_edits_are_found_beside_an_exact_copy(spark):
     assert min(best.values()) >= decontam.MIN_SCORE and got == best
 
 
+def test_long_excerpts_of_long_items_are_found(spark):
+    bench = [(1, words(41, 57, 4000)), (2, words(42, 300, 4000))]
+    cut = lambda item, lo, hi: " ".join(bench[item - 1][1].split()[lo:hi])
+    rows = [(1, f"{words(1, 30, 4000)} {cut(1, 20, 42)} {words(2, 30, 4000)}", "en", "a"),
+            (2, f"{words(3, 30, 4000)} {cut(2, 100, 200)}", "en", "a"),
+            (3, f"{words(4, 30, 4000)} {cut(2, 100, 115)} {words(5, 30, 4000)}", "en", "a")]
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs(spark, rows), items(spark, bench)).collect()}
+    assert got == {(1, 1), (2, 2)}
+    assert [r.doc_id for r in decontam.drop_leaks(docs(spark, rows), items(spark, bench)).collect()] == [3]
+
+
 def test_an_item_in_every_text_is_still_found(spark):
     bench = [(1, words(5, 30, 4000))]
     rows = [(i, f"{words(i, 20)} {bench[0][1]} {words(77 + i, 20)}", "en", "a") for i in range(60)]
