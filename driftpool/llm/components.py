@@ -25,6 +25,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = (edges.select("u", "v").where("u is not null and v is not null and u <> v")
          .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     e = cut(e, "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

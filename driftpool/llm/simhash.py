@@ -1,16 +1,19 @@
 """Near-duplicates by SimHash fingerprints (operator 6).
 
-Method: a 64-bit fingerprint is mapped to the bit counts of its 16 four-bit
+Method: a 64-bit fingerprint is mapped to the bit counts of its 32 two-bit
 segments. A differing bit moves one count by one, so the Manhattan distance of
 two such vectors never exceeds the Hamming distance. Fingerprints at most two
 bits apart therefore have a lattice point within distance one of both vectors:
-every distinct fingerprint is put into the (at most 33) grid cells within
+every distinct fingerprint is put into the (at most 65) grid cells within
 distance one of its vector, and only cells holding two or more fingerprints go
 on. There the distance is verified exactly, and without pairs: fingerprints at
 most two bits apart are those that share a 64-bit word within one bit of both.
-Each candidate names those words that lie in the shared cell, and links to the
-smallest fingerprint that names the same word. A group of n near copies costs at
-most 65 n rows, never n squared.
+Each candidate names those words that lie in the shared cell (itself in its own
+cell, at most two flips in a cell beside it), and links to the smallest
+fingerprint that names the same word. A group of n near copies costs at most 65 n
+words, never n squared. Narrow segments keep chance apart: wider ones have few
+distinct counts, and unrelated fingerprints then meet with the square of their
+number.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from driftpool.llm.components import components
 
 QUERY_NAME = "op6_simhash_near_dedup"
 ORACLE_SQL = None  # SQL has no XXH64; tests hold it against brute force
-SEED, SEGMENT_BITS, MAX_BITS = 42, 4, 2
+SEED, SEGMENT_BITS, MAX_BITS = 42, 2, 2
+LOW = 0x5555555555555555  # the lower bit of every segment
 CHUNK = 1 << 16  # shingles hashed at once: bounds memory on very long texts
 
 
@@ -68,12 +72,19 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3,
 
 
 def _cell(fp):
-    """Bit counts of the 16 segments, four bits each, packed in a long."""
-    cell = F.lit(0).cast("long")
-    for s in range(0, 64, SEGMENT_BITS):
-        ones = F.bit_count(F.shiftrightunsigned(fp, s).bitwiseAND(F.lit(15)))
-        cell = cell.bitwiseOR(F.shiftleft(ones.cast("long"), s))
-    return cell
+    """Bit counts (0 to 2) of the 32 segments, two bits each, packed in a long."""
+    lower = fp.bitwiseAND(F.lit(LOW))
+    upper = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW))
+    return lower.bitwiseXOR(upper).bitwiseOR(F.shiftleft(lower.bitwiseAND(upper), 1))
+
+
+def _words(fp, cell):
+    """The words within one bit of ``fp`` that lie in ``cell``, a cell within
+    distance one of its own: itself, or the flips of the segment that differs."""
+    moved = _cell(fp).bitwiseXOR(cell)
+    bit = moved.bitwiseOR(F.shiftrightunsigned(moved, 1)).bitwiseAND(F.lit(LOW))
+    flips = F.array(fp.bitwiseXOR(bit), fp.bitwiseXOR(F.shiftleft(bit, 1)))
+    return F.when(moved == 0, F.array(fp)).otherwise(F.filter(flips, lambda w: _cell(w) == cell))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -81,25 +92,21 @@ def links(fps: DataFrame) -> DataFrame:
     apart; two fingerprints that close are joined by at most one fingerprint
     between them."""
     own = F.col("cell")
-    field = lambda s: F.shiftrightunsigned(own, s).bitwiseAND(F.lit(15))
     near = [own]
     for s in range(0, 64, SEGMENT_BITS):
-        rest = own.bitwiseAND(F.lit(~(15 << s) if s < 60 else (1 << 60) - 1))
+        count = F.shiftrightunsigned(own, s).bitwiseAND(F.lit(3))
+        rest = own.bitwiseAND(F.lit(~(3 << s) if s < 62 else (1 << 62) - 1))
         for step in (-1, 1):
-            moved = field(s) + F.lit(step)
+            moved = count + F.lit(step)
             near.append(F.when(moved.between(0, SEGMENT_BITS),
                                rest.bitwiseOR(F.shiftleft(moved, s))))
     grid = (fps.select("fp", _cell(F.col("fp")).alias("cell"))
             .select("fp", F.explode(F.array(*near)).alias("cell")).where("cell is not null"))
     shared = (grid.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
               .where("n > 1").select("fp", "cell"))
-    flips = F.sequence(F.lit(-1), F.lit(63))
-    words = (shared.select("fp", "cell", F.explode(flips).alias("j"))
-             .select("fp", "cell", F.when(F.col("j") < 0, F.col("fp")).otherwise(
-                 F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, greatest(j, 0))"))).alias("word"))
-             .where(_cell(F.col("word")) == F.col("cell")))
+    words = shared.select("fp", F.explode(_words(F.col("fp"), F.col("cell"))).alias("word"))
     first = F.min("fp").over(Window.partitionBy("word"))
-    return (words.select("fp", "word").withColumn("v", first).where("fp <> v")
+    return (words.withColumn("v", first).where("fp <> v")
             .select(F.col("fp").alias("u"), "v").distinct())
 
 
