@@ -10,7 +10,7 @@ from importlib import import_module
 from pyspark import cloudpickle
 
 MODULES = ("ann", "langid", "chat", "linededup", "tokencount", "simhash", "substrings", "toxicity",
-           "decontam", "mixing")
+           "decontam", "mixing", "merkle", "quality", "trie")
 
 
 # task functions travel with their code, so that executors need no installed copy

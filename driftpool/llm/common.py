@@ -44,11 +44,26 @@ class Shared:
         return self.own
 
 
+def crc_remainder(column: str, divisor: int, remainder: int):
+    """True where crc32 of the column's text leaves ``remainder`` when divided by
+    ``divisor``; false for null."""
+    crc = F.crc32(F.col(column).cast("string").cast("binary"))
+    return F.coalesce(F.pmod(crc, F.lit(divisor)) == remainder, F.lit(False))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id's text leaves 2 when divided by 4; a null id
     is not held out."""
-    crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))
-    return F.coalesce(F.pmod(crc, F.lit(4)) == 2, F.lit(False))
+    return crc_remainder(doc_id, 4, 2)
+
+
+def duck_crc32(text: str) -> str:
+    """DuckDB expression for the unsigned crc32 of a non-empty ASCII text."""
+    bits = "[" + ", ".join(["xor(crc, byte)"] + ["0"] * 8) + "]"
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform("
+            f"string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))), "
+            f"lambda crc, byte: list_reduce({bits}, lambda x, i: {step})), 4294967295)")
 
 
 def drawn(key: str):
