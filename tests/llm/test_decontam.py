@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -98,15 +99,62 @@ def test_an_item_in_every_text_is_still_found(spark):
     assert {r.doc_id for r in got.collect()} == set(range(60))
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    bench = [(i, words(10_000 + i, 20, 4000)) for i in range(9)]
-    rows = [(i, f"{words(i, 30)} {bench[i % 9][1]}", "en", "a") for i in range(20)]
-    run = lambda: sorted(map(tuple, decontam.matches(docs(spark, rows), items(spark, bench)).collect()))
-    whole = run()
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 45)
-    assert run() == whole and len(whole) == 20
-    left = decontam.drop_leaks(docs(spark, rows + [(99, words(5, 30), "en", "a")]), items(spark, bench))
-    assert [r.doc_id for r in left.collect()] == [99]
+def test_joins_give_the_same_as_the_broadcast(spark, monkeypatch):
+    """Copies, edited ones, common phrases, repeated n-grams, equal items, repeated rows."""
+    r = random.Random(8)
+    bench = [(i, words(10_000 + i, 20 + 3 * i, 4000)) for i in range(12)]
+    bench += [(20, "a b c d " * 12), (21, "a b c d " * 12), (22, bench[0][1]), (23, "of the the " + words(1, 9))]
+    rows = [(i, f"{words(i, 30, 200)} {edited(bench[i % 16][1], r, i % 3 * 0.1)} of the the {words(i, 9)}", "en", "a")
+            for i in range(40)]
+    rows += [rows[0], (41, "a b c d " * 40, "en", "a"), (99, words(5, 30), "en", "a")]
+    run = lambda: sorted(map(str, map(tuple, decontam.matches(docs(spark, rows), items(spark, bench)).collect())))
+    leaks = lambda: sorted(r.doc_id for r in decontam.drop_leaks(docs(spark, rows), items(spark, bench)).collect())
+    whole, left = run(), leaks()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert run() == whole and len(whole) > 40
+    assert leaks() == left and 99 in left
+
+
+def test_a_table_of_edited_copies_equals_brute_force(spark):
+    """Every (text, item) that shares a seed, scored by aligning the whole text."""
+    r = random.Random(12)
+    bench = [(i, words(30_000 + i, r.choice([8, 15, 40, 90]), 900)) for i in range(25)]
+    rows = []
+    for i in range(120):
+        parts = [words(50_000 + i, r.randrange(60), 900)]
+        for _ in range(r.randrange(3)):
+            parts += [edited(bench[r.randrange(25)][1], r, r.choice([0, 0.1, 0.3])), words(i, r.randrange(40), 900)]
+        rows.append((i, " ".join(parts), "en", "a"))
+    want = {}
+    for i, item in bench:
+        own = decontam.words_of(item)
+        grams = {tuple(own[k:k + 3]) for k in range(len(own) - 2)}
+        number = {}
+        a = np.array([number.setdefault(w, len(number) + 1) for w in own])
+        for d, text, *_ in rows:
+            ws = decontam.words_of(text)
+            if grams & {tuple(ws[k:k + 3]) for k in range(len(ws) - 2)}:
+                score = decontam.align(a, decontam.numbers(ws, number))[0] / (decontam.MATCH * len(own))
+                if score >= min(decontam.MIN_SCORE, decontam.MIN_WORDS / len(own)):
+                    want[d, i] = score
+    got = {(m.doc_id, m.item_id): m.score for m in
+           decontam.matches(docs(spark, rows), items(spark, bench)).collect()}
+    assert got == want and len(want) > 80
+
+
+def test_repeats_cost_no_more_than_their_number():
+    """An item of one word and of a phrase over and over, texts five times as long."""
+    for phrase in (["x"], ["a", "b", "c", "d", "e"]):
+        block = decontam.Items()
+        block.add(1, [w.encode() for w in phrase] * (4000 // len(phrase)))
+        block.close()
+        ids = decontam.numbers([w.encode() for w in phrase] * (20_000 // len(phrase)), block.number)
+        tracemalloc.start()
+        found = list(decontam.passages(ids, block, 0.4, 20))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6
+        assert [f[:2] for f in found] == [(0, 1.0)]
 
 
 def test_odd_rows(spark):
