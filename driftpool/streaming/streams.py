@@ -8,13 +8,16 @@ table - together with the checkpointed offsets this is exactly-once.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from driftpool.functions.vectors import mean_vector
-from driftpool.sources.keyed import first_per_key, insert_if_absent, table_or_none
+from driftpool.sources.keyed import first_per_key, table_or_none
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
 MICROS_PER_DAY = 86_400_000_000
@@ -41,52 +44,103 @@ def _read(spark: SparkSession, path: str, schema, files_per_trigger: int | None)
     return reader.parquet(path)
 
 
-BUCKETS = 64  # partitions of the intake table, by a hash of the key
+_MARK = "batch_id long, mark timestamp, others boolean"
 
 
 def stream_intake(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
-                  key=("channel_id", "message_id"), ordinal=("date",),
-                  files_per_trigger: int | None = None) -> StreamingQuery:
-    """Messages with text land in ``target`` once per key, across batches
-    and restarts: each micro-batch keeps its first row per key and appends only
-    keys the target does not hold (insert-if-absent, never update).
-
-    A batch is one folder, named by the query and batch id: a replayed batch
-    replaces its own rows, NULL-keyed ones included, and compares with all others.
-    Within it rows lie in ``BUCKETS`` folders by a hash of the key; a batch reads
-    back only the buckets it carries (at most ``BUCKETS`` numbers reach the
-    driver), so a small batch does not scan the whole history. Read the table with
-    ``read_intake``, which keeps the source's types.
+                  key=("channel_id", "message_id"), ordinal=("date",), event: str = "date",
+                  delay: str = "1 day", files_per_trigger: int | None = None,
+                  files_per_batch: int = 8) -> StreamingQuery:
+    """Messages with text land in ``target`` once per key, across batches and
+    restarts; of a key's rows in one batch the first by ``ordinal`` is kept, stored
+    rows are never updated.
+
+    Keys are deduplicated by state: ``dropDuplicatesWithinWatermark`` on the event
+    time, so a replay of anything newer than the watermark (``delay`` behind the
+    newest message) is absorbed without looking at the table. The state store drops
+    what the watermark passes; rows at least that old (and rows without an event
+    time), which the operator would lose, are taken from the batch itself and
+    compared with the keys the table holds. A batch without such rows reads no
+    history. A message must keep its event time when it is sent again. Rows with a
+    NULL key part are distinct by definition and all land.
+
+    A batch is one folder of ``files_per_batch`` files, named by the query and batch
+    id: a replayed batch replaces its own rows. If the table held rows before the
+    query began, every key is compared with those. One query writes a table at a
+    time. Read it with ``read_intake``, which keeps the source's types.
     """
-    msgs = _read(spark, source, schema, files_per_trigger).where(
-        F.col("text").isNotNull() & (F.col("text") != ""))
+    key = list(key)
+    full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    msgs = (_read(spark, source, schema, files_per_trigger)
+            .where(F.col("text").isNotNull() & (F.col("text") != ""))
+            .withColumn("_event", ntz_to_instant(event)))
+    # one source for both branches: each batch has the rows, and the keys new to the state
+    new_keys = (msgs.where(full & F.col("_event").isNotNull()).select(*key, "_event").withWatermark("_event", delay)
+                .dropDuplicatesWithinWatermark(key).select(*key, F.lit(True).alias("_new")))
+    both = msgs.withColumn("_new", F.lit(False)).unionByName(new_keys, allowMissingColumns=True)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         name = f"{run}-{batch_id}"
-        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
-        cur = table_or_none(spark, target, _intake_schema(schema))
-        if cur is None:
-            rows = first_per_key(batch, list(key), list(ordinal))
-        else:
-            held = [r.bucket for r in batch.select("bucket").distinct().collect()]
-            cur = cur.where(F.col("bucket").isin(held) & (F.col("batch") != name))
-            rows = insert_if_absent(batch, cur, list(key), list(ordinal))
-        (rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{target}/batch={name}"))
-
-    return (msgs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        before = _mark(spark, checkpoint, batch_id - 1)
+        held = table_or_none(spark, target, _intake_schema(schema)) if before is None else None
+        others = held is not None and held.where(~F.col("batch").startswith(run)).limit(1).count() > 0 \
+            if before is None else before.others
+        mark = before.mark if before else None
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            old = F.col("_event").isNull() | (F.lit(False) if mark is None else F.col("_event") <= F.lit(mark))
+            rows = batch.where("not _new").drop("_new")
+            seen = rows.agg(F.expr(f"max(_event) - interval '{delay}'").alias("mark"),
+                            F.count_if(full & old).alias("n_old"),
+                            F.count(F.lit(1)).alias("n")).first()
+            keys = batch.where("_new").select(*key).distinct()
+            land = first_per_key(rows.where(full).join(keys, key, "left_semi"), key, list(ordinal))
+            if others or seen.n_old:
+                held = table_or_none(spark, target, _intake_schema(schema))
+                held = None if held is None else held.where(F.col("batch") != name)
+            if others and held is not None:
+                land = _not_held(land, held.where(~F.col("batch").startswith(run)), key)
+            if seen.n_old:
+                late = first_per_key(rows.where(full & old).join(keys, key, "left_anti"), key, list(ordinal))
+                land = land.unionByName(late if held is None else _not_held(late, held, key))
+            if seen.n:
+                (land.unionByName(rows.where(~full)).drop("_event").repartition(files_per_batch)
+                 .write.mode("overwrite").parquet(f"{target}/batch={name}"))
+            marks = [m for m in (mark, seen.mark) if m is not None]
+            _set_mark(spark, checkpoint, batch_id, max(marks) if marks else None, others)
+        finally:
+            batch.unpersist()
+
+    return (both.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def _not_held(rows: DataFrame, held: DataFrame, key: list[str]) -> DataFrame:
+    return rows.join(held.select(*key), key, "left_anti")
+
+
+def _mark(spark: SparkSession, checkpoint: str, batch_id: int):
+    """What batch ``batch_id`` left for the next: the event time up to which keys may
+    have left the state, and whether the table holds rows of other writers. Two
+    slots are enough, as only the last batch can be run again."""
+    slot = table_or_none(spark, f"{checkpoint}/intake-marks/{batch_id % 2}",
+                         T.StructType.fromDDL(_MARK))
+    return None if slot is None else slot.where(F.col("batch_id") == batch_id).first()
+
+
+def _set_mark(spark: SparkSession, checkpoint: str, batch_id: int, mark, others: bool) -> None:
+    row = spark.createDataFrame([(batch_id, mark, others)], _MARK)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/intake-marks/{batch_id % 2}")
+
+
 def _intake_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", T.StringType()),
-                         T.StructField("bucket", T.IntegerType())])
+    return T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
 
 
 def read_intake(spark: SparkSession, target: str, schema) -> DataFrame:
     """The intake table with the source's columns and types."""
-    return spark.read.schema(_intake_schema(schema)).parquet(target).drop("batch", "bucket")
+    return spark.read.schema(_intake_schema(schema)).parquet(target).drop("batch")
 
 
 def daily_pool_stream(spark: SparkSession, source: str, schema, delay: str = "1 day",
