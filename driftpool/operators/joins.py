@@ -1,9 +1,9 @@
 """Date-aligned joins of news/vectors with bars (J01-J06) and key anti-joins.
 
 Bars are one row per (series, day): their size is bounded by the calendar, not
-by the data, so the planner may broadcast them; no explicit hint is given - the
-planner / AQE broadcast only below ``autoBroadcastJoinThreshold`` after seeing
-the real size and fall back to a sort-merge join beyond it.
+by the data. Where vectors meet them, the calendar side is written and counted
+first (``measured``) and broadcast up to ``MAX_BROADCAST_DAYS`` rows, so that vectors
+keep their scan partitions; beyond that both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftpool.session import write_shared
+
+#: rows of a calendar side that are broadcast at most (some 100 bytes each)
+MAX_BROADCAST_DAYS = 200_000
+
+
+def measured(calendar: DataFrame, max_rows: int = MAX_BROADCAST_DAYS) -> DataFrame:
+    """``calendar``, written and counted (jobs): with a broadcast hint if it has at
+    most ``max_rows`` rows, else to be merged. Results are the same either way."""
+    rows = write_shared(calendar, "calendar")
+    return F.broadcast(rows) if rows.count() <= max_rows else rows.hint("merge")
+
 
 def daily_vector_price_join(pooled: DataFrame, labelled_bars: DataFrame,
                             keys=("series", "day")) -> DataFrame:
@@ -19,58 +31,64 @@ def daily_vector_price_join(pooled: DataFrame, labelled_bars: DataFrame,
 
 
 def news_price_fanout_join(items: DataFrame, bars: DataFrame, keys=("series", "day"),
-                           check_overlap: bool = False) -> DataFrame:
+                           check_overlap: bool = False,
+                           max_broadcast: int = MAX_BROADCAST_DAYS) -> DataFrame:
     """Every news row carries its day's bar, features and label (inner,
-    many-to-one). ``check_overlap`` fails loudly when no day matches (one cheap
+    many-to-one). The bars are measured first: items are not shuffled while the bars
+    can be broadcast. ``check_overlap`` fails loudly when no day matches (one cheap
     ``isEmpty`` probe)."""
-    out = items.join(bars, list(keys), "inner")
+    out = items.join(measured(bars, max_broadcast), list(keys), "inner")
     if check_overlap and out.isEmpty():
         raise ValueError("no item falls on a day of the bars")
     return out
 
 
-def _with_dim(bars: DataFrame, vecs: DataFrame, v: str) -> DataFrame:
-    """Attach the vector width (a scalar subquery over the vectors)."""
-    return bars.withColumn("_dim", vecs.select(F.max(F.size(v))).scalar())
-
-
-def _attach_or_zero(bars: DataFrame, day_vecs: DataFrame, on_day: str, keys, v: str,
-                    vecs: DataFrame) -> DataFrame:
-    dv = day_vecs.withColumnRenamed("day", on_day)
-    joined = _with_dim(bars, vecs, v).join(dv, [keys[0], on_day], "left")
+def _attach_or_zero(bars: DataFrame, vecs: DataFrame, on_day: str, keys, v: str, dim: int | None,
+                    max_broadcast: int) -> DataFrame:
+    """``bars`` with the first vector of the day in ``on_day``, or a zero vector.
+
+    Each day's first item is found by its time and id alone and measured; while these
+    can be broadcast, the vectors meet them in their scan partitions, and one vector
+    a day goes on. The width is ``dim``, or read off those."""
+    series, order = keys[0], ["ts", "vec_id"]
+    first = (vecs.where(F.col(v).isNotNull()).groupBy(*keys)
+             .agg(F.min(F.struct(*order)).alias("_first"))
+             .select(*[F.col(k).alias(f"_{k}") for k in keys], "_first"))
+    first = measured(first, max_broadcast)
+    same = ((F.col(series) == F.col(f"_{series}")) & (F.col(keys[1]) == F.col(f"_{keys[1]}"))
+            & F.struct(*order).eqNullSafe(F.col("_first")))
+    # rows repeated with time and id: one of them
+    day_vecs = write_shared(vecs.join(first, same).groupBy(F.col(series), F.col(keys[1]).alias(on_day))
+                            .agg(F.min(v).alias(v)), "day-vectors")
+    width = day_vecs.select(F.max(F.size(v))).scalar() if dim is None else F.lit(dim)
+    joined = bars.join(day_vecs, [series, on_day], "left").withColumn("_dim", width)
     return (joined.withColumn("has_news", F.col(v).isNotNull())
             .withColumn(v, F.coalesce(F.col(v).cast("array<double>"),
                                       F.array_repeat(F.lit(0.0), F.col("_dim"))))
             .drop("_dim"))
 
 
-def news_same_day_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),
-                          v: str = "v") -> DataFrame:
+def news_same_day_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day"), v: str = "v",
+                          dim: int | None = None, max_broadcast: int = MAX_BROADCAST_DAYS) -> DataFrame:
     """Each bar gets the first vector of its own day, else a zero vector."""
-    from driftpool.operators.pooling import first_vector_of_day
+    return _attach_or_zero(bars, vecs, keys[1], list(keys), v, dim, max_broadcast)
 
-    first = first_vector_of_day(vecs, keys, v)
-    return _attach_or_zero(bars, first, "day", list(keys), v, vecs)
 
-
-def news_prev_bar_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),
-                          v: str = "v") -> DataFrame:
+def news_prev_bar_or_zero(bars: DataFrame, vecs: DataFrame, keys=("series", "day"), v: str = "v",
+                          dim: int | None = None, max_broadcast: int = MAX_BROADCAST_DAYS) -> DataFrame:
     """As J04 with the day of the *previous bar* (previous trading day);
     the first bar of a series gets the zero vector."""
     from driftpool.operators.features import bar_window
-    from driftpool.operators.pooling import first_vector_of_day
 
     b = bars.withColumn("prev_day", F.lag("day").over(bar_window(keys[0], keys[1])))
-    first = first_vector_of_day(vecs, keys, v)
-    return _attach_or_zero(b, first, "prev_day", list(keys), v, vecs)
+    return _attach_or_zero(b, vecs, "prev_day", list(keys), v, dim, max_broadcast)
 
 
 def news_on_day_or_zero(rows: DataFrame, vecs: DataFrame, on_day: str, keys=("series", "day"),
-                        v: str = "v") -> DataFrame:
+                        v: str = "v", dim: int | None = None,
+                        max_broadcast: int = MAX_BROADCAST_DAYS) -> DataFrame:
     """J04/J05 for rows that name the day whose first vector they get."""
-    from driftpool.operators.pooling import first_vector_of_day
-
-    return _attach_or_zero(rows, first_vector_of_day(vecs, keys, v), on_day, list(keys), v, vecs)
+    return _attach_or_zero(rows, vecs, on_day, list(keys), v, dim, max_broadcast)
 
 
 def news_same_day_mean_required(bars: DataFrame, vecs: DataFrame, keys=("series", "day"),

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftpool.functions.nullsafe import join_groups
+from driftpool.functions.ranking import row_number_in_group
 from driftpool.functions.vectors import dot, mean_vector, squared_gap, zero_vector
-from driftpool.session import write_shared
 
-#: groups whose maxima attention_pool broadcasts at most (about 64 bytes each)
-MAX_BROADCAST_GROUPS = 500_000
-SALTS = 64
+#: width of the steps on the score axis in which attention_pool keeps its sums
+SCALE = 64.0
+#: positions of a chunk, and days of a batch, of the padded sequences
+CHUNK, BATCH_DAYS = 64, 100
 
 
 def daily_mean_vector(vecs: DataFrame, keys=("series", "day"), v: str = "v") -> DataFrame:
@@ -30,37 +32,32 @@ def attention_pool(vecs: DataFrame, weights: DataFrame, keys=("series", "day"),
                    v: str = "v") -> DataFrame:
     """Softmax-weighted sum of a day's vectors.
 
-    score = w . v (``weights``: one row, column ``w`` array<double>, broadcast -
-    its size is one vector). weight = exp(score - max score of the day); Summarizer's
-    weighted mean divides by the weight sum, which is the softmax normalisation. A
-    single-item day passes through unchanged (weight 1). Items without a vector
-    take no part; a NULL key is a day of its own.
-
-    The days' maxima are aggregated first, written and counted (jobs): up to
-    ``MAX_BROADCAST_GROUPS`` of them are broadcast, so raw vectors are never
-    shuffled - each task ships one partial vector per day. Beyond that the join is
-    a shuffle, and days are summed in salted parts first.
+    score = w . v (``weights``: one row, column ``w`` array<double>, bound as a scalar -
+    its size is one vector). A single-item day passes through unchanged (weight 1).
+    Items without a vector take no part; a NULL key is a day of its own.
+
+    The softmax is computed online, in one pass and in states that merge: a state is
+    a scale (a step of ``SCALE`` on the score axis), the number of items, the sum of
+    the weights exp(score - scale) and their weighted mean. A task keeps a state for
+    each day and step it sees, equal steps merge in the shuffle of these states, and
+    a day's steps (one to three for ordinary scores) are merged by rescaling with
+    exp(scale - largest scale). Weights of a step lie between 1 and exp(SCALE), so
+    the largest step's sum neither underflows nor overflows, whatever the scores. Raw
+    vectors are neither shuffled nor scored twice.
     """
-    vecs = vecs.where(F.col(v).isNotNull())
     # the weights are one vector: bind them once (scalar subquery), then score
     w = weights.select(F.col("w").cast("array<double>")).scalar()
-    scored = (vecs.withColumn("_w", w)
-              .withColumn("_score", dot(F.col(v).cast("array<double>"), F.col("_w")))
-              .drop("_w"))
-    day_max = write_shared(scored.groupBy(*keys).agg(F.max("_score").alias("_max")), "day-max")
-    few = day_max.count() <= MAX_BROADCAST_GROUPS
-    weighted = join_groups(scored, F.broadcast(day_max) if few else day_max, list(keys)).withColumn(
-        "_wt", F.exp(F.col("_score") - F.col("_max")))
-    if not few:
-        weighted = weighted.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SALTS)))
-        parts = weighted.groupBy(*keys, "_salt").agg(
-            F.count(F.lit(1)).alias("_n"), F.sum("_wt").alias("_sum"),
-            mean_vector(F.col(v), F.col("_wt")).alias(v))
-        return parts.groupBy(*keys).agg(F.sum("_n").alias("n_items"),
-                                        mean_vector(F.col(v), F.col("_sum")).alias(v))
-    return (weighted.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n_items"),
-                 mean_vector(F.col(v), F.col("_wt")).alias(v)))
+    scored = (vecs.where(F.col(v).isNotNull()).withColumn("_w", w)
+              .select(*keys, v, dot(F.col(v).cast("array<double>"), F.col("_w")).alias("_score")))
+    step = F.floor(F.col("_score") / SCALE)
+    states = (scored.withColumn("_step", step).withColumn("_wt", F.exp(F.col("_score") - step * SCALE))
+              .groupBy(*keys, "_step")
+              .agg(F.count(F.lit(1)).alias("_n"), F.sum("_wt").alias("_sum"),
+                   mean_vector(F.col(v), F.col("_wt")).alias(v)))
+    largest = F.max("_step").over(Window.partitionBy(*keys))
+    rescaled = states.withColumn("_sum", F.col("_sum") * F.exp((F.col("_step") - largest) * SCALE))
+    return rescaled.groupBy(*keys).agg(F.sum("_n").alias("n_items"),
+                                       mean_vector(F.col(v), F.col("_sum")).alias(v))
 
 
 def first_vector_of_day(vecs: DataFrame, keys=("series", "day"), v: str = "v",
@@ -84,29 +81,69 @@ def window_mean_or_zero(selected: DataFrame, dim: int, v: str = "v") -> DataFram
 
 
 def padded_daily_sequences(vecs: DataFrame, keys=("series", "day"), v: str = "v",
-                           order=("ts", "vec_id"), require_any: bool = False) -> DataFrame:
-    """Days with >= 2 items: vectors in time order, zero-padded to the
+                           order=("ts", "vec_id"), require_any: bool = False,
+                           dim: int | None = None) -> DataFrame:
+    """A14, wide view: days with >= 2 items: vectors in time order, zero-padded to the
     longest day, with length and mask.
 
-    The wide form is one row per day by definition, so a day's list is gathered
-    and padded to the longest day's; ``daily_sequence_positions`` has the same
-    content as one row per item, for days no row can hold. ``require_any`` fails
-    when no day has two items (one cheap ``isEmpty`` probe).
+    One row per day by definition, so a day's list is gathered and padded to the
+    longest day's; ``padded_sequence_batches`` holds the same in rows that do not
+    grow with a day. The longest length, and the width unless ``dim`` gives it, come
+    from counts by day, not from the lists. ``require_any`` fails when no day has
+    two items (one cheap ``isEmpty`` probe).
     """
+    counts = vecs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    if require_any and counts.isEmpty():
+        raise ValueError("no day with at least 2 items")
     seqs = (vecs.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct(*order, F.col(v).alias("_v")))).alias("_s"))
             .where(F.size("_s") >= 2)
             .select(*keys, F.transform("_s", lambda s: s["_v"]).alias("_seq"))
             .withColumn("length", F.size("_seq")))
-    if require_any and seqs.isEmpty():
-        raise ValueError("no day with at least 2 items")
-    padded = (seqs.withColumn("_L", seqs.select(F.max("length")).scalar())
-              .withColumn("_dim", seqs.select(F.max(F.size(F.col("_seq")[0]))).scalar()))
+    width = vecs.select(F.max(F.size(v))).scalar() if dim is None else F.lit(dim)
+    padded = (seqs.withColumn("_L", counts.select(F.max("n").cast("int")).scalar())
+              .withColumn("_dim", width))
     pad = F.array_repeat(zero_vector(F.col("_dim")).cast("array<float>"), F.col("_L") - F.col("length"))
-    mask = F.concat(F.array_repeat(F.lit(1), F.col("length")),
-                    F.array_repeat(F.lit(0), F.col("_L") - F.col("length")))
     return padded.select(*keys, "length", F.concat("_seq", pad).alias("seq"),
-                         mask.alias("mask"))
+                         _mask(F.col("length"), F.col("_L")).alias("mask"))
+
+
+def _mask(ones, size):
+    return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), size - ones))
+
+
+def padded_sequence_batches(vecs: DataFrame, keys=("series", "day"), v: str = "v",
+                            order=("ts", "vec_id"), chunk: int = CHUNK, batch_days: int = BATCH_DAYS,
+                            dim: int | None = None, n_parts: int | None = None) -> DataFrame:
+    """A14 as padded batches: days with >= 2 items, in batches of ``batch_days`` in
+    order of the keys, every day padded to the longest of its batch. A day is cut
+    into chunks of ``chunk`` positions: rows (keys, batch, chunk, length, padded_len,
+    seq, mask), where seq has ``chunk`` vectors, zero ones where mask is 0. A day has
+    as many rows as its batch's longest day fills, the last of them blank for shorter
+    days, so a batch's rows in order are its tensor, and no row grows with a day.
+
+    Positions come from the skew-safe row number, so a hot day is spread over tasks;
+    ``dim`` saves the pass that finds the vectors' width.
+    """
+    lengths = (vecs.groupBy(*keys).agg(F.count(F.lit(1)).alias("length")).where("length >= 2"))
+    days = row_number_in_group(lengths, [], list(keys), rank_col="_day")
+    days = days.withColumn("batch", F.floor((F.col("_day") - 1) / batch_days))
+    longest = days.groupBy("batch").agg(F.max("length").alias("_most"))
+    days = days.join(longest, "batch").withColumn(
+        "padded_len", F.ceil(F.col("_most") / chunk) * chunk).drop("_day", "_most")
+    width = vecs.select(F.max(F.size(v))).scalar() if dim is None else F.lit(dim)
+    placed = daily_sequence_positions(vecs, keys, v, order, n_parts)
+    full = (placed.groupBy(*keys, F.floor(F.col("pos") / chunk).alias("chunk"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", F.col(v).alias("_v")))).alias("_s")))
+    grid = days.select("*", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                 F.floor(F.col("padded_len") / chunk) - 1)).alias("chunk"))
+    out = join_groups(grid, full, [*keys, "chunk"], "left").withColumn("_dim", width)
+    held = F.coalesce(F.size("_s"), F.lit(0))
+    own = F.coalesce(F.transform("_s", lambda s: s["_v"].cast("array<float>")),
+                     F.expr("cast(array() as array<array<float>>)"))
+    pad = F.array_repeat(zero_vector(F.col("_dim")).cast("array<float>"), chunk - held)
+    return out.select(*keys, "batch", "chunk", "length", "padded_len", F.concat(own, pad).alias("seq"),
+                      _mask(held, F.lit(chunk)).alias("mask"))
 
 
 def daily_sequence_positions(vecs: DataFrame, keys=("series", "day"), v: str = "v",
@@ -119,8 +156,6 @@ def daily_sequence_positions(vecs: DataFrame, keys=("series", "day"), v: str = "
     range partitions, never sorted or gathered in one task); length is a
     grouped count and padded_len a scalar subquery.
     """
-    from driftpool.functions.ranking import row_number_in_group
-
     ids = vecs.select(*keys, *order)
     lengths = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("length")).where(F.col("length") >= 2)
     several = join_groups(ids, lengths.select(*keys), list(keys), "left_semi")

@@ -89,3 +89,34 @@ def q_daily_sequence_positions(spark, sf_dir):
     """A14 long form: item positions per multi-item day (skew-safe)."""
     p = pooling.daily_sequence_positions(fx.vecs(spark, sf_dir))
     return p.select("series", "day", "pos", "vec_id", "length", "padded_len")
+
+
+_BATCHED = f"""
+SELECT series, day, length, batch, CAST(ceil(max(length) OVER (PARTITION BY batch) / CAST({pooling.CHUNK} AS DOUBLE))
+       * {pooling.CHUNK} AS BIGINT) AS padded_len
+FROM (SELECT series, day, n AS length,
+             CAST((row_number() OVER (ORDER BY series, day) - 1) // {pooling.BATCH_DAYS} AS BIGINT) AS batch
+      FROM (SELECT series, day, count(*) AS n FROM vecs GROUP BY series, day HAVING count(*) >= 2))"""
+
+
+@register("padded_sequence_batches", sql(f"""
+SELECT d.series, d.day, d.batch, d.chunk, d.length, d.padded_len,
+       CAST(greatest(0, least({pooling.CHUNK}, d.length - d.chunk * {pooling.CHUNK})) AS INTEGER) AS mask_ones,
+       {pooling.CHUNK} AS positions, round(coalesce(c.x, 0), 4) AS checksum
+FROM (SELECT *, unnest(range(padded_len // {pooling.CHUNK})) AS chunk FROM batched) d
+LEFT JOIN (SELECT series, day, (pos - 1) // {pooling.CHUNK} AS chunk,
+                  sum(((pos - 1) % {pooling.CHUNK} + 1) * list_sum(list_transform(v,
+                      lambda x, i: CAST(x AS DOUBLE) * i))) AS x
+           FROM (SELECT *, row_number() OVER (PARTITION BY series, day ORDER BY ts, vec_id) AS pos FROM vecs)
+           GROUP BY 1, 2, 3) c
+  ON c.series = d.series AND c.day = d.day AND c.chunk = d.chunk""", "vecs",
+                                        extra=[("batched", _BATCHED)]), dates="day")
+def q_padded_sequence_batches(spark, sf_dir):
+    """A14 as padded batches; the checksum weighs every element by its place."""
+    p = pooling.padded_sequence_batches(fx.vecs(spark, sf_dir), dim=DIM)
+    row = lambda x: F.aggregate(F.transform(x, lambda e, i: e.cast("double") * (i + 1)),
+                                F.lit(0.0), lambda a, e: a + e)
+    total = F.aggregate(F.transform("seq", lambda x, i: row(x) * (i + 1)), F.lit(0.0), lambda a, e: a + e)
+    return p.select("series", "day", "batch", "chunk", "length", "padded_len",
+                    F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_ones"),
+                    F.size("seq").alias("positions"), F.round(total, 4).alias("checksum"))
