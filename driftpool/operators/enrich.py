@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from driftpool.functions.clean import clean_text, composite_key
 from driftpool.functions.layout import spread
 from driftpool.session import write_shared
-from driftpool.sources.keyed import append_if_absent, table_or_none
+from driftpool.sources.keyed import append_bucketed, append_if_absent, table_or_none
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 WORD_SPLIT = r"[ \t\n\x0B\f\r]+"
@@ -43,31 +43,48 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def hashed_token_counts(text: Column, dim: int = 64) -> Column:
+    """One text as a sparse vector: (bucket, n) of its hashed tokens, ascending.
+
+    Row-local: a text's tokens are in its own row, so no explode, shuffle or join,
+    whatever the corpus size. The buckets are sorted once and read off as runs: cost
+    tokens x log tokens, whatever ``dim``. Each token is hashed once; the lambdas are
+    interpreted, not compiled.
+    """
+    buckets = F.array_sort(F.transform(tokens(text), lambda t: token_bucket(t, dim)))
+
+    def runs(b: Column) -> Column:
+        changes = lambda x, i: (i == 0) | (b[i] != b[F.greatest(i - 1, F.lit(0))])
+        starts = F.transform(F.filter(F.transform(b, lambda x, i: F.when(changes(x, i), i)),
+                                      lambda i: i.isNotNull()), lambda i: i)
+        return _let(starts, lambda s: F.transform(s, lambda at, k: F.struct(
+            b[at].alias("bucket"),
+            (F.coalesce(F.get(s, k + 1), F.size(b)) - at).cast("bigint").alias("n"))))
+
+    return _let(buckets, runs)
+
+
 def hashed_token_vector(text: Column, dim: int = 64) -> Column:
     """Default encoder for one text: L2-normalised counts of hashed tokens,
-    array<float> of ``dim`` (zero vector for a text without tokens).
+    array<float> of ``dim`` (zero vector for a text without tokens); the sparse form
+    (``hashed_token_counts``) written out, gaps as runs of zeros."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
 
-    Row-local: a text's tokens are in its own row, so the bucket counts are
-    array expressions (count of bucket i = size minus size with i removed) -
-    no explode, shuffle or join, whatever the corpus size. Cost per text is
-    tokens x ``dim`` comparisons in generated code; each token is hashed once.
-    """
-    buckets = F.transform(tokens(text), lambda t: token_bucket(t, dim))
+    def dense(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x.n * x.n).cast("double"))
+
+        def spread_out(n: Column) -> Column:
+            def stretch(x: Column, k: Column) -> Column:
+                before = F.coalesce(F.get(c, k - 1).bucket, F.lit(-1))
+                return F.concat(zeros(x.bucket - before - 1), F.array((x.n / n).cast("float")))
 
-    def counts(b: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda i: F.size(b) - F.size(F.array_remove(b, i)))
+            last = F.coalesce(F.get(c, F.size(c) - 1).bucket, F.lit(-1))
+            return F.concat(F.flatten(F.transform(c, stretch)), zeros(F.lit(dim - 1) - last))
 
-    def normalise(c: Column) -> Column:
-        norm = _let(F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-                           .cast("double")),
-                    lambda n: F.transform(c, lambda x: F.coalesce(
-                        F.try_divide(x.cast("double"), n), F.lit(0.0)).cast("float")))
-        return norm
+        return _let(norm, spread_out)
 
     # non-nullable: a NULL check Catalyst would infer (and push) folds away
-    return F.coalesce(_let(_let(buckets, counts), normalise),
-                      F.array_repeat(F.lit(0.0).cast("float"), dim))
+    return F.coalesce(_let(hashed_token_counts(text, dim), dense), zeros(F.lit(dim)))
 
 
 def prepare_messages(news: DataFrame) -> DataFrame:
@@ -148,9 +165,10 @@ def encode_texts(news: DataFrame, model_name: str, dim: int = 64,
 def store_vectors_if_absent(encoded: DataFrame, target_path: str) -> DataFrame:
     """U01 tail: the encoded rows appended to the vector table, one per
     (model_name, special_id) - the first by time and text; keys already stored are
-    left alone. Returns the table."""
-    return append_if_absent(encoded, target_path, ["model_name", "special_id"],
-                            ["timestamp", "input_text"])
+    left alone. The table is kept bucketed by its key (``keyed.append_bucketed``), so
+    stored vectors are not shuffled. Returns the table."""
+    return append_bucketed(encoded, target_path, ["model_name", "special_id"],
+                           ["timestamp", "input_text"])
 
 
 def encode_report(total: DataFrame, encoded: DataFrame) -> DataFrame:
@@ -200,16 +218,14 @@ def translate_into(source: DataFrame, target_path: str, translator_factory: Call
     """U02 end to end: the messages of ``source`` whose key the table at
     ``target_path`` does not hold are translated and inserted by key, in rounds
     until none is left. Messages that fail are not stored; when a round stores
-    nothing, or after ``max_rounds``, those left are for a later call. Returns the
-    table (channel_id, message_id, date, text)."""
+    nothing, or after ``max_rounds``, those left are for a later call, and
+    ``translation_backlog`` tells which they are. Returns the table (channel_id,
+    message_id, date, text), an empty one where nothing was ever stored."""
     spark, key = source.sparkSession, ["channel_id", "message_id"]
     columns = [*key, "date", "text"]
     schema = source.select(*columns).schema
     for _ in range(max_rounds):
-        target = table_or_none(spark, target_path, schema)
-        if target is None:
-            target = spark.createDataFrame([], schema)
-        backlog = source.select(*columns).join(target.select(*key), key, "left_anti")
+        backlog = translation_backlog(source, target_path)
         # written first, so that a model that answers differently is asked once
         done = write_shared(translate_backlog(backlog, translator_factory, batch_size, max_retries),
                             "translated")
@@ -223,7 +239,21 @@ def translate_into(source: DataFrame, target_path: str, translator_factory: Call
         source = source.join(again.select(*key), key, "left_semi")
         if not stored or again.isEmpty():
             break
-    return spark.read.schema(schema).parquet(target_path)
+    return _table_or_empty(spark, target_path, schema)
+
+
+def translation_backlog(source: DataFrame, target_path: str) -> DataFrame:
+    """J03 against the stored table: the messages (channel_id, message_id, date, text)
+    of ``source`` that it does not hold; all, where there is no table yet."""
+    key = ["channel_id", "message_id"]
+    rows = source.select(*key, "date", "text")
+    target = _table_or_empty(source.sparkSession, target_path, rows.schema)
+    return rows.join(target.select(*key), key, "left_anti")
+
+
+def _table_or_empty(spark, path: str, schema) -> DataFrame:
+    target = table_or_none(spark, path, schema)
+    return spark.createDataFrame([], schema) if target is None else target
 
 
 # The default sentiment lexicon (word -> polarity).

@@ -54,7 +54,7 @@ SELECT channel_id, message_id, date,
        array_to_string(list_transform(string_split_regex(trim(coalesce(text, ''), {WS}),
                                                          '[ \\t\\n\\x0B\\f\\r]+'),
                                       lambda t: coalesce({_duck_map(enrich.EN_RU_WORDS)}[lower(t)], t)), ' ')
-       AS text
+       AS text, CAST(NULL AS VARCHAR) AS error
 FROM news n WHERE NOT EXISTS (SELECT 1 FROM news_done d
                               WHERE d.channel_id = n.channel_id AND d.message_id = n.message_id)""",
                                      "news_done"), timestamps="date")
@@ -62,22 +62,31 @@ def q_translate_backlog(spark, sf_dir):
     """The whole backlog (J03) translated in one job, ready for the keyed
     insert into the translated table."""
     backlog = joins.untranslated_backlog(fx.news(spark, sf_dir), fx.news_done(spark, sf_dir))
-    return enrich.translate_backlog(backlog).select("channel_id", "message_id", "date", "text")
+    return enrich.translate_backlog(backlog).select("channel_id", "message_id", "date", "text", "error")
 
 
 @register("encode_store", sql(f"""
-SELECT special_id, 'hash64' AS model_name, input_text, 64 AS embedding_size, date AS timestamp
+SELECT m.special_id, 'hash64' AS model_name, m.input_text, 64 AS embedding_size, m.date AS timestamp,
+       coalesce(e.n_nonzero, 0) AS n_nonzero, coalesce(e.checksum, 0.0) AS checksum
 FROM (SELECT CAST(channel_id AS VARCHAR) || '_' || CAST(message_id AS VARCHAR) AS special_id,
-             trim(coalesce(text, ''), {WS}) AS input_text, date FROM news)
-WHERE length(input_text) > 0""", "news"), timestamps="timestamp")
+             trim(coalesce(text, ''), {WS}) AS input_text, date FROM news) m
+LEFT JOIN (SELECT special_id, CAST(count(*) AS INTEGER) AS n_nonzero,
+                  round(sum((i + 1) * (i + 1) * CAST(CAST(c / norm AS FLOAT) AS DOUBLE)), 4) AS checksum
+           FROM b JOIN n USING (special_id) GROUP BY special_id) e ON m.special_id = e.special_id
+WHERE length(m.input_text) > 0""", "news", extra=_ENC), timestamps="timestamp")
 def q_encode_store(spark, sf_dir):
     """U01 end to end: the encoded messages in the vector table, stored twice (the
-    second run finds every key and adds nothing)."""
+    second run finds every key and adds nothing); the checksum weighs every element of
+    a stored vector by its place."""
     path = shared_path(spark, "vector-table")
     encoded = enrich.encode_texts(fx.news(spark, sf_dir), "hash64", dim=64, parts=_parts(spark))
     enrich.store_vectors_if_absent(encoded, path)
     stored = enrich.store_vectors_if_absent(encoded, path)
-    return stored.select("special_id", "model_name", "input_text", "embedding_size", "timestamp")
+    v = F.col("embedding_vector")
+    weighed = F.transform(v, lambda x, i: x.cast("double") * (i + 1) * (i + 1))
+    return stored.select("special_id", "model_name", "input_text", "embedding_size", "timestamp",
+                         F.size(F.filter(v, lambda x: x != 0)).alias("n_nonzero"),
+                         F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 4).alias("checksum"))
 
 
 @register("encode_report", sql(f"""

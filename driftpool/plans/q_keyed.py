@@ -11,6 +11,7 @@ from driftpool.operators import features, filters, joins, metrics, pooling, spli
 from driftpool.plans.oracle import DUP_ORDER, sql
 from driftpool.plans.q_clean import PREV_DAY_NOW
 from driftpool.plans.registry import register
+from driftpool.session import shared_path
 from driftpool.sources import keyed
 
 R = 6
@@ -42,6 +43,19 @@ def q_insert_if_absent_counts(spark, sf_dir):
     return keyed.insert_counts(fx.dup_batch(spark, sf_dir), _to_insert(spark, sf_dir))
 
 
+@register("append_bucketed", sql(f"SELECT * FROM dup_target UNION ALL ({_S02})", "dup_target"),
+          timestamps="l_shipdate")
+def q_append_bucketed(spark, sf_dir):
+    """S02 into a table kept bucketed by its key: an earlier load, then the whole batch,
+    then the batch once more, of which nothing is new."""
+    path = shared_path(spark, "keyed-table")
+    batch, key, ordinal = fx.dup_batch(spark, sf_dir), fx.DUP_KEY, fx.DUP_ORDINAL
+    keyed.append_bucketed(fx.dup_target(spark, sf_dir), path, key, ordinal, buckets=8)
+    keyed.append_bucketed(batch, path, key, ordinal, buckets=8)
+    full = batch.where(F.col(key[0]).isNotNull() & F.col(key[1]).isNotNull())
+    return keyed.append_bucketed(full, path, key, ordinal, buckets=8)
+
+
 _BACKLOG = """
 SELECT * FROM news n WHERE NOT EXISTS (
   SELECT 1 FROM news_done d WHERE d.channel_id = n.channel_id AND d.message_id = n.message_id)"""

@@ -6,6 +6,7 @@ duplicates of anything: they are always kept.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: buckets of a keyed table: each is read, and written, by one task
+BUCKETS = 64
+
+
 def _null_key(key: list[str]):
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
 
@@ -37,16 +42,15 @@ def first_per_key(batch: DataFrame, key: list[str], ordinal: list[str]) -> DataF
 
     A grouped ``min_by`` over the row as a struct: partial aggregation keeps one
     candidate per key per task before the shuffle, so a hot key (or a batch full
-    of repeats) ships one row per task instead of sorting all its rows in one.
+    of repeats) ships one row per task instead of sorting all its rows in one. A row
+    with a NULL key part is a group of its own, by its number within the input, so
+    the batch is read once.
     """
     rest = [c for c in batch.columns if c not in key and c not in ordinal]
-    full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    keyed = batch.where(full)
-    first = (keyed.groupBy(*key)
-             .agg(F.min_by(F.struct(*batch.columns),
-                           F.struct(*ordinal, *rest)).alias("_first"))
-             .select("_first.*"))
-    return first.unionByName(batch.where(_null_key(key)))
+    own = F.when(_null_key(key), F.monotonically_increasing_id())
+    return (batch.withColumn("_row", own).groupBy(*key, "_row")
+            .agg(F.min_by(F.struct(*batch.columns), F.struct(*ordinal, *rest)).alias("_first"))
+            .select("_first.*"))
 
 
 def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str],
@@ -57,7 +61,8 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str],
     as a UNIQUE constraint would. Never updates existing rows.
     """
     first = first_per_key(batch, key, ordinal)
-    return first.join(target.select(*key), key, "left_anti")
+    # a join by name puts the key columns first
+    return first.join(target.select(*key), key, "left_anti").select(*batch.columns)
 
 
 def insert_counts(batch: DataFrame, to_insert: DataFrame) -> DataFrame:
@@ -83,3 +88,31 @@ def append_if_absent(batch: DataFrame, target_path: str, key: list[str],
     new_rows = insert_if_absent(batch, target, key, ordinal)
     new_rows.write.mode("append").format(fmt).save(target_path)
     return spark.read.schema(batch.schema).format(fmt).load(target_path)
+
+
+def bucketed_table(spark: SparkSession, path: str, schema: T.StructType, key: list[str],
+                   buckets: int = BUCKETS) -> str:
+    """The name under which the session knows the external table at ``path``, whose
+    files are bucketed and sorted by ``key``; it is made known, and created empty
+    where there is none. The layout is part of the table: every session must name
+    the same key and number of buckets."""
+    name = f"keyed_{hashlib.md5(path.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        keys, place = ", ".join(f"`{k}`" for k in key), path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) "
+                  f"SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return name
+
+
+def append_bucketed(batch: DataFrame, target_path: str, key: list[str], ordinal: list[str],
+                    buckets: int = BUCKETS) -> DataFrame:
+    """As ``append_if_absent`` for a table that is kept bucketed by its key: the
+    anti-join reads the stored keys where they lie, and only the batch is shuffled.
+    New rows are written by bucket, one file for each. Returns the table."""
+    spark = batch.sparkSession
+    name = bucketed_table(spark, target_path, batch.schema, key, buckets)
+    new_rows = insert_if_absent(batch, spark.table(name), key, ordinal)
+    (new_rows.repartition(buckets, *key).write.mode("append").insertInto(name))
+    spark.catalog.refreshTable(name)
+    return spark.table(name)

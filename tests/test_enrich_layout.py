@@ -3,6 +3,7 @@
 from hashlib import md5
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftpool import fixtures as fx
@@ -52,3 +53,38 @@ def test_spread_is_the_callers_choice_and_runs_no_job(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(r.id for r in wide.collect()) == list(range(1000))
     assert wide.select(F.spark_partition_id()).distinct().count() == 5
+
+
+@pytest.mark.parametrize("dim", [1, 7, 64, 1024])
+def test_sparse_counts_and_dense_form(spark, dim):
+    texts = ["", "  !! ", "a", "a a a", "a b c a b a", " ".join(f"w{i % 97}" for i in range(3000)), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", enrich.tokens(F.col("t")).alias("toks"),
+                    enrich.hashed_token_counts(F.col("t"), dim).alias("s"),
+                    enrich.hashed_token_vector(F.col("t"), dim).alias("v")).collect()
+    for r in got:
+        c = np.zeros(dim, int)
+        for t in r.toks or []:
+            c[int(md5(t.encode()).hexdigest()[:6], 16) % dim] += 1
+        if r.toks is not None:
+            assert [(x.bucket, x.n) for x in r.s] == [(int(b), int(c[b])) for b in np.flatnonzero(c)]
+        n = np.sqrt((c * c).sum())
+        assert np.array_equal(np.array(r.v, np.float32), (c / n if n else c).astype(np.float32))
+
+
+def test_translate_into_nothing(spark, tmp_path):
+    """An empty source, and a model that fails on every message, leave an empty table."""
+    rows = spark.sql("SELECT 1L AS channel_id, id AS message_id, TIMESTAMP_NTZ '2020-01-01' AS date, "
+                     "'text' AS text FROM range(5)")
+
+    def broken():
+        def fail(texts):
+            raise ValueError("no model")
+        return fail
+
+    for source, model in ((rows.where("false"), None), (rows, broken)):
+        got = enrich.translate_into(source, str(tmp_path / "none"), model)
+        assert got.count() == 0 and got.columns == ["channel_id", "message_id", "date", "text"]
+    assert enrich.translation_backlog(rows, str(tmp_path / "none")).count() == 5
+    assert enrich.translate_into(rows, str(tmp_path / "none")).count() == 5
+    assert enrich.translation_backlog(rows, str(tmp_path / "none")).count() == 0
