@@ -11,8 +11,9 @@ from __future__ import annotations
 import random
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +22,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftpool.operators.boosting import SKIP, TEST, TRAIN, Boosted, Plan, fit_boosters
+
 
 def fit_cached(estimator, train: DataFrame):
     """Fit with the training input persisted for the fit's passes (learners
@@ -107,14 +110,15 @@ def gbt(train: DataFrame, features: str = "features", label: str = "label", max_
                       .withColumn(label, F.col(label).cast("double")))
 
 
-def ternary_boost(train: DataFrame, features: str = "features", label: str = "target",
-                  max_iter: int = 300, step: float = 0.05, max_depth: int = 4, seed: int = 42,
-                  parallelism: int = 3):
-    """3-class boosted trees - one-vs-rest over binary GBTs (MLlib's GBT
-    is binary only); the class models are fitted in parallel."""
-    g = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=max_depth, seed=seed)
-    ovr = OneVsRest(classifier=g, featuresCol=features, labelCol=label, parallelism=parallelism)
-    return fit_cached(ovr, train.withColumn(label, F.col(label).cast("double")))
+def ternary_boost(data: DataFrame, train_col: str = "is_train", features: str = "features",
+                  label: str = "target", max_iter: int = 300, step: float = 0.05, max_depth: int = 4,
+                  stable_key=None) -> Boosted:
+    """3-class boosting with one soft-max loss: each round adds a regression tree
+    for every class, on the gradient of the joint loss. Rows where ``train_col`` is
+    false are scored after each round (``history``)."""
+    roles = F.array(F.when(F.col(train_col), TRAIN).otherwise(TEST))
+    return fit_boosters(data.withColumn("_roles", roles), [Plan(max_iter, step, max_depth)], "softmax",
+                        features, label, "_roles", classes=3, key=stable_key)
 
 
 def predictions(model, df: DataFrame, keep, label: str = "label") -> DataFrame:
@@ -177,6 +181,24 @@ def cv_scores_expanding(rows: DataFrame, fit, score, keep, label="label",
     return scores
 
 
+def fold_roles(folds: DataFrame, keys, n_folds: int = 5, fold_col: str = "fold",
+               role_col: str = "role") -> DataFrame:
+    """(keys, roles): (row, fold, role) rows of L06, folds from 1, as one row with an
+    array of what the row is to each fold."""
+    role = lambda k: F.coalesce(F.max(F.when(F.col(fold_col) == k, F.when(
+        F.col(role_col) == "train", TRAIN).otherwise(TEST))), F.lit(SKIP))
+    return folds.groupBy(*keys).agg(F.array(*[role(k) for k in range(1, n_folds + 1)]).alias("roles"))
+
+
+def boosted_cv(data: DataFrame, n_folds: int = 5, features: str = "features", label: str = "label",
+               max_iter: int = 100, step: float = 0.1, max_depth: int = 3, stable_key=None) -> list[float]:
+    """Accuracy of binary boosting on each fold of ``roles`` (see ``fold_roles``);
+    the folds' ensembles grow side by side."""
+    plans = [Plan(max_iter, step, max_depth, k) for k in range(n_folds)]
+    got = fit_boosters(data, plans, "logistic", features, label, key=stable_key)
+    return [float(got.history[max_iter, k, 1, 2]) for k in range(n_folds)]
+
+
 def cv_score(spark, scores: list[float]) -> DataFrame:
     """Mean and population std of fold scores."""
     df = spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "fold int, score double")
@@ -208,29 +230,19 @@ def draw_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
     return trials
 
 
-def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int = 10,
-                 seed: int = 42, keep=("day",), label: str = "label",
-                 max_workers: int = 4, stable_key=None, scheme: str = "kfold") -> DataFrame:
-    """Best of n seeded trials by mean CV score. rf: weighted F1;
-    gbt: accuracy. ``scheme`` 'kfold': ``fold_col`` assigns each row one fold
-    (L07), train on the others; 'expanding': rows are (row, fold, role) from
-    L06. Trials run in a bounded thread pool (each fit is itself a distributed
-    MLlib job). Returns the trial table with ``is_best``."""
-    space = RF_SPACE if kind == "rf" else GBT_SPACE
-    trials = draw_trials(space, n_trials, seed)
+def param_search(data: DataFrame, fold_col: str, n_trials: int = 10, seed: int = 42,
+                 keep=("day",), label: str = "label", max_workers: int = 4,
+                 stable_key=None) -> DataFrame:
+    """M06, forests: best of n seeded trials by mean weighted F1; ``fold_col`` assigns
+    each row one fold (L07), train on the others. Trials run in a bounded thread
+    pool (each fit is itself a distributed MLlib job). Returns the trial table with
+    ``is_best``."""
+    trials = draw_trials(RF_SPACE, n_trials, seed)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(t):
-        if kind == "rf":
-            fit = lambda tr: random_forest(tr, label=label, seed=seed, stable_key=stable_key, **t)
-            metric = weighted_f1
-        else:
-            fit = lambda tr: gbt(tr, label=label, seed=seed, stable_key=stable_key, **t)
-            metric = accuracy_of
-        if scheme == "expanding":
-            sc = cv_scores_expanding(data, fit, metric, list(keep), label, fold_col)
-        else:
-            sc = cv_scores(data, fold_col, fit, metric, list(keep), label)
+        fit = lambda tr: random_forest(tr, label=label, seed=seed, stable_key=stable_key, **t)
+        sc = cv_scores(data, fold_col, fit, weighted_f1, list(keep), label)
         return sum(sc) / len(sc)
 
     try:
@@ -244,15 +256,52 @@ def param_search(data: DataFrame, fold_col: str, kind: str = "rf", n_trials: int
         rows, "trial int, params string, mean_score double, is_best boolean")
 
 
+def draw_staged_trials(n_trials: int = 30, per_fit: int = 5, seed: int = 42) -> list[dict]:
+    """Seeded draws from the whole ``GBT_SPACE``, in groups of ``per_fit`` trials that
+    share depth and step size and differ in their rounds."""
+    trials = []
+    for i in range(-(-n_trials // per_fit)):
+        shape = draw_trials({k: GBT_SPACE[k] for k in ("step", "max_depth")}, 1, f"{seed}:{i}")[0]
+        rounds = draw_trials({"max_iter": GBT_SPACE["max_iter"]}, per_fit, f"{seed}:{i}:rounds")
+        trials += [{**shape, **r} for r in rounds]
+    return trials[:n_trials]
+
+
+def param_search_gbt(data: DataFrame, n_folds: int = 5, trials: list[dict] | None = None,
+                     features: str = "features", label: str = "label", stable_key=None) -> DataFrame:
+    """M06, boosting: the trial table (trial, max_depth, step, max_iter, n_folds,
+    mean_score, is_best) over time-series folds given as ``roles`` (``fold_roles``);
+    the score is mean accuracy, ties go to the earlier trial.
+
+    Evaluation is staged: a depth and step size is fitted once on each fold, to the
+    largest number of rounds any of its trials asks for, and every round is scored,
+    so trials that differ in their rounds cost nothing more; all fits grow side by
+    side. A fold without test rows does not count."""
+    trials = draw_staged_trials() if trials is None else trials
+    most: dict[tuple, int] = {}
+    for t in trials:
+        shape = (t["max_depth"], t["step"])
+        most[shape] = max(most.get(shape, 0), t["max_iter"])
+    plans = [Plan(rounds, step, depth, k) for (depth, step), rounds in most.items() for k in range(n_folds)]
+    got = fit_boosters(data, plans, "logistic", features, label, key=stable_key)
+    at = {shape: i * n_folds for i, shape in enumerate(most)}
+    scores = []
+    for t in trials:
+        first = at[t["max_depth"], t["step"]]
+        scores.append(float(np.nanmean(got.history[t["max_iter"], first:first + n_folds, 1, 2])))
+    best = max(range(len(trials)), key=lambda i: (scores[i], -i))
+    rows = [(i, t["max_depth"], float(t["step"]), t["max_iter"], n_folds, scores[i], i == best)
+            for i, t in enumerate(trials)]
+    return data.sparkSession.createDataFrame(
+        rows, "trial int, max_depth int, step double, max_iter int, n_folds int, "
+              "mean_score double, is_best boolean")
+
+
 def save_model(model, path: str) -> None:
     """Persist a fitted model (overwrite)."""
     model.write().overwrite().save(path)
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 def linear_regressor(train: DataFrame, features: str = "features", label: str = "target",
                      reg: float = 0.0):
     """Least-squares regression on flattened lookback windows."""
@@ -272,3 +321,21 @@ def best_by_validation(train: DataFrame, valid: DataFrame, regs, features="featu
     best = min(rows, key=lambda x: (x[1], x[0]))[0]
     df = train.sparkSession.createDataFrame(rows, "reg_param double, val_mse double")
     return df.withColumn("is_best", F.col("reg_param") == F.lit(best))
+
+
+def boost_history(data: DataFrame, candidates: list[tuple[float, int]], iterations: int = 100,
+                  train_col: str = "fit_part", features: str = "features", label: str = "target",
+                  stable_key=None) -> Boosted:
+    """M11 for an iterative learner: boosted regressors (step size, depth), each with its
+    training and validation loss after every iteration (``history_table``). The best
+    iteration of the best candidate is restored with ``restore_best``."""
+    roles = F.array(F.when(F.col(train_col), TRAIN).otherwise(TEST))
+    plans = [Plan(iterations, rate, depth) for rate, depth in candidates]
+    return fit_boosters(data.withColumn("_roles", roles), plans, "squared", features, label, "_roles",
+                        key=stable_key)
+
+
+def restore_best(fitted: Boosted, df: DataFrame, features: str = "features") -> DataFrame:
+    """``df`` scored by the candidate and iteration with the lowest validation loss."""
+    best = min(range(len(fitted.plans)), key=lambda i: (fitted.history[fitted.best_round(i), i, 1, 1], i))
+    return fitted.transform(df, features, best, fitted.best_round(best))

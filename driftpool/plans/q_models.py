@@ -17,6 +17,21 @@ from driftpool.operators import filters
 
 SEED = 42
 
+#: what a session's slow queries found last: the companions that check it (q_model_checks)
+#: read it instead of fitting again
+_LAST: dict[tuple, object] = {}
+
+
+def keep_last(name: str, spark, sf_dir, value):
+    _LAST[name, spark.sparkContext.applicationId, sf_dir] = value
+    return value
+
+
+def last_or(name: str, spark, sf_dir, make):
+    """What query ``name`` kept in this session, or what ``make`` gives now."""
+    got = _LAST.get((name, spark.sparkContext.applicationId, sf_dir))
+    return make(spark, sf_dir) if got is None else got
+
 
 def day_table(spark, sf_dir):
     """Pooled day vectors with the next-day direction label."""
@@ -111,14 +126,21 @@ def _feature_split(spark, sf_dir):
     return models.as_features(scaled, W.FEATURES)
 
 
+def ternary_model(spark, sf_dir):
+    """(3-class boosting: 300 rounds, depth 4, rate 0.05, chronological 80/20; its data)."""
+    data = _feature_split(spark, sf_dir)
+    model = models.ternary_boost(data, stable_key=["series", "day"])
+    return keep_last("ternary_boost", spark, sf_dir, (model, data))
+
+
 @register("ternary_boost")
 def q_ternary_boost(spark, sf_dir):
-    """3-class boosting (300 rounds, depth 4, rate 0.05) on the scaled
-    nine features, chronological 80/20."""
-    data = _feature_split(spark, sf_dir)
-    model = models.ternary_boost(data.where(F.col("is_train")))
-    return models.predictions(model, data.where(~F.col("is_train")), ["series", "day"],
-                              label="target")
+    """M05 on the scaled nine features: the test rows with their class probabilities."""
+    model, data = ternary_model(spark, sf_dir)
+    out = model.transform(data.where(~F.col("is_train")))
+    cls = F.col("prediction").cast("int")
+    return out.select("series", "day", F.col("target").alias("y_true"), cls.alias("y_pred"),
+                      F.element_at("probability", cls + 1).alias("confidence"), "probability")
 
 
 @register("param_search")
@@ -127,22 +149,32 @@ def q_param_search(spark, sf_dir):
     d = day_table(spark, sf_dir)
     folds = splits.stratified_folds(d.select("day", "label"), "label", order=["day"]).select("day", "fold")
     data = models.as_features(d.join(folds, "day"), "v")
-    return models.param_search(data, "fold", "rf", n_trials=10, seed=SEED, stable_key="day")
+    found = models.param_search(data, "fold", n_trials=10, seed=SEED, stable_key="day")
+    return keep_last("param_search", spark, sf_dir, found)
+
+
+def _fold_rows(spark, sf_dir):
+    """News rows with their 32 components as an array and their roles in the 5
+    expanding time-series folds (L06)."""
+    rows = write_shared(_news_rows(spark, sf_dir), "news-rows")
+    ranked = splits.chronological_order(rows.select("vec_id", "day", "ts"), ["day", "ts", "vec_id"])
+    roles = models.fold_roles(splits.expanding_folds(ranked), ["vec_id"])
+    x = F.array(*[f"emb_pca_{i}" for i in range(32)])
+    return rows.select("vec_id", "label", x.alias("features")).join(roles, "vec_id")
+
+
+def gbt_search(spark, sf_dir):
+    """Boosting search on news rows - 30 trials x 5 expanding folds, accuracy."""
+    return models.param_search_gbt(_fold_rows(spark, sf_dir), 5, models.draw_staged_trials(30, seed=SEED),
+                                   stable_key="vec_id")
 
 
 @register("cv_score")
 def q_cv_score(spark, sf_dir):
     """Boosting on the 32 components of news rows, scored by accuracy
     over 5 expanding time-series folds (L06): mean and population std."""
-    rows = write_shared(_news_rows(spark, sf_dir), "news-rows")
-    ranked = splits.chronological_order(rows.select("vec_id", "day", "ts"), ["day", "ts", "vec_id"])
-    folds = splits.expanding_folds(ranked).select("vec_id", "fold", "role")
-    data = write_shared(rows.join(folds, "vec_id"), "fold-rows")  # read by every fold's fit
-    data = models.as_features(data, [f"emb_pca_{i}" for i in range(32)])
-    fit = lambda tr: models.gbt(tr, max_iter=100, step=0.1, max_depth=3,
-                                stable_key="vec_id")
-    scores = models.cv_scores_expanding(data, fit, models.accuracy_of, ["vec_id"])
-    return models.cv_score(spark, scores)
+    scores = models.boosted_cv(_fold_rows(spark, sf_dir), 5, stable_key="vec_id")
+    return keep_last("cv_score", spark, sf_dir, models.cv_score(spark, scores))
 
 
 @register("predict_direction")
@@ -164,10 +196,10 @@ def q_predict_direction(spark, sf_dir):
         F.when(F.col("prediction") == 1, "Increase").otherwise("Decrease").alias("direction"),
         F.element_at(p, F.col("prediction").cast("int") + 1).alias("confidence"))
     news = filters.previous_day_news(fx.news(spark, sf_dir), PREV_DAY_NOW, ordered=False)
-    digest = metrics.daily_digest(news, k=10)
-    return pred.select("*", digest.select("day").scalar().alias("day"),
-                       digest.select("n_news").scalar().alias("n_news"),
-                       digest.select(F.size("top")).scalar().alias("n_top"))
+    digest = metrics.daily_digest(news, k=10).select("day", "n_news", F.size("top").alias("n_top"))
+    # one row each (the digest none, if there is no news): planned once, both sides tiny
+    return pred.withColumn("_k", F.lit(1)).join(
+        F.broadcast(digest.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
 
 
 def _lookback_frame(spark, sf_dir, with_news: bool):
@@ -209,19 +241,36 @@ def q_combined_regressor(spark, sf_dir):
     imp = metrics.improvement_pct(res["lags"], res["lags_news"])
     table = (res["lags"].withColumn("model", F.lit("lags"))
              .unionByName(res["lags_news"].withColumn("model", F.lit("lags_news"))))
-    return table.select("*", *[imp.select(c).scalar().alias(c) for c in imp.columns])
+    out = table.select("*", *[imp.select(c).scalar().alias(c) for c in imp.columns])
+    return keep_last("combined_regressor", spark, sf_dir, out)
 
 
-@register("best_by_validation")
-def q_best_by_validation(spark, sf_dir):
-    """regParam candidates for M09, validated on the last 20 % of the
-    training rows; the loss table with the winner marked."""
+def _fit_rows(spark, sf_dir):
+    """M09's training rows, the last 20 % of which validate (fit_part is false)."""
     data = models.as_features(_lookback_frame(spark, sf_dir, False), "lags").where(F.col("train_a"))
     ranked = splits.chronological_order(data.select("series", "day"), ["day"], group=["series"],
                                         bounded_groups=True)
     sp = splits.chrono_split(ranked, 0.2, group=["series"]).select("series", "day",
                                                                    F.col("train_a").alias("fit_part"))
-    d = data.join(sp, ["series", "day"]).select("fit_part", "features", "target")
-    d = write_shared(d, "fit-rows")  # read by every candidate's fit and validation
-    return models.best_by_validation(d.where(F.col("fit_part")), d.where(~F.col("fit_part")),
-                                     [0.0, 0.001, 0.01, 0.1, 1.0])
+    d = data.join(sp, ["series", "day"]).select("series", "day", "fit_part", "features", "target")
+    return write_shared(d, "fit-rows")  # read by every candidate's fit and validation
+
+
+@register("best_by_validation")
+def q_best_by_validation(spark, sf_dir):
+    """regParam candidates for M09, validated on the last 20 % of the
+    training rows; the loss table with the winner marked."""
+    d = _fit_rows(spark, sf_dir)
+    found = models.best_by_validation(d.where(F.col("fit_part")), d.where(~F.col("fit_part")), list(REGS))
+    return keep_last("best_by_validation", spark, sf_dir, found)
+
+
+# parameters of M11's candidates: regularisation; (step size, depth) and iterations
+REGS = (0.0, 0.001, 0.01, 0.1, 1.0)
+BOOST_CANDIDATES, ITERATIONS = ((0.05, 3), (0.1, 3), (0.1, 5), (0.3, 3)), 100
+
+
+def boost_candidates(spark, sf_dir):
+    """M11 for an iterative learner: candidates side by side, losses of 100 iterations."""
+    return models.boost_history(_fit_rows(spark, sf_dir), list(BOOST_CANDIDATES), ITERATIONS,
+                                stable_key=["series", "day"])
