@@ -11,7 +11,9 @@ Features are cut into at most ``BINS`` quantile bins and kept as bytes in persis
 blocks of rows; a task sums gradients by node, feature and bin, the sums are reduced
 as a tree, and the driver, which holds fitted parameters only, picks the splits.
 Margins are carried from round to round; lineage is cut by ``checkpoint`` every
-``CUT_EVERY`` rounds, so a lost executor costs that many at most.
+``CUT_EVERY`` rounds, so a lost executor costs that many at most. Up to
+``ROWS_PER_BLOCK`` rows, which one task holds anyway, there is nothing to reduce:
+they are broadcast, and the ensembles, not the rows, are spread over tasks.
 """
 
 from __future__ import annotations
@@ -281,7 +283,7 @@ def fit_boosters(data: DataFrame, plans: list[Plan], loss: str, features: str =
     'logistic' (labels 0 and 1), 'softmax' (labels 0 to ``classes`` - 1) or 'squared'.
     ``key``, a unique row key, makes reruns identical. Features may be an array or an
     MLlib vector without nulls. Runs a job for each level of the deepest tree of
-    every round. Raises ValueError where a plan has no row to learn from."""
+    every round, or a single one for few rows; the trees are the same. Raises ValueError where a plan has no row to learn from."""
     spark = data.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [key] if isinstance(key, str) else list(key or [])
@@ -301,7 +303,12 @@ def fit_boosters(data: DataFrame, plans: list[Plan], loss: str, features: str =
         blocks = _blocks(dealt.drop(*keys), edges).persist(StorageLevel.MEMORY_AND_DISK)
         base = _base(blocks, fit)
         out = Boosted(plans, loss, classes, edges, base)
-        blocks = _grow(blocks.map(lambda b: (*b[:3], np.tile(base, (len(b[1]), 1)))), blocks, fit, out)
+        blocks = blocks.map(lambda b: (*b[:3], np.tile(base, (len(b[1]), 1)))), blocks
+        if parts == 1:
+            _grow_alone(blocks[0], fit, out)
+            blocks = blocks[1]
+        else:
+            blocks = _grow(*blocks, fit, out)
         return out
     finally:
         rows.unpersist()
@@ -347,8 +354,74 @@ def _base(blocks, fit: _Fit) -> np.ndarray:
     return np.log(share / (1 - share) if loss == "logistic" else share).ravel()
 
 
+def _depth(trees: Trees) -> int:
+    return int(np.log2(trees.feature.shape[1] + 1)) - 1
+
+
+def _start(fit: _Fit, t: int) -> tuple[Trees, list[int]]:
+    """Empty trees for the heads that grow in round t (none after the last)."""
+    live = [h for h, (p, _) in enumerate(fit.heads) if fit.plans[p].rounds > t]
+    return Trees.empty(len(live), max((fit.plans[fit.heads[h][0]].depth for h in live), default=0)), live
+
+
+def _open(fit: _Fit, trees: Trees, live: list[int], level: int) -> list[tuple[int, int]]:
+    """(tree, head) of the trees that have nodes to split on a level."""
+    return [(i, h) for i, h in enumerate(live) if fit.plans[fit.heads[h][0]].depth > level
+            and (level == 0 or (trees.feature[i, 2 ** (level - 1) - 1:2 ** level - 1] >= 0).any())]
+
+
+def _means(history: list[np.ndarray]) -> np.ndarray:
+    sums = np.array(history)  # (round, plan, train or test, [rows, loss, right])
+    rows = np.maximum(sums[..., :1], 1)
+    mean = np.where(sums[..., :1] > 0, sums[..., 1:] / rows, np.nan)
+    return np.concatenate([sums[..., :1], mean], axis=-1)
+
+
+def _grow_alone(blocks, fit: _Fit, out: Boosted) -> None:
+    """All rounds where the rows are few enough for one task: they are broadcast (at most
+    ROWS_PER_BLOCK of them), and each ensemble grows in a task of its own."""
+    sc = blocks.context
+    parts = blocks.collect()
+    rows = sc.broadcast(tuple(np.concatenate(x) for x in zip(*parts)))
+
+    def whole(i: int) -> tuple[list[tuple], list[np.ndarray]]:
+        bins, y, roles, margins = rows.value
+        own = _Fit([fit.plans[i]], fit.loss, fit.classes)
+        block, rounds, scores = (bins, y, roles, margins[:, i * fit.classes:(i + 1) * fit.classes]), [], []
+        for t in range(fit.plans[i].rounds + 1):
+            scores.append(own.score(block))
+            trees, live = _start(own, t)
+            for level in range(_depth(trees)):
+                heads = _open(own, trees, live, level)
+                if not heads:
+                    break
+                _split(trees, level, heads, own.sums(block, trees, level, heads))
+            if live:
+                rounds.append((trees, live))
+                block = own.advance(block, trees, live)
+        return [(t.feature, t.cut, t.value) for t, _ in rounds], scores
+
+    n = len(fit.plans)
+    # the deepest and longest first: they decide how long it takes
+    order = sorted(range(n), key=lambda i: -fit.plans[i].rounds * fit.plans[i].depth)
+    grown = dict(zip(order, sc.parallelize(order, n).map(whole).collect()))
+    rows.unpersist()
+    last = max(p.rounds for p in fit.plans)
+    for t in range(last):
+        trees, live = _start(fit, t)
+        for i, head in enumerate(live):
+            plan, k = fit.heads[head]
+            feature, cut, value = (x[k] for x in grown[plan][0][t])
+            trees.feature[i, :len(feature)], trees.cut[i, :len(cut)], trees.value[i, :len(value)] = feature, cut, value
+        out.rounds.append((trees, live))
+    scores = [np.concatenate([grown[i][1][min(t, fit.plans[i].rounds)] for i in range(n)])
+              for t in range(last + 1)]
+    out.history = _means(scores)
+
+
 def _grow(now, before, fit: _Fit, out: Boosted):
-    """All rounds; returns the last blocks. ``before``: persisted blocks to release."""
+    """All rounds side by side; returns the last blocks. ``before``: persisted blocks to
+    release."""
     history = []
     trees, live = None, []
     for t in range(max(p.rounds for p in fit.plans) + 1):
@@ -357,12 +430,10 @@ def _grow(now, before, fit: _Fit, out: Boosted):
         now = now.persist(StorageLevel.MEMORY_AND_DISK)
         if t and t % CUT_EVERY == 0:
             now.checkpoint()
-        live = [h for h, (p, _) in enumerate(fit.heads) if fit.plans[p].rounds > t]
-        trees = Trees.empty(len(live), max((fit.plans[fit.heads[h][0]].depth for h in live), default=0))
+        trees, live = _start(fit, t)
         score = None
-        for level in range(int(np.log2(trees.feature.shape[1] + 1)) - 1):
-            heads = [(i, h) for i, h in enumerate(live) if fit.plans[fit.heads[h][0]].depth > level
-                     and (level == 0 or (trees.feature[i, 2 ** (level - 1) - 1:2 ** level - 1] >= 0).any())]
+        for level in range(_depth(trees)):
+            heads = _open(fit, trees, live, level)
             if not heads:
                 break
             # the first level's job also scores the rounds so far
@@ -376,10 +447,7 @@ def _grow(now, before, fit: _Fit, out: Boosted):
         before = now
         if live:
             out.rounds.append((trees, live))
-    sums = np.array(history)  # (round, plan, train or test, [rows, loss, right])
-    rows = np.maximum(sums[..., :1], 1)
-    mean = np.where(sums[..., :1] > 0, sums[..., 1:] / rows, np.nan)
-    out.history = np.concatenate([sums[..., :1], mean], axis=-1)
+    out.history = _means(history)
     return before
 
 

@@ -65,10 +65,12 @@ def plain(x, y, train, loss, classes, rounds, rate, depth):
     return out
 
 
+@pytest.mark.parametrize("rows", [100, 1000])
 @pytest.mark.parametrize("loss, classes", [("logistic", 2), ("softmax", 3), ("squared", 4)])
-def test_equals_plain_boosting(spark, monkeypatch, loss, classes):
-    """Two roles and two shapes side by side, in several blocks, over a checkpoint."""
-    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 100)
+def test_equals_plain_boosting(spark, monkeypatch, loss, classes, rows):
+    """Two roles and two shapes: side by side in several blocks, over a checkpoint, and
+    each in a task of its own."""
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", rows)
     monkeypatch.setattr(B, "CUT_EVERY", 3)
     df, x, y, role = data(spark, classes=classes)
     plans = [B.Plan(7, 0.3, 3, 0), B.Plan(4, 0.5, 2, 1), B.Plan(5, 0.1, 1, 0)]
