@@ -10,9 +10,12 @@ neighbours, best first, and reads the lists whose centre's distance is within
 the query's own, and close by chance); the vectors of those lists are compared
 exactly.
 
-Centres (at most ``MAX_CENTRES``) and their graph are broadcast. The lists are
-written once to the shared folder; long ones, as copies of one vector make them,
-are split into shards by a hash of the id, and queries go to every shard.
+The top centres (at most ``MAX_CENTRES``) and their graph are broadcast. A list of more
+than ``SPLIT_ROWS`` vectors is split in the same way, by centres of its own, which stay
+in a table, and its parts again, until none is longer: lists stay short however many
+vectors there are. Of equal vectors the k + 1 smallest ids are indexed, as no
+answer can hold another one. What is left long is read in shards by a hash of the id,
+and a list's queries come in blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from driftpool.functions.ranking import top_k_per_group
 from driftpool.llm.common import Shared, cut, drawn, table
 
 QUERY_NAME = "op1_nearest_neighbours"
@@ -38,6 +43,10 @@ REPLICAS, BOUNDARY, PRUNE, BASE = 4, 0.10, 0.085, 8
 LINKS, SLACK = 24, 0.04
 SHARD_ROWS, BLOCK = 20_000, 1 << 20
 ROUNDS = 5
+#: vectors above which a list is split, parts it is split into at most, lists of a vector
+#: within it, sampled vectors a part, and queries that are compared with a list at once
+SPLIT_ROWS, SPLIT_PARTS, SPLIT_REPLICAS, SPLIT_SAMPLE, QUERY_BLOCK = 2000, 256, 2, 16, 2000
+MAX_LEVELS = 8
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,10 +93,11 @@ class Heads:
         ring = (np.arange(len(centres)) + 1) % len(centres)
         return cls(centres, np.column_stack([near, ring]))
 
-    def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lists_of(self, vectors: np.ndarray,
+                 replicas: int = REPLICAS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(vector, list, whether it is the nearest) rows of vectors to be indexed."""
         d = _distances(vectors, self.centres)
-        n = min(REPLICAS, d.shape[1])
+        n = min(replicas, d.shape[1])
         order = np.argpartition(d, n - 1, axis=1)[:, :n]
         own = np.take_along_axis(d, order, 1)
         by = np.argsort(own, axis=1, kind="stable")
@@ -137,7 +147,8 @@ def usable(column) -> F.Column:
                       & F.exists(value, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -154,10 +165,17 @@ def _nearest(k: int):
             x, ids = x[order], ids[order]
             starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             q, names = _matrix(queries["v"].combine_chunks()), queries["query_id"].to_numpy()
+            # candidates are picked by an expanded square, about the list's centre; its
+            # rounding error grows with the norms, and so does the slack
+            middle = x.mean(0)
+            near_x, norm = x - middle, ((x - middle) ** 2).sum(1)
             step = max(1, BLOCK // len(x))
             for at in range(0, len(q), step):
                 part = q[at:at + step]
-                d = _distances(part, x)
+                near_q = part - middle
+                own = (near_q ** 2).sum(1)
+                d = own[:, None] + norm - 2.0 * (near_q @ near_x.T)
+                slack = 1e-12 * x.shape[1] * (own + norm.max() + (middle ** 2).sum() * 1e-3) + 1e-300
                 for i, row in enumerate(d):
                     other = ids != names[at + i]
                     row = np.where(other, row, np.inf)
@@ -166,7 +184,7 @@ def _nearest(k: int):
                     if not n:
                         continue
                     edge = np.partition(least, n - 1)[n - 1]
-                    near = np.flatnonzero(row <= edge * (1 + 1e-9) + 1e-6)
+                    near = np.flatnonzero(row <= edge + 2 * slack[i])
                     exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
                     first = np.lexsort((ids[near], exact))
                     if len(starts) < len(ids):
@@ -181,17 +199,36 @@ def _nearest(k: int):
     return run
 
 
-def index(vectors: DataFrame, list_rows: int = LIST) -> tuple[Heads | None, DataFrame]:
+def without_copies(vectors: DataFrame, most: int) -> DataFrame:
+    """``vectors`` (id, v) with, of equal vectors, the rows of the ``most`` smallest ids.
+    Runs the counting job; only hashes are shuffled where no vector has more copies."""
+    tagged = vectors.withColumn("tag", F.xxhash64("v"))
+    copied = cut(tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+                 .select("tag"), "copied-vectors")
+    if copied.isEmpty():
+        return vectors
+    few = top_k_per_group(tagged.join(copied, "tag", "left_semi"), ["tag", "v"], [F.col("id")], most,
+                          salt_cols=["id"])
+    rest = tagged.join(copied, "tag", "left_anti").select("id", "v")
+    return rest.union(few.select("id", "v"))
+
+
+def index(vectors: DataFrame, list_rows: int = LIST, k: int = 10) -> tuple[Heads | None, DataFrame]:
     """vectors: (id, v), usable ones of one width. The heads, and the written index
     (list, id, v, first): every vector in each of its lists, ``first`` marking the
-    nearest. Where ids are repeated, equal rows are made one first. Runs jobs."""
+    nearest. Where ids are repeated, equal rows are made one first; of equal vectors
+    the k + 1 smallest ids stay. Runs jobs."""
     spark = vectors.sparkSession
     n, ids = (vectors.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
               .agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
     if ids < n:
         vectors = cut(vectors.distinct(), "distinct-vectors")
+    fewer = without_copies(vectors, k + 1)
+    if fewer is not vectors:
+        vectors = cut(fewer, "vectors-without-copies")
+    if ids < n or fewer is vectors:
         n = vectors.count()
-    schema = T.StructType([T.StructField("list", T.IntegerType()), vectors.schema["id"],
+    schema = T.StructType([T.StructField("list", T.LongType()), vectors.schema["id"],
                            vectors.schema["v"], T.StructField("first", T.BooleanType())])
     if not n:
         return None, spark.createDataFrame([], schema)
@@ -209,13 +246,108 @@ def index(vectors: DataFrame, list_rows: int = LIST) -> tuple[Heads | None, Data
                 part = b.slice(at, 2048)
                 row, to, first = shared.value.lists_of(_matrix(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to, pa.int32()), part.column(0).take(pa.array(row)),
+                    [pa.array(to, pa.int64()), part.column(0).take(pa.array(row)),
                      part.column(1).take(pa.array(row)), pa.array(first)],
                     names=["list", "id", "v", "first"])
 
     return heads, cut(vectors.mapInArrow(run, schema), "posting-lists")
 
 
+def _parts(long: DataFrame, lists: DataFrame, list_rows: int) -> DataFrame:
+    """(list, part, centre): centres of the parts of the lists in ``long`` (list, rows),
+    from a sample of their vectors bounded by ``SPLIT_PARTS`` x ``SPLIT_SAMPLE`` rows."""
+    parts = F.least(F.lit(SPLIT_PARTS), F.ceil(F.col("rows") / list_rows))
+    few = (lists.join(long, "list").withColumn("parts", parts.cast("int"))
+           .where(drawn("id") * F.col("rows") < F.col("parts") * SPLIT_SAMPLE))
+
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id").combine_chunks()
+        centres = place_centres(_matrix(rows["v"]), rows["parts"][0].as_py())
+        return pa.table({"list": pa.array([rows["list"][0].as_py()] * len(centres), pa.int64()),
+                         "part": pa.array(range(len(centres)), pa.int64()),
+                         "centre": pa.array(list(centres), pa.list_(pa.float64()))})
+
+    return (few.select("list", "id", "v", "parts").groupBy("list")
+            .applyInArrow(place, "list long, part long, centre array<double>"))
+
+
+def _meet(rows: DataFrame, centres: DataFrame, sizes: DataFrame, key: str, share: int, fn, schema) -> DataFrame:
+    """``rows`` of a list, in blocks of about ``share`` rows by a hash of ``key``, with
+    the list's centres, by ``fn(rows, centres)``. sizes: (list, n)."""
+    blocks = sizes.select("list", F.ceil(F.col("n") / share).alias("blocks"))
+    dealt = rows.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("blocks")
+    met = centres.join(blocks, "list").withColumn(
+        "block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks")
+
+    def run(some: pa.Table, own: pa.Table) -> pa.Table:
+        if not some.num_rows or not own.num_rows:
+            return pa.table({f.name: pa.array([], t.type) for f, t in zip(schema.fields, kinds)})
+        return fn(some.combine_chunks(), own.sort_by("part").combine_chunks())
+
+    kinds = to_arrow_schema(schema)
+    return dealt.groupBy("list", "block").cogroup(met.groupBy("list", "block")).applyInArrow(run, schema)
+
+
+def split(lists: DataFrame, routed: DataFrame, list_rows: int, wanted: int) -> tuple[DataFrame, DataFrame]:
+    """The index (list, id, v, first) and the queries' lists (list, query_id, v) once
+    long lists are split, level by level. Runs jobs; what reaches the driver is
+    whether a list is long."""
+    done_lists, done_routed = [], []
+    for _ in range(MAX_LEVELS):
+        sizes = cut(lists.groupBy("list").agg(F.count(F.lit(1)).alias("rows")), "list-sizes")
+        long = sizes.where(F.col("rows") > SPLIT_ROWS)
+        if long.isEmpty():
+            break
+        centres = cut(_parts(long, lists, list_rows), "list-parts")
+        # a list that cannot be split, as its vectors hardly differ, stays as it is
+        real = cut(centres.groupBy("list").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1"), "split-lists")
+        if real.isEmpty():
+            break
+        done_lists.append(lists.join(real, "list", "left_anti"))
+        done_routed.append(routed.join(real, "list", "left_anti"))
+
+        def assign(rows: pa.Table, own: pa.Table) -> pa.Table:
+            heads = Heads(_matrix(own["centre"]), np.zeros((0, 0), int))
+            row, to, first = heads.lists_of(_matrix(rows["v"]), SPLIT_REPLICAS)
+            base = rows["list"][0].as_py() * SPLIT_PARTS + (1 << 40)
+            row = pa.array(row)
+            return pa.table({"list": pa.array(base + to, pa.int64()), "id": rows["id"].take(row),
+                             "v": rows["v"].take(row),
+                             "first": pa.array(rows["first"].to_numpy(zero_copy_only=False)[row] & first)})
+
+        def choose(rows: pa.Table, own: pa.Table) -> pa.Table:
+            at, near, held = _matrix(own["centre"]), [], own["n"].to_numpy()
+            for i, d in enumerate(_distances(_matrix(rows["v"]), at)):
+                order = np.argsort(d, kind="stable")
+                bound = d[order[:BASE]].mean() * (1.0 + PRUNE)
+                before = np.cumsum(held[order]) - held[order]
+                near += [(i, int(x)) for x in order[(d[order] <= bound) | (before < wanted)]]
+            base = rows["list"][0].as_py() * SPLIT_PARTS + (1 << 40)
+            row = pa.array([i for i, _ in near], pa.int64())
+            return pa.table({"list": pa.array([base + x for _, x in near], pa.int64()),
+                             "query_id": rows["query_id"].take(row), "v": rows["v"].take(row)})
+
+        # numbers of parts never meet those of lists: each level adds 2^40
+        hot = real.join(sizes, "list").select("list", F.col("rows").alias("n"))
+        parted = cut(_meet(lists.join(real.select("list"), "list", "left_semi"),
+                           centres.join(real.select("list"), "list", "left_semi"), hot, "id", SHARD_ROWS,
+                           assign, lists.select("list", "id", "v", "first").schema), "split-posting-lists")
+        held = (parted.where("first").groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+                .select(F.floor((F.col("list") - (1 << 40)) / SPLIT_PARTS).alias("list"),
+                        F.pmod(F.col("list") - (1 << 40), F.lit(SPLIT_PARTS)).alias("part"), "n"))
+        known = centres.join(held, ["list", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        asked = routed.join(real.select("list"), "list", "left_semi")
+        queries = cut(asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "list-queries")
+        routed = cut(_meet(asked, known, queries, "query_id", QUERY_BLOCK, choose,
+                           routed.select("list", "query_id", "v").schema), "split-queries")
+        lists = parted
+    for x in done_lists:
+        lists = lists.union(x.select(*lists.columns))
+    for x in done_routed:
+        routed = routed.union(x.select(*routed.columns))
+    return lists, routed
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
            vector_col: str = "embedding", list_rows: int = LIST) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest vectors found for each
@@ -230,45 +362,41 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     pick = lambda df: (df.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                                  F.col(f"`{vector_col}`").alias("v"))
                        .where(usable("v") & F.col("id").isNotNull()))
-    heads, lists = index(pick(vectors), list_rows)
+    heads, lists = index(pick(vectors), list_rows, k)
     out = "query_id long, vec_id long, score double"
     if heads is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # at most MAX_CENTRES rows each; an id is counted in one list, however many vectors it has
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    # at most MAX_CENTRES rows; an id is counted in one list, however many vectors it has
     firsts = (lists.where("first").groupBy("id").agg(F.min("list").alias("list"))
               .groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow())
-    rows, own = (np.zeros(len(heads.centres), np.int64) for _ in range(2))
-    rows[sizes["list"].to_numpy()] = sizes["n"].to_numpy()
+    own = np.zeros(len(heads.centres), np.int64)
     own[firsts["list"].to_numpy()] = firsts["n"].to_numpy()
-    shards = np.maximum(1, -(-rows // SHARD_ROWS))
-    shared = Shared(spark, (heads, own, shards))
+    shared = Shared(spark, (heads, own))
 
     def route(batches):
-        heads, own, shards = shared.value
+        heads, own = shared.value
         for b in batches:
-            row, to, shard = [], [], []
-            for i, q in enumerate(_matrix(b.column(1))):
-                for x in heads.search(q, own, k + 1):
-                    n = int(shards[x])
-                    row += [i] * n
-                    to += [x] * n
-                    shard += range(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int32()), pa.array(shard, pa.int32()),
-                 b.column(0).take(pa.array(row, pa.int64())),
-                 b.column(1).take(pa.array(row, pa.int64()))],
-                names=["list", "shard", "query_id", "v"])
+            found = [heads.search(q, own, k + 1) for q in _matrix(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *b.columns],
+                                             names=["lists", "query_id", "v"])
 
     source = pick(queries).select(F.col("id").alias("query_id"), "v")
-    routed = source.mapInArrow(route, T.StructType([
-        T.StructField("list", T.IntegerType()), T.StructField("shard", T.IntegerType()),
-        *source.schema.fields]))
-    per_list = F.array(*[F.lit(int(x)) for x in shards]) if shards.max() > 1 else None
-    count = F.lit(1) if per_list is None else F.element_at(per_list, F.col("list") + 1)
-    posted = lists.select("list", F.pmod(F.xxhash64("id"), count).cast("int").alias("shard"), "id", "v")
-    found = (posted.groupBy("list", "shard").cogroup(routed.groupBy("list", "shard"))
-             .applyInArrow(_nearest(k), out))
+    routes = cut(source.mapInArrow(route, T.StructType([
+        T.StructField("lists", T.ArrayType(T.LongType())), *source.schema.fields])), "query-lists")
+    routed = routes.select(F.explode("lists").alias("list"), "query_id", "v")
+    lists, routed = split(lists, routed, list_rows, k + 1)
+    # long lists in shards, a list's queries in blocks: every block meets every shard
+    asked = routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
+    plan = cut(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards"))
+               .join(asked, "list"), "list-plan")
+    number = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    each = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    posted = lists.join(plan, "list").select("list", number("id", "shards").alias("shard"),
+                                             each("blocks").alias("block"), "id", "v")
+    sent = routed.join(plan, "list").select("list", number("query_id", "blocks").alias("block"),
+                                            each("shards").alias("shard"), "query_id", "v")
+    at = ["list", "shard", "block"]
+    found = posted.groupBy(*at).cogroup(sent.groupBy(*at)).applyInArrow(_nearest(k), out)
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

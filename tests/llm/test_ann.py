@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftpool.llm import ann
@@ -125,3 +126,44 @@ def test_query_recall(spark):
     hits = [len(set(g.vec_id) & {i for i, _ in brute(x, ids, int(np.flatnonzero(ids == q)[0]))}) / 10
             for q, g in got.groupby("query_id")]
     assert len(hits) == (ids % 100 == 0).sum() and np.mean(hits) >= 0.9
+
+
+def test_long_lists_are_split_level_by_level(spark, monkeypatch):
+    """Few top centres: their lists are split twice over; recall and distances hold."""
+    for name, value in (("MAX_CENTRES", 4), ("SPLIT_ROWS", 300), ("SPLIT_PARTS", 4), ("QUERY_BLOCK", 7),
+                        ("SHARD_ROWS", 100)):
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(60, 16))[r.integers(0, 60, 4000)] * 2 + r.normal(size=(4000, 16))
+    assert recall(spark, x) >= 0.9
+
+
+def test_lists_that_cannot_be_split(spark, monkeypatch):
+    """Vectors that hardly differ: one centre, a list in shards, its queries in blocks."""
+    for name, value in (("SPLIT_ROWS", 50), ("QUERY_BLOCK", 3), ("SHARD_ROWS", 40)):
+        monkeypatch.setattr(ann, name, value)
+    x = np.full((400, 4), 1.0)
+    x[:, 0] += np.arange(400) % 7 * 1e-3
+    assert recall(spark, x) >= 0.9
+
+
+def test_copies_keep_the_smallest_ids(spark):
+    r = np.random.default_rng(13)
+    rows = [(int(i), [float(i % 5), 1.0]) for i in r.permutation(500)] + [(1000 + i, [9.0 + i, 2.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = ann.without_copies(df, 3).collect()
+    assert sorted(x.id for x in got) == [*range(15), *range(1000, 1005)]
+    assert ann.without_copies(df, 100) is df
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e4, 1e6])
+def test_far_from_the_origin(offset):
+    """Rounding of large norms loses no neighbour."""
+    r = np.random.default_rng(17)
+    x = r.normal(size=(3000, 32)) * 0.01 + offset
+    rows = pa.table({"id": pa.array(range(3000), pa.int64()), "v": pa.array(list(x), pa.list_(pa.float64()))})
+    asked = rows.slice(0, 40).rename_columns(["query_id", "v"])
+    got = ann._nearest(10)(rows, asked).to_pandas()
+    for q, found in got.groupby("query_id"):
+        assert [i for i, _ in brute(x, np.arange(3000), q)] == found.sort_values(
+            ["score", "vec_id"]).vec_id.tolist()
