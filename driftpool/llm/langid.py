@@ -14,7 +14,7 @@ by row in Arrow batches, whole, without a shuffle.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,28 +32,48 @@ UNKNOWN = "und"
 NGRAM, HASHES, SLOTS = 5, 3, 1 << 20
 #: bound of the fitting sample: rows per language with the smallest hashed ids
 FIT_ROWS = 500
-#: an n-gram enters a language's filter if so many of its sample texts hold it
-MIN_TEXTS = 2
+#: an n-gram enters a language's filter if so many of its sample texts hold it, one
+#: where the sample has fewer than FEW_TEXTS
+MIN_TEXTS, FEW_TEXTS = 2, 10
 #: the pipeline rejects texts of which fewer n-grams are known to their language
 MIN_SCORE = 0.2
 CHUNK = 1 << 20
 MAX_BROADCAST_LANGS = 100_000
 
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is no letter reads as a space
 SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def grams(text: str) -> np.ndarray:
-    """The text's n-grams of bytes, repeats included, as integers: lower case,
-    runs of non-letters read as one space, a space at either end."""
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode category L; digits, superscripts,
+    fractions and number forms are none)."""
+    return any(map(str.isalpha, text or ""))
+
+
+def gram_chunks(text: str) -> Iterator[np.ndarray]:
+    """The text's n-grams of bytes, repeats included, as integers, ``CHUNK`` at a time:
+    lower case, runs of non-letters read as one space, a space at either end."""
     flat = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(SPACED).split()) + b" "
-    raw = np.frombuffer(flat.ljust(NGRAM), np.uint8).astype(np.uint64)
-    n = len(raw) - NGRAM + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(NGRAM):
-        out |= raw[i:i + n] << np.uint64(8 * i)
+    raw = np.frombuffer(flat.ljust(NGRAM), np.uint8)
+    for at in range(0, len(raw) - NGRAM + 1, CHUNK):
+        part = raw[at:at + CHUNK + NGRAM - 1].astype(np.uint64)
+        n = len(part) - NGRAM + 1
+        out = np.zeros(n, np.uint64)
+        for i in range(NGRAM):
+            out |= part[i:i + n] << np.uint64(8 * i)
+        yield out
+
+
+def grams(text: str) -> np.ndarray:
+    """All of a text's n-grams."""
+    return np.concatenate(list(gram_chunks(text)))
+
+
+def distinct_grams(text: str) -> np.ndarray:
+    out = np.zeros(0, np.uint64)
+    for part in gram_chunks(text):
+        out = np.union1d(out, part)
     return out
 
 
@@ -85,9 +105,9 @@ class Filter:
     def shares(self, text: str) -> np.ndarray:
         """Per language, the share of the text's n-grams that it contains, less
         what false positives explain."""
-        codes, hits = grams(text), np.zeros(len(self.langs), np.int64)
-        for at in range(0, len(codes), CHUNK):
-            part = codes[at:at + CHUNK]
+        n, hits = 0, np.zeros(len(self.langs), np.int64)
+        for part in gram_chunks(text):
+            n += len(part)
             slots = [_slots(part, k) for k in range(HASHES)]
             for plane in range(len(self.masks)):
                 found = self.masks[plane][slots[0]]
@@ -95,10 +115,10 @@ class Filter:
                     found = found & self.masks[plane][s]
                 for bit in range(min(64, len(self.langs) - plane * 64)):
                     hits[plane * 64 + bit] += np.count_nonzero(found & np.uint64(1 << bit))
-        return np.clip((hits / len(codes) - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
+        return np.clip((hits / n - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or LETTER.search(text) is None:
+        if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         shares = self.shares(text)
         best = int(np.argmax(shares))  # ties: the language more frequent in the sample
@@ -108,8 +128,8 @@ class Filter:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         rows_per_lang: int = FIT_ROWS) -> Filter:
     """The filter of a bounded sample: of each non-null language the
-    ``rows_per_lang`` rows with the smallest hashed ids (ties: smaller id). Rows
-    with null text or language are not used. Runs jobs; what reaches the driver is
+    ``rows_per_lang`` rows with the smallest hashed ids (ties: smaller id), a single
+    one if there are no more. Rows with null text or language are not used. Runs jobs; what reaches the driver is
     bounded by the sample."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                       F.col(f"`{lang_col}`").alias("lang")).where(
@@ -123,12 +143,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     pick = Window.partitionBy("lang").orderBy("u", "id")
     ids = cut(few.withColumn("n", F.row_number().over(pick))
               .where(F.col("n") <= rows_per_lang).select("id", "lang").distinct(), "fit-rows")
-    langs = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    langs, full = [r.lang for r in counts], sum(r["count"] >= FEW_TEXTS for r in counts)
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
         for b in batches:
-            codes = [np.unique(grams(t)) for t in b.column(0).to_pylist()]
+            codes = [distinct_grams(t) for t in b.column(0).to_pylist()]
             if codes:
                 at = [np.full(len(c), place[x], np.int32)
                       for c, x in zip(codes, b.column(1).to_pylist())]
@@ -138,7 +159,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rows = src.join(F.broadcast(ids), ["id", "lang"]).select("text", "lang")
     found = (rows.mapInArrow(run, "code long, lang int").groupBy("lang", "code")
-             .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS)
+             .agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= F.when(F.col("lang") < full, MIN_TEXTS).otherwise(1))
              .select("lang", "code").toArrow())
     return Filter.build(langs, found["code"].to_numpy().view(np.uint64), found["lang"].to_numpy())
 

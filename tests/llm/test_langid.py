@@ -69,3 +69,28 @@ def test_query_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = got.join(truth, "doc_id").where("held_out and lang_pred <> 'und'")
     assert rows.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.99
+
+
+def test_what_is_no_letter(spark):
+    learned = langid.fit(training(spark))
+    for text in ("²³ ½", "Ⅷ", "٣ 3", "_", "123", "", None):
+        assert learned.predict(text) == ("und", 0.0)
+    assert learned.predict("ª")[0] != "und" and learned.predict("中")[0] != "und"
+
+
+def test_a_language_of_one_row(spark):
+    rows = training(spark, 20).collect()
+    rare = "egy gyors barna róka átugrik a lusta kutya fölött"
+    df = docs(spark, [(r.doc_id, r.text, r.lang, "a") for r in rows] + [(9999, rare, "hu", "a")])
+    learned = langid.fit(df)
+    assert learned.langs[-1] == "hu" and learned.predict(rare) == ("hu", learned.predict(rare)[1])
+    assert learned.predict(rare)[1] > 0.9 and learned.predict(TEXTS["de"])[0] == "de"
+
+
+def test_chunks_of_a_long_text_change_nothing(monkeypatch):
+    text = " ".join(f"word{i % 37}é" for i in range(500))
+    whole, some = langid.grams(text), langid.distinct_grams(text)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    assert np.array_equal(langid.grams(text), whole)
+    assert np.array_equal(langid.distinct_grams(text), some) and np.array_equal(some, np.unique(whole))
+    assert len(langid.grams("")) == 1 and len(langid.grams("a")) == 1
