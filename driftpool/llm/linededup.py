@@ -65,7 +65,7 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float,
 def drop_boilerplate(df: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO,
                      min_pages: int = MIN_PAGES) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text_col``, and columns n_lines
-    and n_dropped (a column of either name is replaced).
+    and n_dropped (a column of either name, in any case, is replaced).
 
     A line is compared without blanks at its ends; it is boilerplate in a host if
     more than ``ratio`` of the host's pages, and at least ``min_pages``, hold it
@@ -92,7 +92,7 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str = "text", ratio
     n_dropped = F.when(F.col("__stay").isNull(), 0).otherwise(F.size(lines) - F.size("__stay"))
     kept = F.when(F.col("__stay").isNull(), text).otherwise(F.array_join("__stay", "\n"))
     own = [kept.alias(c) if c == text_col else F.col(f"`{c}`")
-           for c in df.columns if c not in ("n_lines", "n_dropped")]
+           for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
     return rows.select(*own, n_lines.cast("long").alias("n_lines"),
                        n_dropped.cast("long").alias("n_dropped"))
 

@@ -76,3 +76,10 @@ def test_query_drops_lines_at_the_oracle_size(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert compare(linededup.query(spark, sf).toPandas(), duck(sf).sql(linededup.ORACLE_SQL).df()) is None
+
+
+def test_names_that_clash_in_another_case(spark):
+    df = spark.createDataFrame([("s", "a\nb", 1, "x")] * 4, "source string, text string, N_LINES int, N_Dropped string")
+    out = linededup.drop_boilerplate(df, "source")
+    assert out.columns == ["source", "text", "n_lines", "n_dropped"]
+    assert {tuple(r) for r in out.collect()} == {("s", "", 2, 2)}
