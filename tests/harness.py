@@ -42,6 +42,11 @@ def _canon(v):
     return repr(v)
 
 
+def rows_of(df) -> pd.DataFrame:
+    """A Spark result as objects: integers stay integers beside nulls."""
+    return pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
+
+
 def canon_rows(pdf: pd.DataFrame) -> list[tuple]:
     cols = sorted(pdf.columns)
     pdf = pdf[cols].astype(object).where(pd.notna(pdf[cols]), None) if len(pdf) else pdf[cols]

@@ -54,9 +54,9 @@ def test_search_trials_and_cv(spark):
 
     d = models.as_features(day_table(spark, SF001), "v")
     d = d.withColumn("fold", F.pmod(F.hash("day"), F.lit(3)))
-    t = models.param_search(d, "fold", "rf", n_trials=2, seed=7, stable_key="day").collect()
+    t = models.param_search(d, "fold", n_trials=2, seed=7, stable_key="day").collect()
     assert len(t) == 2 and sum(r.is_best for r in t) == 1
-    again = models.param_search(d, "fold", "rf", n_trials=2, seed=7, stable_key="day").collect()
+    again = models.param_search(d, "fold", n_trials=2, seed=7, stable_key="day").collect()
     assert [r.mean_score for r in t] == [r.mean_score for r in again]
 
 

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from tests.conftest import SF01
-from tests.harness import compare
+from tests.harness import compare, rows_of
 
 ORACLES = entry_mod.oracle_sql()
 QUERIES = entry_mod.queries()
@@ -16,7 +16,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_duckdb(spark, duck01, key):
-    got = QUERIES[key](spark, SF01).toPandas()
+    got = rows_of(QUERIES[key](spark, SF01))
     want = duck01.execute(ORACLES[key]).df()
     diff = compare(got, want)
     assert diff is None, f"{key}: {diff}"
