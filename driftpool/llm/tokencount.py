@@ -9,15 +9,16 @@ where the vocabulary lacks the character). Counts of all prefixes come from one
 walk, and answer length, budget and truncation questions without encoding again.
 
 No piece has a space behind another character, so texts fall into units (spaces
-and the word after them) that encode independently; what a unit ends
-with is remembered across texts, within a bound. Texts are counted row by row in Arrow
+and the word after them) that encode independently; the counts of a unit's prefixes are
+stored and remembered across texts, within a bound, and a text's totals, limits and
+prefixes are read off them. Texts are counted row by row in Arrow
 batches, whole, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -58,7 +59,7 @@ class PrefixCounter:
         self.names = ["", *plain]
         self._automaton(plain)
         self.agree: dict[int, bool] = {}
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
 
     def _automaton(self, pieces: list[str]) -> None:
         """All pieces that end at a character, by one step a character: children and
@@ -124,49 +125,46 @@ class PrefixCounter:
                 states.append((states[-1] >> ID_BITS) + size << ID_BITS)
         return states
 
-    def _unit(self, unit: str) -> int:
-        """Tokens of a whole unit, remembered."""
-        tokens = self._states(unit)[-1] >> ID_BITS
+    def _unit(self, unit: str) -> bytes | list[int]:
+        """Tokens of every prefix of a unit, from one character on; remembered (a short
+        unit's counts fit in bytes: a character has four bytes at most)."""
+        counts = [x >> ID_BITS for x in self._states(unit)[1:]]
         if len(unit) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[unit] = tokens
-        return tokens
+            self.known[unit] = counts = bytes(counts)
+        return counts
 
-    def unit_prefixes(self, unit: str) -> list[int]:
-        """Tokens of every prefix of a unit, from one character on."""
-        return [x >> ID_BITS for x in self._states(unit)[1:]]
-
-    def units(self, text: str | None) -> tuple[list[str], list[int]]:
-        """The units of a text and the tokens up to the end of each."""
+    def units(self, text: str | None) -> tuple[list[bytes | list[int]], list[int]]:
+        """The units of a text, each as the tokens of its prefixes, and the tokens up
+        to the end of each: the exact count of every prefix of the text."""
         if not text:
             return [], []
-        units, known = UNIT.findall(" " + text.replace("▁", " ")), self.known
-        counts = []
-        for u in units:
+        known, parts = self.known, []
+        for u in UNIT.findall(" " + text.replace("▁", " ")):
             got = known.get(u)
-            counts.append(self._unit(u) if got is None else got)
-        return units, list(accumulate(counts))
+            parts.append(self._unit(u) if got is None else got)
+        return parts, list(accumulate([x[-1] for x in parts]))
 
     def prefixes(self, text: str | None) -> np.ndarray:
         """Tokens of ``text[:i]`` for every i from 0 to its length."""
-        units, totals = self.units(text)
+        parts, totals = self.units(text)
         out = [np.zeros(1, np.int64)]
-        for u, before in zip(units, [0, *totals]):
-            out.append(np.array(self.unit_prefixes(u)) + before)
+        for part, before in zip(parts, [0, *totals]):
+            out.append(np.array(list(part), np.int64) + before)
         counts = np.concatenate(out)
         # the first position of the walk is the space put before the text
         return np.concatenate(([0], counts[2:])) if len(counts) > 1 else counts
 
-    def within(self, units: list[str], totals: list[int], limit: int) -> int:
+    def within(self, parts: list[bytes | list[int]], totals: list[int], limit: int) -> int:
         """Length in code points of the text's longest prefix of at most ``limit``
-        tokens. Beyond a unit that ends above the limit every prefix is longer."""
-        size = -1  # the space put before the text
-        for u, before, total in zip(units, [0, *totals], totals):
-            if total > limit:
-                fits = [i + 1 for i, n in enumerate(self.unit_prefixes(u)) if before + n <= limit]
-                return max(0, size + (fits[-1] if fits else 0))
-            size += len(u)
+        tokens, read off the stored counts. Beyond a unit that ends above the limit
+        every prefix is longer."""
+        at = bisect_right(totals, limit)
+        size = sum(map(len, parts[:at])) - 1  # the space put before the text
+        if at < len(parts):
+            before = totals[at - 1] if at else 0
+            size += max((i + 1 for i, n in enumerate(parts[at]) if before + n <= limit), default=0)
         return max(0, size)
 
 
@@ -195,10 +193,10 @@ def count_tokens(df: DataFrame, text_col: str = "text", limit: int = LIMIT,
             n, fits, stored = [], [], []
             for t in texts:
                 text = t.as_py()
-                units, totals = counter.units(text)
+                parts, totals = counter.units(text)
                 n.append(totals[-1] if totals else 0)
                 fits.append(len(text or "") if n[-1] <= limit
-                            else counter.within(units, totals, limit))
+                            else counter.within(parts, totals, limit))
                 if store_prefixes:
                     stored.append(counter.prefixes(text).astype(np.int32))
             out = [pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()),

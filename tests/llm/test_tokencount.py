@@ -68,3 +68,14 @@ def test_query_equals_the_library(spark, library):
     for r in tokencount.query(spark, sf).collect():
         assert r.n_tokens == len(library.encode(texts[r.doc_id]))
         assert r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 4096)
+
+
+def test_limits_are_read_off_the_stored_counts(counter, library, monkeypatch):
+    """Once a text's units are counted, no prefix question walks or encodes anything."""
+    text = words(3, 200) + " " + "x" * 100 + " é 日本"
+    parts, totals = counter.units(text)
+    assert sum(map(len, parts)) == len(text) + 1 and totals[-1] == len(library.encode(text))
+    monkeypatch.setattr(counter, "_states", None)
+    want = [len(library.encode(text[:i])) for i in range(0, len(text) + 1)]
+    for limit in (0, 1, 17, 100, want[-1] - 1, want[-1], 10**6):
+        assert counter.within(parts, totals, limit) == max(i for i, n in enumerate(want) if n <= limit)
