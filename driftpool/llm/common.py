@@ -28,7 +28,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     in files that outlive any executor. Runs a job."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of tables that ``cut`` wrote, once nothing that is still to run
+    reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Shared:

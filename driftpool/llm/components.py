@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftpool.llm.common import cut
+from driftpool.llm.common import cut, forget
 
 
-def _with_min(pairs: DataFrame, name: str) -> DataFrame:
-    """``pairs`` (u, v) with m, the smallest of u and its partners. The minima
-    are combined on the map side and written, so that both sides of the join
-    are plain shuffles, which adaptive execution may split at a hot u."""
+def _with_min(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (u, v) with m, the smallest of u and its partners, and the written
+    minima. These are combined on the map side and written, so that both sides of the
+    join are plain shuffles, which adaptive execution may split at a hot u."""
     low = cut(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
-    return pairs.join(low.hint("merge"), "u")
+    return pairs.join(low.hint("merge"), "u"), low
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,13 +30,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (_with_min(both, "large").where("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = cut(large, "large-star")
-        small = _with_min(large, "small")
+        starred, first = _with_min(both, "large")
+        large = cut(starred.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+                    "large-star")
+        small, second = _with_min(large, "small")
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .union(small.select("u", F.col("m").alias("v"))).distinct())
-        e = cut(small, "small-star")
+        e, old = cut(small, "small-star"), e
+        forget(old, first, large, second)  # a round reads its predecessor's edges alone
         # order-free digest of the edge set; equal in two rounds: nothing moved
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
                     F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
