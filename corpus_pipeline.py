@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftpool.llm import decontam, langid, linededup, mixing, simhash
-from driftpool.llm.common import cut, held_out, table
+from driftpool.llm.common import cut, forget, held_out, table
 
 #: no SQL for n-gram filters, SimHash and alignment: tests hold the stages against brute force
 ORACLE_SQL = None
@@ -59,7 +59,10 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
