@@ -8,12 +8,15 @@ import os
 from pyspark.sql import functions as F
 
 from driftpool import fixtures as fx
+from driftpool.functions.vectors import explode_elements
 from driftpool.plans.oracle import sql
+from driftpool.plans.q_slice import MEAN_SQL, R
 from driftpool.plans.registry import register
 from driftpool.session import shared_path
 from driftpool.streaming import streams
 
 N_FILES = 4
+REPLAY_BEFORE = "1995-03-01"  # rows of the first months are sent again
 
 
 def _feed(spark, df, name, day_col):
@@ -35,7 +38,7 @@ def q_stream_intake(spark, sf_dir):
     target, ckpt = os.path.join(base, "table"), os.path.join(base, "ckpt")
     streams.stream_intake(spark, src, schema, target, ckpt).awaitTermination()
     # a replayed file (same rows again) arrives later: nothing new lands
-    (spark.read.parquet(src).where(F.col("_d") < F.lit("1995-03-01").cast("date"))
+    (spark.read.parquet(src).where(F.col("_d") < F.lit(REPLAY_BEFORE).cast("date"))
      .write.mode("append").parquet(src))
     streams.stream_intake(spark, src, schema, target, ckpt).awaitTermination()
     return streams.read_intake(spark, target, schema).select("channel_id", "message_id", "date", "text")
@@ -61,6 +64,41 @@ def q_stream_daily_pool(spark, sf_dir):
     return streams.read_batches(spark, out).select("series", "day", "n_items")
 
 
+def _run_pool(spark, sf_dir):
+    """(source folder, its schema, sink, checkpoint) of the pool stream, run over the feed."""
+    src, schema = _vec_stream(spark, sf_dir)
+    base = shared_path(spark, "daily-pool")
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    streams.stream_daily_pool(spark, src, schema, out, ckpt).awaitTermination()
+    return src, schema, out, ckpt
+
+
+@register("stream_daily_pool_vectors", sql(f"""
+SELECT series, day, n_items, i, round(x, {R}) AS x FROM ({MEAN_SQL})
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM vecs)""", "vecs"), dates="day")
+def q_stream_daily_pool_vectors(spark, sf_dir):
+    """Every element of the closed days' mean vectors."""
+    _, _, out, _ = _run_pool(spark, sf_dir)
+    return explode_elements(streams.read_batches(spark, out), ["series", "day", "n_items"])
+
+
+@register("stream_pool_accounting", sql(f"""
+SELECT series, day, n * (1 + again) AS n_source, CASE WHEN closed THEN n ELSE 0 END AS n_pooled,
+       CASE WHEN closed THEN n * again ELSE 0 END AS n_late,
+       CASE WHEN closed THEN 0 ELSE n * (1 + again) END AS n_open, 0 AS n_undated
+FROM (SELECT series, day, count(*) AS n, CAST(day < DATE '{REPLAY_BEFORE}' AS INTEGER) AS again,
+             CAST(day AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM vecs) AS closed
+      FROM vecs GROUP BY series, day)""", "vecs"), dates="day")
+def q_stream_pool_accounting(spark, sf_dir):
+    """Rows read, pooled, late and still open per day, after the rows of the first
+    months came again behind the watermark."""
+    src, schema, out, ckpt = _run_pool(spark, sf_dir)
+    (spark.read.schema(schema).parquet(src).where(F.col("day") < F.lit(REPLAY_BEFORE).cast("date"))
+     .write.mode("append").parquet(src))
+    streams.stream_daily_pool(spark, src, schema, out, ckpt).awaitTermination()
+    return streams.pool_accounting(spark.read.schema(schema).parquet(src), streams.read_batches(spark, out))
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     """Each closed day scored by the direction forest."""

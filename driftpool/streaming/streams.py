@@ -192,6 +192,37 @@ def stream_score(spark: SparkSession, source: str, schema, model, out: str, chec
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def pool_accounting(source: DataFrame, pooled: DataFrame, delay: str = "1 day", keys=("series",),
+                    ts: str = "ts") -> DataFrame:
+    """What became of the rows a pool or score stream (T02, T03) has read: per key and
+    UTC day ``n_source`` = ``n_pooled`` + ``n_late`` + ``n_open`` + ``n_undated``.
+
+    ``source`` is the stream's folder read as a table once the stream has run,
+    ``pooled`` its sink (``read_batches``). A day is closed when the watermark
+    (``delay`` behind the newest row) has passed its end: rows of it that no pool
+    holds came late and were dropped (``n_late``). Days not closed yet wait in the
+    state (``n_open``). Rows without a time belong to no day (``n_undated``). NULL
+    keys are a group; with no rows there is nothing to account for.
+
+    Both sides are counted in one aggregation, combined map-side.
+    """
+    keys = list(keys)
+    zero = F.lit(0).cast("bigint")
+    read = source.select(*keys, utc_day(ntz_to_instant(ts)).alias("day"), F.lit(1).cast("bigint").alias("n_source"),
+                         zero.alias("n_pooled"))
+    held = pooled.select(*keys, "day", zero.alias("n_source"), F.col("n_items").alias("n_pooled"))
+    days = read.unionByName(held).groupBy(*keys, "day").agg(
+        F.sum("n_source").alias("n_source"), F.sum("n_pooled").alias("n_pooled"))
+    watermark = source.select(F.max(ntz_to_instant(ts)) - F.expr(f"interval '{delay}'")).scalar()
+    day_end = F.timestamp_micros((F.unix_date("day").cast("bigint") + 1) * MICROS_PER_DAY)
+    closed = day_end <= watermark
+    return days.select(
+        *keys, "day", "n_source", "n_pooled",
+        F.when(closed, F.col("n_source") - F.col("n_pooled")).otherwise(zero).alias("n_late"),
+        F.when(~closed, F.col("n_source")).otherwise(zero).alias("n_open"),
+        F.when(F.col("day").isNull(), F.col("n_source")).otherwise(zero).alias("n_undated"))
+
+
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
     """The sink table without its batch-id folder column."""
     return spark.read.parquet(out).drop("batch_id")
