@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftpool import fixtures as fx
-from driftpool.operators import enrich, joins
+from driftpool.functions.clean import clean_text
+from driftpool.operators import enrich, joins, lexicon
 from driftpool.plans.oracle import sql
 from driftpool.plans.q_clean import WS
 from driftpool.plans.registry import register
@@ -142,3 +143,87 @@ SELECT label, count(*) AS n FROM (
 GROUP BY label""", "news", extra=[("hits_t", _SENT)]))
 def q_sentiment_distribution(spark, sf_dir):
     return enrich.label_counts(enrich.score_sentiment(fx.news(spark, sf_dir), parts=_parts(spark)))
+
+
+_LEXICON = [
+    ("lab", f"""SELECT CAST(quality AS BIGINT) AS y, list_distinct(regexp_extract_all(lower(text), {TOKEN})) AS words
+                FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IN (0, 1)"""),
+    ("tot", "SELECT sum(y) + 0.0 AS p, count(*) - sum(y) + 0.0 AS m FROM lab"),
+    ("seen", """SELECT word, sum(y) AS n_pos, sum(1 - y) AS n_neg FROM (SELECT y, unnest(words) AS word FROM lab)
+                GROUP BY word HAVING count(*) >= 5"""),
+    ("lex", """SELECT word, n_pos, n_neg,
+                      (ln((n_pos + 0.5) / (p - n_pos + 0.5)) - ln((n_neg + 0.5) / (m - n_neg + 0.5)))
+                      / sqrt(1 / (n_pos + 0.5) + 1 / (p - n_pos + 0.5) + 1 / (n_neg + 0.5) + 1 / (m - n_neg + 0.5)) AS z
+               FROM seen, tot"""),
+    ("learned", """SELECT word, CASE WHEN z > 0 THEN 1 ELSE -1 END AS polarity, z, CAST(n_pos AS BIGINT) AS n_pos,
+                          CAST(n_neg AS BIGINT) AS n_neg FROM lex WHERE abs(z) >= 3.0"""),
+]
+
+
+def _learned_lexicon(spark, sf_dir):
+    labels = fx.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexicon.learn_lexicon(docs.join(labels, "doc_id"), label="quality")
+
+
+@register("learn_lexicon", sql(f"""
+SELECT word, polarity, round(z, {R}) AS z, n_pos, n_neg FROM learned""", extra=_LEXICON))
+def q_learn_lexicon(spark, sf_dir):
+    """The words that tell good documents from bad ones."""
+    return _learned_lexicon(spark, sf_dir).withColumn("z", F.round("z", R))
+
+
+@register("score_sentiment_learned", sql(f"""
+SELECT message_id, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS label,
+       CASE WHEN h > 0 THEN round(abs(s) / h, {R}) ELSE 0.0 END AS score
+FROM news LEFT JOIN (
+  SELECT message_id, sum(polarity) AS s, count(*) AS h
+  FROM (SELECT message_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS word FROM news)
+  JOIN learned USING (word) GROUP BY message_id) USING (message_id)""", "news", extra=_LEXICON))
+def q_score_sentiment_learned(spark, sf_dir):
+    """U03 with the learned lexicon, over every message."""
+    s = lexicon.score_with_lexicon(fx.news(spark, sf_dir), _learned_lexicon(spark, sf_dir))
+    return s.withColumn("score", F.round("score", R))
+
+
+_TRANSLATED = f"""
+SELECT channel_id, message_id, date, src,
+       list_transform(src, lambda t: coalesce({_duck_map(enrich.EN_RU_WORDS)}[lower(t)], t)) AS text
+FROM (SELECT channel_id, message_id, date,
+             string_split_regex(trim(coalesce(text, ''), {WS}), '[ \\t\\n\\x0B\\f\\r]+') AS src FROM news_done)"""
+_DICTIONARY = [
+    ("pairs", _TRANSLATED),
+    ("counts", """SELECT lower(a) AS word, CASE WHEN a <> b THEN b END AS translation, count(*) AS n
+                  FROM (SELECT unnest(src) AS a, unnest(text) AS b FROM pairs) WHERE a <> '' GROUP BY ALL"""),
+    ("learned", """SELECT word, translation, n FROM counts
+                   QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, translation NULLS FIRST) = 1"""),
+]
+
+
+def _learned_dictionary(spark, sf_dir):
+    done = fx.news_done(spark, sf_dir)
+    pairs = done.select(F.col("text").alias("src"),
+                        enrich.dictionary_translate(clean_text("text")).alias("text"))
+    return lexicon.learn_dictionary(pairs)
+
+
+@register("learn_dictionary", sql("""
+SELECT word, translation, n FROM learned WHERE translation IS NOT NULL""", "news_done", extra=_DICTIONARY))
+def q_learn_dictionary(spark, sf_dir):
+    """The word translations that the messages translated so far show."""
+    return _learned_dictionary(spark, sf_dir)
+
+
+@register("translate_backlog_learned", sql(f"""
+SELECT channel_id, message_id, date, string_agg(coalesce(translation, w), ' ' ORDER BY pos) AS text
+FROM (SELECT channel_id, message_id, date, unnest(src) AS w, generate_subscripts(src, 1) AS pos
+      FROM (SELECT channel_id, message_id, date,
+                   string_split_regex(trim(coalesce(text, ''), {WS}), '[ \\t\\n\\x0B\\f\\r]+') AS src
+            FROM news n WHERE NOT EXISTS (SELECT 1 FROM news_done d WHERE d.channel_id = n.channel_id
+                                                                      AND d.message_id = n.message_id)))
+LEFT JOIN (SELECT word, translation FROM learned) ON word = lower(w)
+GROUP BY channel_id, message_id, date""", "news_done", extra=_DICTIONARY), timestamps="date")
+def q_translate_backlog_learned(spark, sf_dir):
+    """The whole backlog translated by the dictionary learned from what is done."""
+    backlog = joins.untranslated_backlog(fx.news(spark, sf_dir), fx.news_done(spark, sf_dir))
+    return lexicon.translate_with_dictionary(backlog, _learned_dictionary(spark, sf_dir))
