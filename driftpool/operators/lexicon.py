@@ -21,8 +21,9 @@ from driftpool.operators.joins import measured
 MAX_BROADCAST_WORDS = 200_000
 
 
-def learn_lexicon(labelled: DataFrame, text: str = "text", label: str = "label",
-                  min_texts: int = 5, min_z: float = 3.0) -> DataFrame:
+def learn_lexicon(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text",
+                  label: str = "label", min_texts: int = 5, min_z: float = 3.0,
+                  max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """Words that tell label 1 from label 0: (word, polarity 1 or -1, z, n_pos, n_neg).
 
     ``z`` is the log odds ratio of a word's texts under the two labels (half a text added
@@ -30,10 +31,20 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", label: str = "label",
     ``min_texts`` texts on if ``|z| >= min_z``. A text counts a word once, in lower case.
     Rows without a text or label, and labels other than 0 and 1, teach nothing; where
     only one label occurs, or no rows are, the table is empty.
+
+    The label is a column of ``docs``, or of ``labels`` (key, label), a text counting
+    once for each row of its key: measured, and broadcast up to ``max_broadcast`` rows, so
+    that texts stay where they are; beyond that the texts' distinct words are shuffled.
     """
-    docs = (labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1))
-            .select(F.col(label).cast("bigint").alias("_y"),
-                    F.array_distinct(tokens(F.lower(F.col(text)))).alias("_words")))
+    has_text = docs.where(F.col(text).isNotNull())
+    words = F.array_distinct(tokens(F.lower(F.col(text)))).alias("_words")
+    if labels is None:
+        docs = has_text.select(F.col(label).cast("bigint").alias("_y"), words)
+    else:
+        known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("bigint").alias("_y"))
+        docs = (has_text.select(F.col(key).alias("_k"), words).join(measured(known, max_broadcast), "_k")
+                .select("_y", "_words"))
+    docs = docs.where(F.col("_y").isin(0, 1))
     sizes = docs.agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("pos"), F.count(F.lit(1)).alias("all"))
     seen = (docs.select("_y", F.explode("_words").alias("word")).groupBy("word")
             .agg(F.sum("_y").alias("n_pos"), F.sum(1 - F.col("_y")).alias("n_neg")))
@@ -104,7 +115,7 @@ def _digested(docs: DataFrame, text: Column, keep: list[str], split) -> DataFram
     """(keep..., _digest, _pos, _word): the words of every text with their places; a text
     without words gives one row with neither."""
     rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
-    return (rows.select(*keep, F.sha2("_text", 256).alias("_digest"), split(F.col("_text")).alias("_words"))
+    return (rows.select(*keep, F.unhex(F.md5("_text")).alias("_digest"), split(F.col("_text")).alias("_words"))
             .select(*keep, "_digest", F.posexplode_outer("_words").alias("_pos", "_word")))
 
 

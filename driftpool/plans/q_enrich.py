@@ -163,7 +163,7 @@ _LEXICON = [
 def _learned_lexicon(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lexicon.learn_lexicon(docs.join(labels, "doc_id"), label="quality")
+    return lexicon.learn_lexicon(docs, labels, label="quality")
 
 
 @register("learn_lexicon", sql(f"""

@@ -33,6 +33,19 @@ def test_learned_words_equal_plain_counting(spark):
         assert (r.polarity, r.n_pos, r.n_neg) == (polarity, a, b) and r.z == pytest.approx(z)
 
 
+@pytest.mark.parametrize("most", [lexicon.MAX_BROADCAST_WORDS, 0])
+def test_labels_of_another_table(spark, most):
+    """Broadcast or merged, as if the label stood beside the text, once a label row."""
+    docs = spark.createDataFrame([(i, "good day" if i % 3 else "bad day") for i in range(30)] + [(None, "good")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(25)] + [(1, 1), (0, None), (3, 2), (None, 1)],
+                                   "doc_id long, label int")
+    one = docs.join(labels, "doc_id")
+    want = sorted(lexicon.learn_lexicon(one, min_z=0.5).collect())
+    got = sorted(lexicon.learn_lexicon(docs, labels, min_z=0.5, max_broadcast=most).collect())
+    assert got == want and {r.word for r in got} >= {"good", "bad"}
+
+
 @pytest.mark.parametrize("rows", [[], [("good good", 1)] * 9, [(None, 0), (None, 1)]])
 def test_nothing_to_learn(spark, rows):
     assert lexicon.learn_lexicon(labelled(spark, rows), min_texts=1, min_z=0.0).count() == 0
