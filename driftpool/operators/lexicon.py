@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftpool.functions.clean import clean_text
-from driftpool.operators.enrich import WORD_SPLIT, tokens
+from driftpool.operators.enrich import WORD_SPLIT, _let, tokens
 from driftpool.operators.joins import measured
 
 #: words that are broadcast at most (some 50 bytes each)
@@ -69,7 +69,8 @@ def score_with_lexicon(docs: DataFrame, lexicon: DataFrame, text: str = "text",
              .join(measured(lexicon.select(F.col("word").alias("_word"), "polarity"), max_broadcast),
                    "_word", "left"))
     sums = words.groupBy(*keep, "_digest").agg(
-        F.coalesce(F.sum("polarity"), F.lit(0)).alias("_sum"), F.count("polarity").alias("_hits"), _copies())
+        F.coalesce(F.sum("polarity"), F.lit(0)).alias("_sum"), F.count("polarity").alias("_hits"),
+        F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies"))  # a row has one first word, or none
     label = (F.when(F.col("_sum") > 0, "positive").when(F.col("_sum") < 0, "negative").otherwise("neutral"))
     score = F.when(F.col("_hits") > 0, F.abs("_sum") / F.col("_hits")).otherwise(F.lit(0.0))
     return _per_copy(sums.select(*keep, label.alias("label"), score.alias("score"), "_copies"))
@@ -84,7 +85,7 @@ def learn_dictionary(pairs: DataFrame, source: str = "src", target: str = "text"
     teach nothing. Counted in two aggregations, both combined map-side, so a frequent
     word costs a row a task.
     """
-    split = lambda c: F.split(clean_text(c), WORD_SPLIT)
+    split = lambda c: _words(clean_text(c))
     texts = (pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull())
              .select(split(source).alias("a"), split(target).alias("b")).where(F.size("a") == F.size("b")))
     places = texts.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(
@@ -100,30 +101,47 @@ def translate_with_dictionary(backlog: DataFrame, dictionary: DataFrame, keep=("
                               text: str = "text", max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """U02 by a word table (word in lower case, translation): (keep..., text) for each
     row, every word of the whole cleaned text looked up, unknown words as they are, one
-    space between. A NULL or blank text becomes ''. One shuffle of the texts' words;
-    a text's words are one row again, as before."""
+    space between. A NULL or blank text becomes ''. A word must be in the table once; a
+    NULL translation is none. Texts are shuffled once, and of their words the known ones
+    alone, which are put into their places by runs: cost in proportion to the text."""
     keep = list(keep)
-    table = measured(dictionary.select(F.col("word").alias("_lower"), "translation"), max_broadcast)
-    words = (_digested(backlog, clean_text(text), keep, lambda c: F.split(c, WORD_SPLIT))
-             .withColumn("_lower", F.lower("_word")).join(table, "_lower", "left"))
-    placed = F.struct("_pos", F.coalesce("translation", "_word").alias("w"))
-    texts = words.groupBy(*keep, "_digest").agg(F.array_sort(F.collect_set(placed)).alias("_placed"), _copies())
-    return _per_copy(texts.select(*keep, F.array_join(F.col("_placed.w"), " ").alias("text"), "_copies"))
+    table = measured(dictionary.where("translation IS NOT NULL")
+                     .select(F.col("word").alias("_lower"), "translation"), max_broadcast)
+    known = (_digested(backlog, clean_text(text), keep, _words).withColumn("_lower", F.lower("_word"))
+             .join(table, "_lower").select(*keep, "_digest", "_pos", "translation"))
+    whole = _with_digest(backlog, clean_text(text), keep).withColumn("_copy", F.lit(1))
+    texts = whole.unionByName(known, allowMissingColumns=True).groupBy(*keep, "_digest").agg(
+        F.max("_text").alias("_text"), F.count("_copy").alias("_copies"),
+        F.array_sort(F.collect_set(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "translation")))).alias("_known"))
+    place = lambda k: F.coalesce(F.get("_known", k)["_pos"], F.lit(-1))
+
+    def replaced(words: Column) -> Column:
+        up_to = lambda x, k: F.concat(
+            F.slice(words, place(k - 1) + 2, x["_pos"] - place(k - 1) - 1), F.array(x.translation))
+        last = place(F.size("_known") - 1)
+        return F.array_join(F.concat(F.flatten(F.transform("_known", up_to)),
+                                     F.slice(words, last + 2, F.size(words) - last - 1)), " ")
+
+    return _per_copy(texts.select(*keep, _let(_words(F.col("_text")), replaced).alias("text"), "_copies"))
+
+
+def _words(text: Column) -> Column:
+    return F.split(text, WORD_SPLIT)
+
+
+def _with_digest(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """(keep..., _text, _digest); no text is an empty one."""
+    return (docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
+            .withColumn("_digest", F.unhex(F.md5("_text"))))
 
 
 def _digested(docs: DataFrame, text: Column, keep: list[str], split) -> DataFrame:
     """(keep..., _digest, _pos, _word): the words of every text with their places; a text
     without words gives one row with neither."""
-    rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
-    return (rows.select(*keep, F.unhex(F.md5("_text")).alias("_digest"), split(F.col("_text")).alias("_words"))
+    return (_with_digest(docs, text, keep).select(*keep, "_digest", split(F.col("_text")).alias("_words"))
             .select(*keep, "_digest", F.posexplode_outer("_words").alias("_pos", "_word")))
 
 
-def _copies() -> Column:
-    """Equal rows of a group: each has one first word, or none at all."""
-    return F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies")
-
-
 def _per_copy(groups: DataFrame) -> DataFrame:
     """One row for each copy again."""
     out = [c for c in groups.columns if c != "_copies"]

@@ -200,18 +200,24 @@ _DICTIONARY = [
 ]
 
 
-def _learned_dictionary(spark, sf_dir):
-    done = fx.news_done(spark, sf_dir)
-    pairs = done.select(F.col("text").alias("src"),
-                        enrich.dictionary_translate(clean_text("text")).alias("text"))
-    return lexicon.learn_dictionary(pairs)
+def _done_keys(spark, sf_dir):
+    """Keys of the messages translated so far, measured: few enough are broadcast, so
+    that texts stay where they are."""
+    return joins.measured(fx.news_done(spark, sf_dir).select("channel_id", "message_id"),
+                          lexicon.MAX_BROADCAST_WORDS)
+
+
+def _learned_dictionary(news, done_keys):
+    done = news.join(done_keys, ["channel_id", "message_id"], "left_semi")
+    return lexicon.learn_dictionary(done.select(F.col("text").alias("src"),
+                                                enrich.dictionary_translate(clean_text("text")).alias("text")))
 
 
 @register("learn_dictionary", sql("""
 SELECT word, translation, n FROM learned WHERE translation IS NOT NULL""", "news_done", extra=_DICTIONARY))
 def q_learn_dictionary(spark, sf_dir):
     """The word translations that the messages translated so far show."""
-    return _learned_dictionary(spark, sf_dir)
+    return _learned_dictionary(fx.news(spark, sf_dir), _done_keys(spark, sf_dir))
 
 
 @register("translate_backlog_learned", sql(f"""
@@ -225,5 +231,6 @@ LEFT JOIN (SELECT word, translation FROM learned) ON word = lower(w)
 GROUP BY channel_id, message_id, date""", "news_done", extra=_DICTIONARY), timestamps="date")
 def q_translate_backlog_learned(spark, sf_dir):
     """The whole backlog translated by the dictionary learned from what is done."""
-    backlog = joins.untranslated_backlog(fx.news(spark, sf_dir), fx.news_done(spark, sf_dir))
-    return lexicon.translate_with_dictionary(backlog, _learned_dictionary(spark, sf_dir))
+    news, done_keys = fx.news(spark, sf_dir), _done_keys(spark, sf_dir)
+    backlog = joins.untranslated_backlog(news, done_keys)
+    return lexicon.translate_with_dictionary(backlog, _learned_dictionary(news, done_keys))
