@@ -8,7 +8,10 @@ that distance. A query searches the centres along an in-memory graph of
 neighbours, best first, and reads the lists whose centre's distance is within
 ``PRUNE`` of the mean of the ``BASE`` nearest ones' (the nearest one alone may be
 the query's own, and close by chance); the vectors of those lists are compared
-exactly.
+exactly. How far the lists of a query's neighbours lie from it depends on the vectors,
+so ``PRUNE`` is a least ratio: a bounded sample of the queries is compared with every
+vector, and the ratio is widened until the lists read hold ``WANTED_RECALL`` of what
+that finds (levels of split lists likewise).
 
 The top centres (at most ``MAX_CENTRES``) and their graph are broadcast. A list of more
 than ``SPLIT_ROWS`` vectors is split in the same way, by centres of its own, which stay
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +51,9 @@ ROUNDS = 5
 #: within it, sampled vectors a part, and queries that are compared with a list at once
 SPLIT_ROWS, SPLIT_PARTS, SPLIT_REPLICAS, SPLIT_SAMPLE, QUERY_BLOCK = 2000, 256, 2, 16, 2000
 MAX_LEVELS = 8
+#: queries that are also compared with every vector, the share of what that finds that the
+#: lists read must hold, and the step by which the pruning ratio is widened until they do
+CHECKED, WANTED_RECALL, WIDEN = 256, 0.97, 1.3
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +112,7 @@ class Heads:
         row, place = np.nonzero(own <= own[:, :1] * (1.0 + BOUNDARY))
         return row, order[row, place], place == 0
 
-    def search(self, q: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
+    def search(self, q: np.ndarray, sizes: np.ndarray, wanted: int, prune: float = PRUNE) -> list[int]:
         """Lists to read for a query: best-first along the graph; all centres found
         within the pruning ratio, and further ones until the lists hold ``wanted``
         vectors (``sizes``, each vector counted in one list)."""
@@ -118,7 +125,7 @@ class Heads:
         least, held, found = sorted(look.tolist())[:BASE], 0, []
         while heap:
             d, node = heapq.heappop(heap)
-            if d > sum(least) / len(least) * (1.0 + PRUNE + SLACK) and held >= wanted:
+            if d > sum(least) / len(least) * (1.0 + prune + SLACK) and held >= wanted:
                 break
             found.append((d, node))
             held += int(sizes[node])
@@ -132,7 +139,7 @@ class Heads:
                     heapq.heappush(heap, x)
         out, held = [], 0
         for d, node in sorted(found):
-            if d > sum(least) / len(least) * (1.0 + PRUNE) and held >= wanted:
+            if d > sum(least) / len(least) * (1.0 + prune) and held >= wanted:
                 break
             out.append(node)
             held += int(sizes[node])
@@ -199,6 +206,47 @@ def _nearest(k: int):
     return run
 
 
+def true_neighbours(vectors: DataFrame, few: pa.Table, k: int) -> DataFrame:
+    """(query_id, id, tag): of the queries ``few`` (query_id, v), the k rows of
+    ``vectors`` (id, v, tag) nearest to each by comparing it with all of them; rows of its
+    own id are none."""
+    shared = Shared(vectors.sparkSession, (few["query_id"].to_numpy(), _matrix(few["v"])))
+
+    def run(batches):
+        names, q = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
+                middle = x.mean(0)
+                d = np.where(ids[None, :] == names[:, None], np.inf, _distances(q - middle, x - middle))
+                n = min(k, len(ids))
+                near = np.argpartition(d, n - 1, axis=1)[:, :n]
+                score = np.take_along_axis(d, near, 1)
+                own, place = np.nonzero(np.isfinite(score))
+                near = pa.array(near[own, place])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[own]), part.column(0).take(near), part.column(2).take(near),
+                     pa.array(score[own, place])], names=["query_id", "id", "tag", "score"])
+
+    found = vectors.select("id", "v", "tag").mapInArrow(run, "query_id long, id long, tag long, score double")
+    return top_k_per_group(found, ["query_id"], [F.col("score"), F.col("id")], k).select("query_id", "id", "tag")
+
+
+def fitting_prune(heads: Heads, sizes: np.ndarray, wanted: int, few: pa.Table, needed: list) -> float:
+    """The least ratio, from ``PRUNE`` in steps of ``WIDEN``, at which the searches of the
+    queries ``few`` read ``WANTED_RECALL`` of their neighbours. needed: (query_id, the
+    lists a neighbour is in) of each neighbour."""
+    prune, q = PRUNE, dict(zip(few["query_id"].to_pylist(), _matrix(few["v"])))
+    while needed:
+        read = {i: set(heads.search(v, sizes, wanted, prune)) for i, v in q.items()}
+        hits = sum(not read[i].isdisjoint(own) for i, own in needed)
+        if hits >= WANTED_RECALL * len(needed) or all(len(x) == len(heads.centres) for x in read.values()):
+            break
+        prune = (1.0 + prune) * WIDEN - 1.0 if prune > 1 else prune * WIDEN
+    return prune
+
+
 def without_copies(vectors: DataFrame, most: int) -> DataFrame:
     """``vectors`` (id, v) with, of equal vectors, the rows of the ``most`` smallest ids.
     Runs the counting job; only hashes are shuffled where no vector has more copies."""
@@ -288,12 +336,14 @@ def _meet(rows: DataFrame, centres: DataFrame, sizes: DataFrame, key: str, share
     return dealt.groupBy("list", "block").cogroup(met.groupBy("list", "block")).applyInArrow(run, schema)
 
 
-def split(lists: DataFrame, routed: DataFrame, list_rows: int, wanted: int) -> tuple[DataFrame, DataFrame]:
+def split(lists: DataFrame, routed: DataFrame, list_rows: int, wanted: int,
+          true: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index (list, id, v, first) and the queries' lists (list, query_id, v) once
-    long lists are split, level by level. Runs jobs; what reaches the driver is
-    whether a list is long."""
+    long lists are split, level by level. ``true`` (query_id, id, tag): neighbours by which
+    each level's pruning ratio is fitted. Runs jobs; what reaches the driver is whether a
+    list is long, and that ratio."""
     done_lists, done_routed = [], []
-    for _ in range(MAX_LEVELS):
+    for level in range(1, MAX_LEVELS + 1):
         sizes = cut(lists.groupBy("list").agg(F.count(F.lit(1)).alias("rows")), "list-sizes")
         long = sizes.where(F.col("rows") > SPLIT_ROWS)
         if long.isEmpty():
@@ -303,43 +353,64 @@ def split(lists: DataFrame, routed: DataFrame, list_rows: int, wanted: int) -> t
         real = cut(centres.groupBy("list").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1"), "split-lists")
         if real.isEmpty():
             break
+        # numbers of parts never meet those of lists: each level has 2^40 of its own, dealt to
+        # its split lists (few rows) in turn
+        turn = F.row_number().over(Window.orderBy("list")).cast("long") - 1
+        real = cut(real.select("list", (turn * SPLIT_PARTS + (level << 40)).alias("base")), "split-bases")
+        centres = cut(centres.join(real, "list"), "based-list-parts")
         done_lists.append(lists.join(real, "list", "left_anti"))
         done_routed.append(routed.join(real, "list", "left_anti"))
 
         def assign(rows: pa.Table, own: pa.Table) -> pa.Table:
             heads = Heads(_matrix(own["centre"]), np.zeros((0, 0), int))
             row, to, first = heads.lists_of(_matrix(rows["v"]), SPLIT_REPLICAS)
-            base = rows["list"][0].as_py() * SPLIT_PARTS + (1 << 40)
+            base = own["base"][0].as_py()
             row = pa.array(row)
             return pa.table({"list": pa.array(base + to, pa.int64()), "id": rows["id"].take(row),
                              "v": rows["v"].take(row),
                              "first": pa.array(rows["first"].to_numpy(zero_copy_only=False)[row] & first)})
 
-        def choose(rows: pa.Table, own: pa.Table) -> pa.Table:
-            at, near, held = _matrix(own["centre"]), [], own["n"].to_numpy()
-            for i, d in enumerate(_distances(_matrix(rows["v"]), at)):
-                order = np.argsort(d, kind="stable")
-                bound = d[order[:BASE]].mean() * (1.0 + PRUNE)
-                before = np.cumsum(held[order]) - held[order]
-                near += [(i, int(x)) for x in order[(d[order] <= bound) | (before < wanted)]]
-            base = rows["list"][0].as_py() * SPLIT_PARTS + (1 << 40)
-            row = pa.array([i for i, _ in near], pa.int64())
-            return pa.table({"list": pa.array([base + x for _, x in near], pa.int64()),
-                             "query_id": rows["query_id"].take(row), "v": rows["v"].take(row)})
-
-        # numbers of parts never meet those of lists: each level adds 2^40
+        def rate(rows: pa.Table, own: pa.Table) -> pa.Table:
+            """Every part by its distance beyond the mean of the nearest ones', as a ratio
+            (0: read in any case)."""
+            held = own["n"].to_numpy()
+            d = _distances(_matrix(rows["v"]), _matrix(own["centre"]))
+            order = np.argsort(d, axis=1, kind="stable")
+            near = np.take_along_axis(d, order, 1)
+            ratio = near / np.maximum(near[:, :BASE].mean(1, keepdims=True), 1e-300) - 1.0
+            ratio[np.cumsum(held[order], axis=1) - held[order] < wanted] = 0.0
+            base = own["base"][0].as_py()
+            row = pa.array(np.repeat(np.arange(len(d)), d.shape[1]))
+            return pa.table({"list": pa.array(base + order.ravel(), pa.int64()),
+                             "query_id": rows["query_id"].take(row), "v": rows["v"].take(row),
+                             "ratio": pa.array(ratio.ravel())})
+
+        def choose(prune: float):
+            def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+                rated = rate(rows, own)
+                return rated.filter(pc.less_equal(rated["ratio"], prune)).drop_columns("ratio")
+            return run
+
         hot = real.join(sizes, "list").select("list", F.col("rows").alias("n"))
         parted = cut(_meet(lists.join(real.select("list"), "list", "left_semi"),
-                           centres.join(real.select("list"), "list", "left_semi"), hot, "id", SHARD_ROWS,
+                           centres, hot, "id", SHARD_ROWS,
                            assign, lists.select("list", "id", "v", "first").schema), "split-posting-lists")
         held = (parted.where("first").groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-                .select(F.floor((F.col("list") - (1 << 40)) / SPLIT_PARTS).alias("list"),
-                        F.pmod(F.col("list") - (1 << 40), F.lit(SPLIT_PARTS)).alias("part"), "n"))
-        known = centres.join(held, ["list", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+                .withColumn("part", F.pmod(F.col("list") - (level << 40), F.lit(SPLIT_PARTS)))
+                .select((F.col("list") - F.col("part")).alias("base"), "part", "n"))
+        known = centres.join(held, ["base", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
         asked = routed.join(real.select("list"), "list", "left_semi")
         queries = cut(asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "list-queries")
-        routed = cut(_meet(asked, known, queries, "query_id", QUERY_BLOCK, choose,
-                           routed.select("list", "query_id", "v").schema), "split-queries")
+        schema = routed.select("list", "query_id", "v").schema
+        checked = F.broadcast(true.select("query_id").distinct())
+        rated = _meet(asked.join(checked, "query_id", "left_semi").select("list", "query_id", "v"), known, queries,
+                      "query_id", QUERY_BLOCK, rate, T.StructType([*schema.fields, T.StructField("ratio", T.DoubleType())]))
+        placed = parted.withColumn("tag", F.xxhash64("v")).join(F.broadcast(true), ["id", "tag"])
+        need = (placed.select("list", "query_id", "id", "tag").join(rated, ["list", "query_id"])
+                .groupBy("query_id", "id", "tag").agg(F.min("ratio").alias("ratio")))
+        fits = need.agg(F.percentile("ratio", F.lit(WANTED_RECALL))).first()[0]
+        routed = cut(_meet(asked, known, queries, "query_id", QUERY_BLOCK, choose(max(PRUNE, fits or 0.0)), schema),
+                     "split-queries")
         lists = parted
     for x in done_lists:
         lists = lists.union(x.select(*lists.columns))
@@ -371,20 +442,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
               .groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow())
     own = np.zeros(len(heads.centres), np.int64)
     own[firsts["list"].to_numpy()] = firsts["n"].to_numpy()
-    shared = Shared(spark, (heads, own))
+    source = pick(queries).select(F.col("id").alias("query_id"), "v")
+    few = (source.withColumn("u", drawn("query_id")).orderBy("u", "query_id", "v").limit(CHECKED)
+           .dropDuplicates(["query_id"]).select("query_id", "v").toArrow())
+    if not few.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tagged = lists.withColumn("tag", F.xxhash64("v"))
+    true = cut(true_neighbours(tagged.where("first"), few, k), "true-neighbours")
+    # at most CHECKED x k rows of few lists each
+    needed = (tagged.select("list", "id", "tag").join(F.broadcast(true), ["id", "tag"])
+              .groupBy("query_id", "id", "tag").agg(F.collect_set("list").alias("lists")))
+    prune = fitting_prune(heads, own, k + 1, few, [(x.query_id, x.lists) for x in needed.collect()])
+    shared = Shared(spark, (heads, own, prune))
 
     def route(batches):
-        heads, own = shared.value
+        heads, own, prune = shared.value
         for b in batches:
-            found = [heads.search(q, own, k + 1) for q in _matrix(b.column(1))]
+            found = [heads.search(q, own, k + 1, prune) for q in _matrix(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *b.columns],
                                              names=["lists", "query_id", "v"])
 
-    source = pick(queries).select(F.col("id").alias("query_id"), "v")
     routes = cut(source.mapInArrow(route, T.StructType([
         T.StructField("lists", T.ArrayType(T.LongType())), *source.schema.fields])), "query-lists")
     routed = routes.select(F.explode("lists").alias("list"), "query_id", "v")
-    lists, routed = split(lists, routed, list_rows, k + 1)
+    lists, routed = split(lists, routed, list_rows, k + 1, true)
     # long lists in shards, a list's queries in blocks: every block meets every shard
     asked = routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
     plan = cut(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards"))

@@ -167,3 +167,18 @@ def test_far_from_the_origin(offset):
     for q, found in got.groupby("query_id"):
         assert [i for i, _ in brute(x, np.arange(3000), q)] == found.sort_values(
             ["score", "vec_id"]).vec_id.tolist()
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_recall_on_sparse_vectors(spark, monkeypatch, split):
+    """Most parts are zero, so a vector's neighbours lie in lists far from it; the pruning
+    ratio is fitted to that, also where lists are split, however many levels that takes."""
+    r = np.random.default_rng(21)
+    x = (r.random((5000, 64)) < 0.05) * r.normal(size=(5000, 64))
+    if split:
+        for name, value in (("MAX_CENTRES", 4), ("SPLIT_ROWS", 300), ("SPLIT_PARTS", 16)):
+            monkeypatch.setattr(ann, name, value)
+    else:
+        monkeypatch.setattr(ann.search, "__defaults__", (10, "vec_id", "embedding", 20))
+    x[~x.any(1)] = r.normal(size=64)
+    assert recall(spark, x) >= 0.9
