@@ -1,5 +1,7 @@
 """Boosting side by side: against plain boosting in numpy, and what the callers rely on."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,24 @@ def test_nothing_to_fit(spark):
     flat = df.withColumn("label", F.lit(1.0)).withColumn("features", F.array(F.lit(1.0)))
     got = B.fit_boosters(flat.withColumn("roles", F.array(F.lit(B.TRAIN))), [B.Plan(3, 0.1, 2)], "logistic")
     assert got.transform(flat).where("prediction = 1").count() == 20
+
+
+def test_no_sums_reach_the_driver(spark, monkeypatch):
+    """Several blocks: what a job brings to the driver does not hold the bins' sums."""
+    from pyspark import RDD
+
+    sizes, real = [], RDD.collect
+
+    def collect(self):
+        got = real(self)
+        sizes.append(len(pickle.dumps(got)))
+        return got
+
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(RDD, "collect", collect)
+    df, *_ = data(spark, 400)
+    plans = [B.Plan(3, 0.1, 3, role) for role in (0, 1)]
+    got = B.fit_boosters(df, plans, "logistic", key="id")
+    assert len(got.rounds) == 3 and (got.rounds[0][0].feature[:, 0] >= 0).all()
+    # the deepest level alone has 2 x 4 nodes x 3 features x 32 bins x 2 doubles: 12 KB
+    assert sizes and max(sizes) < 6000
