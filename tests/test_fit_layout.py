@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftpool.operators import models
 
@@ -14,8 +15,11 @@ def rows(spark):
     return models.as_features(spark.createDataFrame(data, "id int, fold int, label int, v array<double>"), "v")
 
 
-def test_a_fit_wraps_no_tree(rows):
-    model = models.random_forest(rows, num_trees=4, max_depth=3, stable_key="id")
+@pytest.mark.parametrize("fit", [
+    lambda d: models.random_forest(d, num_trees=4, max_depth=3, stable_key="id"),
+    lambda d: models.gbt(d, max_iter=4, max_depth=2, stable_key="id")])
+def test_a_fit_wraps_no_tree(rows, fit):
+    model = fit(rows)
     assert "trees" not in vars(model)
     assert len(model.trees) == model.getNumTrees == 4
     assert model.transform(rows).where("prediction in (0, 1)").count() == 48
@@ -31,3 +35,13 @@ def test_the_search_does_not_follow_the_session(spark, rows, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] and sum(r.is_best for r in got[0]) == 1
+
+
+def test_partitions_follow_the_rows(spark, rows, monkeypatch):
+    dealt, fit = [], models.fit_cached
+    monkeypatch.setattr(models, "fit_cached", lambda e, d: dealt.append(d.rdd.getNumPartitions()) or fit(e, d))
+    for size in (65_536, 16, 1):
+        monkeypatch.setattr(models, "ROWS_PER_BLOCK", size)
+        models.gbt(rows, max_iter=2, max_depth=2, stable_key="id")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt == [1, 3, most] and models.row_parts(rows.where(F.lit(False))) == 1
