@@ -40,17 +40,21 @@ def first_per_key(batch: DataFrame, key: list[str], ordinal: list[str]) -> DataF
     """Keep the first row (by ``ordinal``, then every other column as the final
     tie-break) of every key; rows with a NULL key part all pass.
 
-    A grouped ``min_by`` over the row as a struct: partial aggregation keeps one
-    candidate per key per task before the shuffle, so a hot key (or a batch full
-    of repeats) ships one row per task instead of sorting all its rows in one. A row
-    with a NULL key part is a group of its own, by its number within the input, so
-    the batch is read once.
+    A grouped ``min`` over the columns as a struct, in that order: partial aggregation
+    keeps one candidate per key per task before the shuffle, so a hot key (or a batch full
+    of repeats) ships one row per task instead of sorting all its rows in one, and every
+    column is shuffled once. A row with a NULL key part is a group of its own, by its
+    number within the input, so the batch is read once.
     """
+    loose = (T.FloatType, T.DoubleType, T.ArrayType, T.StructType)  # equal values may differ: 0.0, -0.0
+    taken = [k for k in key if not isinstance(batch.schema[k].dataType, loose)]
     rest = [c for c in batch.columns if c not in key and c not in ordinal]
+    rest += [k for k in key if k not in taken and k not in ordinal]
     own = F.when(_null_key(key), F.monotonically_increasing_id())
+    kept = F.col("_first")
     return (batch.withColumn("_row", own).groupBy(*key, "_row")
-            .agg(F.min_by(F.struct(*batch.columns), F.struct(*ordinal, *rest)).alias("_first"))
-            .select("_first.*"))
+            .agg(F.min(F.struct(*ordinal, *rest)).alias("_first"))
+            .select(*[F.col(c) if c in taken else kept.getField(c).alias(c) for c in batch.columns]))
 
 
 def insert_if_absent(batch: DataFrame, target: DataFrame, key: list[str],

@@ -65,3 +65,31 @@ def test_null_keys_all_pass_and_ties_are_broken(spark):
     assert sorted(r.payload for r in got.collect()) == ["a", "p", "p", "p"]
     assert got.columns == batch.columns
     assert keyed.first_per_key(batch.where(F.lit(False)), ["a", "b"], ["ord"]).count() == 0
+
+
+def test_every_column_is_shuffled_once(spark):
+    first = keyed.first_per_key(spark.createDataFrame(rows(1, 50), SCHEMA), ["a", "b"], ["ord"])
+    node = first._jdf.queryExecution().executedPlan().initialPlan()
+    while not node.nodeName().startswith("Exchange"):
+        node = node.children().apply(0)
+    sent = node.schema().catalogString()
+    assert [sent.count(f"{c}:") for c in ("payload", "ord", "a", "b")] == [1, 1, 1, 1]
+
+
+def test_first_rows_are_those_of_a_sort(spark):
+    batch = rows(7, 400) + [(None, 3, None, "x"), (None, 3, 0, "x"), ("", 3, 0, "x")]
+    got = keyed.first_per_key(spark.createDataFrame(batch, SCHEMA), ["a", "b"], ["ord"]).collect()
+    low = lambda v: (v is not None, v)
+    first = {}
+    for p, a, o, b in sorted(batch, key=lambda r: (low(r[2]), low(r[0]))):
+        first.setdefault((a, b), (p, a, o, b))
+    full = [r for r in batch if r[1] is None or r[3] is None]
+    want = full + [r for k, r in first.items() if None not in k]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_a_key_may_be_a_float_or_an_ordinal(spark):
+    batch = spark.createDataFrame([(-0.0, 2, "p"), (0.0, 3, "q"), (1.5, 9, "r"), (1.5, 8, "s")],
+                                  "k double, o int, p string")
+    got = keyed.first_per_key(batch, ["k"], ["k", "o"]).collect()
+    assert sorted(map(str, map(tuple, got))) == ["(-0.0, 2, 'p')", "(1.5, 8, 's')"]
