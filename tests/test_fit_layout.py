@@ -29,7 +29,7 @@ def test_the_search_does_not_follow_the_session(spark, rows, monkeypatch):
     monkeypatch.setattr(models, "RF_SPACE", {"num_trees": (3, 6), "max_depth": (2, 3)})
     before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
-        for n in ("2", "7"):
+        for n in ("8", "13"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             got.append(models.param_search(rows, "fold", n_trials=3, keep=("id",), stable_key="id").collect())
     finally:
@@ -39,9 +39,10 @@ def test_the_search_does_not_follow_the_session(spark, rows, monkeypatch):
 
 def test_partitions_follow_the_rows(spark, rows, monkeypatch):
     dealt, fit = [], models.fit_cached
+    monkeypatch.setattr(models, "LEAST_PARTS", 2)
     monkeypatch.setattr(models, "fit_cached", lambda e, d: dealt.append(d.rdd.getNumPartitions()) or fit(e, d))
     for size in (65_536, 16, 1):
         monkeypatch.setattr(models, "ROWS_PER_BLOCK", size)
         models.gbt(rows, max_iter=2, max_depth=2, stable_key="id")
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert dealt == [1, 3, most] and models.row_parts(rows.where(F.lit(False))) == 1
+    assert dealt == [2, 3, most] and models.row_parts(rows.where(F.lit(False))) == 2
