@@ -178,3 +178,56 @@ def test_no_sums_reach_the_driver(spark, monkeypatch):
     assert len(got.rounds) == 3 and (got.rounds[0][0].feature[:, 0] >= 0).all()
     # the deepest level alone has 2 x 4 nodes x 3 features x 32 bins x 2 doubles: 12 KB
     assert sizes and max(sizes) < 6000
+
+
+def test_more_ensembles_than_blocks_grow_in_one_job(spark, monkeypatch):
+    """Several blocks, and more ensembles than those: no job for each level of a tree."""
+    def refuse(*args):
+        raise AssertionError("a job for each level")
+
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(B, "_grow", refuse)
+    df, x, y, role = data(spark)
+    plans = [B.Plan(6, 0.3, 3, 0), B.Plan(4, 0.5, 2, 1), B.Plan(5, 0.1, 1, 0), B.Plan(3, 0.2, 4, 1)]
+    got = B.fit_boosters(df, plans, "logistic", key="id")
+    for i, p in enumerate(plans):
+        train = role == (B.TRAIN if p.role == 0 else B.TEST)
+        want = plain(x, y, train, "logistic", 2, p.rounds, p.rate, p.depth)
+        assert np.allclose(got.margins(x, i), want[-1], atol=1e-8)
+
+
+@pytest.mark.parametrize("loss, classes", [("logistic", 2), ("softmax", 3), ("squared", 4)])
+def test_sums_are_exact_in_any_order(spark, monkeypatch, loss, classes):
+    """Blocks of any size, in tasks of their own or side by side: the very same trees."""
+    df, *_ = data(spark, classes=classes, seed=2)
+    if loss == "squared":
+        df = df.withColumn("label", F.col("label") * 1234.567)
+    plans = [B.Plan(5, 0.3, 4, role) for role in (0, 1, 0, 1)]
+    k = classes if loss == "softmax" else 1
+    fits = []
+    for rows, most in ((1000, B.BYTES_ALONE), (100, B.BYTES_ALONE), (100, 0), (40, 0)):
+        monkeypatch.setattr(B, "ROWS_PER_BLOCK", rows)
+        monkeypatch.setattr(B, "BYTES_ALONE", most)
+        fits.append(B.fit_boosters(df, plans, loss, classes=k, key="id"))
+    for got in fits[1:]:
+        for (trees, live), (other, _) in zip(fits[0].rounds, got.rounds, strict=True):
+            assert len(live) == len(plans) * k and (trees.feature[:, 0] >= 0).all()
+            for name in ("feature", "cut", "value"):
+                assert np.array_equal(getattr(trees, name), getattr(other, name))
+
+
+@pytest.mark.parametrize("paired", [1, 10 ** 9])
+@pytest.mark.parametrize("features", [1, 4, 5])
+def test_histogram(monkeypatch, features, paired):
+    monkeypatch.setattr(B, "ROWS_PAIRED", paired)
+    r = np.random.default_rng(5)
+    bins = r.integers(0, B.BINS, (200, features)).astype(np.uint8)
+    rows, slot = np.flatnonzero(r.random(200) < 0.5), r.integers(0, 3, 200)
+    weight = r.integers(-9, 9, 200) + 1j * r.integers(0, 9, 200)
+    got = B.histogram(B.paired(bins), features, rows, slot[rows], 3, weight[rows])
+    want = np.zeros((3, features, B.BINS), complex)
+    for i in rows:
+        want[slot[i], np.arange(features), bins[i]] += weight[i]
+    assert np.array_equal(got, want)
+    whole = B.histogram(B.paired(bins), features, None, 0, 1, weight)
+    assert whole.shape == (1, features, B.BINS) and (whole.sum(2) == weight.sum()).all()
